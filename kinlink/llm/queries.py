@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
 from .language_id import op1_language_id
+from .license_scan import op2_license_scan
 from .quality_classifier import op4_quality
+from .quality_rules import ORACLE as RULES_SQL
+from .quality_rules import op9_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_license_scan": op2_license_scan,
         "op4_quality": op4_quality,
+        "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": RULES_SQL}
