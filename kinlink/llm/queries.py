@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .chat_format import op7_chat_format
 from .language_id import op1_language_id
 from .license_scan import op2_license_scan
+from .packing import op5_packing
 from .quality_classifier import op4_quality
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import op9_quality_rules
@@ -19,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_license_scan": op2_license_scan,
         "op4_quality": op4_quality,
+        "op5_packing": op5_packing,
+        "op7_chat_format": op7_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
     }
