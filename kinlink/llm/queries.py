@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
 from .chat_format import op7_chat_format
+from .fingerprints import op3_fingerprints
 from .language_id import op1_language_id
 from .license_scan import op2_license_scan
 from .packing import op5_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_license_scan": op2_license_scan,
+        "op3_fingerprints": op3_fingerprints,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
         "op7_chat_format": op7_chat_format,
