@@ -11,6 +11,7 @@ from .chat_format import op7_chat_format
 from .fingerprints import op3_fingerprints
 from .language_id import op1_language_id
 from .license_scan import op2_license_scan
+from .near_dedup import op6_near_dedup
 from .packing import op5_packing
 from .quality_classifier import op4_quality
 from .quality_rules import ORACLE as RULES_SQL
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op6_near_dedup": op6_near_dedup,
         "op7_chat_format": op7_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
