@@ -74,7 +74,9 @@ def _measured(docs: DataFrame, text: str, prefix: str) -> DataFrame:
         "n_lower": length - F.char_length(_without(c(t), "abcdefghijklmnopqrstuvwxyz")),
         "n_exclamations": length - F.char_length(_without(c(t), "!")),
     }
-    return out.select(*[c(f"`{x}`") for x in docs.columns], *[long(v).alias(f"{prefix}{k}") for k, v in values.items()])
+    # Through a generator, because a filter on a measurement would else be pushed below all steps with their text put in.
+    row = F.struct(*[long(v).alias(f"{prefix}{k}") for k, v in values.items()])
+    return out.select(*[c(f"`{x}`") for x in docs.columns], F.inline(F.array(row)))
 
 
 def _bits(prefix: str) -> Column:

@@ -16,6 +16,7 @@ from .packing import op5_packing
 from .quality_classifier import op4_quality
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import op9_quality_rules
+from .token_output import op8_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_near_dedup": op6_near_dedup,
         "op7_chat_format": op7_chat_format,
+        "op8_token_output": op8_token_output,
         "op9_quality_rules": op9_quality_rules,
         "op10_byte_bpe": op10_byte_bpe,
     }
