@@ -118,7 +118,19 @@ def native_features(parity: bool = False) -> dict[str, Column]:
 
 #: The features of the sequence kernel.
 SEQUENCE_FEATURES = ["name_edit_sim", "name_first_tok_sim", "translit_name_sim", "native_vs_translit_agree"]
-FEATURE_NAMES = [*native_features(), *SEQUENCE_FEATURES]
+#: The features of native_features, in order.
+NATIVE_FEATURES = [
+    "name_exact", "name_no_suffix_exact", "name_sorted_exact", "name_tok_jaccard", "name_tok_containment", "name_tok_overlap", "name_c2_jaccard",
+    "name_c3_jaccard", "name_c3_cosine", "name_c4_jaccard", "name_c4_cosine", "name_len_diff", "name_len_ratio", "name_tok_diff",
+    "name_distinctive_overlap", "initials_match", "phonetic_tok0_match", "phonetic_jaccard", "legal_suffix_agree", "domain_name_contain",
+    "addr_exact", "addr_tok_jaccard", "addr_tok_containment", "addr_tok_overlap", "addr_c3_jaccard", "addr_c4_jaccard", "addr_len_diff",
+    "addr_len_ratio", "addr_distinctive_overlap", "numeric_atom_overlap", "numeric_atom_jaccard", "house_num_exact", "house_num_norm_match",
+    "postal_exact", "postal_prefix2_match", "postal_prefix3_match", "postal_present_both", "postal_mismatch", "cand_addr_missing", "name_x_addr",
+    "both_exact", "both_strong", "exact_name_partial_addr", "partial_name_exact_addr", "name_addr_numeric_consistent", "source_is_s2",
+    "blocker_votes_count", "cand_rank_by_votes", "blocker_families_count", "fired_exact_family", "fired_token_family", "fired_postal_family",
+    "fired_numeric_family", "fired_phonetic_family", "fired_indic_family", "fired_pure_addr_family",
+]
+FEATURE_NAMES = NATIVE_FEATURES + SEQUENCE_FEATURES
 
 
 def paired(candidates: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -393,7 +393,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = features.pair_features(features.paired(*_voted(rows)), sequence=False)
     labelled = pairs.join(true_links(rows).distinct().withColumn("label", F.lit(1.0)), ["s1_id", "cand_id"], "left").fillna({"label": 0.0})
     marked = sampling.split(labelled, "s1_id")
-    names = list(features.native_features())
+    names = features.NATIVE_FEATURES
     fitted = model.train(marked.where("is_train"), names, rounds=10, depth=3)
     return model.score(fitted, marked.where("not is_train")).select("s1_id", "cand_id", "label", F.round("prob", 4).alias("prob"))
 
