@@ -75,8 +75,10 @@ def plan_cuts(places: list[int], penalties: list[float], window: int = WINDOW, f
         full = at[front] + window
         b = places[i]
         if full < b:
-            b, penalty = full, free
             queue.popleft()
+            if full <= at[-1]:  # a candidate stood at the full window's end
+                continue
+            b, penalty = full, free
         else:
             penalty = penalties[i]
             i += 1
