@@ -2,8 +2,8 @@
 
 1. Document frequencies of all shingles are counted into a fixed number of hash buckets.
 2. Equal texts become one node with one sample vector, drawn by improved consistent weighted sampling.
-3. Bands of the vector are buckets. Small buckets give all their pairs. Larger ones give the pairs with a leader,
-   round by round: members that match a leader leave the bucket with it, the others go on.
+3. Bands of the vector are buckets. Small buckets give all their pairs. Larger ones give, for each node, the pair
+   with the bucket's leader and the pairs with its neighbours in the order of the rest of the vector.
 4. Pairs whose vectors agree enough are verified by the weighted Jaccard similarity of the whole shingle sets.
 5. Verified links are joined to classes by label propagation with pointer jumping.
 """
@@ -29,6 +29,10 @@ SAMPLES = BANDS * ROWS
 DF_BITS, SAMPLE_BITS = 18, 15
 #: Buckets of at most so many nodes give all their pairs.
 SMALL = 32
+#: Neighbours on either side that a node of a larger bucket is paired with, in each of its buckets.
+NEIGHBOURS = 6
+#: Stands for a null id, so that ids can be compared and shuffled as plain numbers.
+NO_ID = (1 << 63) - 1
 #: Fewest agreeing samples of a pair that is verified: four standard deviations below the threshold's mean.
 AGREE = int(SAMPLES * THRESHOLD - 4 * (SAMPLES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 
@@ -36,8 +40,9 @@ AGREE = int(SAMPLES * THRESHOLD - 4 * (SAMPLES * THRESHOLD * (1 - THRESHOLD)) **
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Weight of each hash bucket of shingles, from all texts of ``docs``.
 
-    1 + log((n+1)/(df+1)) / log(number of buckets), between 1 and 2: a bucket's share of documents, and so its
-    weight, tends to a limit as the corpus grows. The result has a fixed size.
+    1 + log((n+1)/(df+1)) / log(number of buckets) / 2, between 1 and 1.5: a bucket's share of documents, and so
+    its weight, tends to a limit as the corpus grows, and copies of a text that is in a large part of all documents
+    stay near each other. The result has a fixed size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +62,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     inside = table["bucket"].to_numpy() >= 0
     df[table["bucket"].to_numpy()[inside]] = table["n"].to_numpy()[inside]
     n = float(table["n"].to_numpy()[~inside].sum())
-    return (1 + np.clip(np.log((n + 1) / (df + 1)) / np.log(1 << DF_BITS), 0, 1)).astype(np.float32)
+    return (1 + np.clip(np.log((n + 1) / (df + 1)) / np.log(1 << DF_BITS), 0, 1) / 2).astype(np.float32)
 
 
 def counted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +70,14 @@ def counted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(text, WIDTH), return_counts=True)
 
 
+def short_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the upper 32 bits of the hashes, which is what pairs are verified with."""
+    return np.unique((shingles(text, WIDTH) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+
+
 def weigh(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[hashes >> np.uint64(64 - DF_BITS)].astype(np.float64)
+    """Weights of shingles, given by 64-bit hashes or their upper 32 bits."""
+    return counts * idf[hashes >> hashes.dtype.type(8 * hashes.itemsize - DF_BITS)].astype(np.float64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -117,9 +128,10 @@ def sampler() -> Sampler:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and key, which is equal for equal texts."""
+    """doc_id (null: NO_ID), text (null: empty) and key, which is equal for equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
 def _nodes(rows: DataFrame, idf: Broadcast, folder: str) -> DataFrame:
@@ -146,10 +158,10 @@ def _nodes(rows: DataFrame, idf: Broadcast, folder: str) -> DataFrame:
 
 
 def _members(nodes: DataFrame, folder: str) -> DataFrame:
-    """bucket, nid and n (nodes in the bucket) of all buckets of two or more nodes."""
+    """bucket, band, nid and n (nodes in the bucket) of all buckets of two or more nodes."""
     size = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("samples", b * size + 1, size)) for b in range(BANDS)])
-    rows = nodes.select("nid", F.explode(bands).alias("bucket"))
+    rows = nodes.select("nid", F.posexplode(bands).alias("band", "bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return written(rows.join(counts, "bucket"), f"{folder}/members")
 
@@ -159,95 +171,98 @@ def _vectors(rows: DataFrame, nodes: DataFrame, members: DataFrame, folder: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counted_shingles(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u8").tobytes() for h, _ in found], type=pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], type=pa.binary())], names=["nid", "hashes", "counts"])
+            found = [short_shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u4").tobytes() for h, _ in found], type=pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], type=pa.binary())], names=["nid", "hashes", "counts"])
 
-    wanted = nodes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "key", F.col("rep_id").alias("rep"))
-    texts = rows.join(wanted, (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select("nid", "text")
-    # Repeated rows repeat a node's text; vectors of one node are equal, so one of them stays.
-    out = texts.mapInArrow(run, "nid long, hashes binary, counts binary")
-    return written(out.dropDuplicates(["nid"]), f"{folder}/vectors")
+    wanted = nodes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "key", F.col("rep_id").alias("doc_id"))
+    # Repeated rows repeat a node's text. They meet by the keys of the join, so this needs no further shuffle.
+    texts = rows.join(wanted, ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]).select("nid", "text")
+    return written(texts.mapInArrow(run, "nid long, hashes binary, counts binary"), f"{folder}/vectors")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, vectors: DataFrame, idf: Broadcast, threshold: float, path: str) -> DataFrame:
-    """a, b and similarity of those pairs (a, b) that reach the threshold."""
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """a < b of all pairs of the buckets of at most SMALL nodes: at most SMALL / 2 pairs a member."""
+    small = members.where(F.col("n") <= SMALL)
+    return small.select("bucket", F.col("nid").alias("a")).join(small.select("bucket", F.col("nid").alias("b")), "bucket").where("a < b").select("a", "b")
+
+
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """a < b of the larger buckets' nodes with the leader: the node that shares buckets with the most others."""
+    score = members.groupBy("nid").agg(F.sum("n").alias("score"))
+    large = members.where(F.col("n") > SMALL).select("bucket", "nid")
+    leaders = large.join(score, "nid").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("nid")).alias("nid"))).alias("top")).select("bucket", (-F.col("top.nid")).alias("leader"))
+    return large.join(leaders, "bucket").where("nid <> leader").select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
+
+
+def _neighbour_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a < b of the larger buckets' nodes that are neighbours in the bucket and whose vectors agree enough.
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Within a bucket nodes are ordered by their vector, rotated to begin after the bucket's band, so nodes with a long
+    common run of samples are next to each other, in another order for each band. Rows are ranged by bucket and
+    vector, so a large bucket is spread over tasks, and every node gives at most NEIGHBOURS pairs a bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for bucket, nid, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = np.frombuffer(samples, dtype="<u4")
+                if held and held[-1][0] != bucket:
+                    held = []
+                out += [(min(nid, other), max(nid, other)) for _, other, theirs in held if (own == theirs).sum() >= AGREE]
+                held = [*held[-(NEIGHBOURS - 1) :], (bucket, nid, own)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out)], names=["a", "b"])
+
+    large = members.where(F.col("n") > SMALL).join(nodes.select("nid", "samples"), "nid")
+    cut = (F.col("band") + 1) * (4 * ROWS)
+    rotated = F.concat(F.col("samples").substr(cut + 1, F.lit(4 * SAMPLES)), F.col("samples").substr(F.lit(1), cut))
+    ordered = large.select("bucket", "nid", rotated.alias("samples"))
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered.repartitionByRange(partitions, "bucket", "samples").sortWithinPartitions("bucket", "samples", "nid").mapInArrow(run, "a long, b long")
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs a, b whose sample vectors agree enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(-1, SAMPLES) for i in (2, 3))
-            keep = (x == y).sum(axis=1) >= AGREE
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    of = lambda side: nodes.select(F.col("nid").alias(side), F.col("samples").alias(f"samples_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "samples_a", "samples_b").mapInArrow(run, "a long, b long")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(near: DataFrame, vectors: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """a, b and similarity of those pairs (a, b) that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         for batch in batches:
             sides = []
             for i in (2, 4):
                 pairs_of = zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist())
-                sides.append([(h := np.frombuffer(x, dtype="<u8"), weigh(h, np.frombuffer(y, dtype="<u4"), weights)) for x, y in pairs_of])
+                sides.append([(h := np.frombuffer(x, dtype="<u4"), weigh(h, np.frombuffer(y, dtype="<u4"), weights)) for x, y in pairs_of])
             found = np.array([weighted_jaccard(p, q) for p, q in zip(*sides)])
             part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.float64())], names=["a", "b", "similarity"])
             yield part.filter(pa.array(found >= threshold))
 
-    def of(table: DataFrame, side: str, *columns: str) -> DataFrame:
-        return table.select(F.col("nid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-
-    near = pairs.join(of(nodes, "a", "samples"), "a").join(of(nodes, "b", "samples"), "b").select("a", "b", "samples_a", "samples_b").mapInArrow(agree, "a long, b long")
-    near = written(near, f"{path}-near")
-    both = near.join(of(vectors, "a", "hashes", "counts"), "a").join(of(vectors, "b", "hashes", "counts"), "b").select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b")
-    return written(both.mapInArrow(verify, "a long, b long, similarity double"), path)
-
-
-def _limit(turn: int) -> int:
-    """Largest bucket that gives all its pairs. It grows once rounds of leaders leave nodes that match none."""
-    return SMALL * 4 ** max(0, turn - 3)
-
-
-def _all_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """a < b of the buckets of at most ``limit`` nodes."""
-    small = members.where(F.col("n") <= limit)
-    return small.select("bucket", F.col("nid").alias("a")).join(small.select("bucket", F.col("nid").alias("b")), "bucket").where("a < b").select("a", "b")
-
-
-def _leader_pairs(active: DataFrame, turn: int) -> DataFrame:
-    """bucket, nid, a, b: the members of a bucket with its leaders, of which there are one, later up to four."""
-    picks = [F.min("nid")]
-    if turn:
-        picks += [F.max("nid"), *[F.min_by("nid", F.xxhash64(F.col("nid"), F.lit(2 * turn + k))) for k in (0, 1)]]
-    leaders = active.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("leaders"))
-    out = active.select("bucket", "nid").join(leaders, "bucket").select("bucket", "nid", F.array_contains("leaders", F.col("nid")).alias("leads"), F.explode("leaders").alias("leader"))
-    return out.select("bucket", "nid", "leads", F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
+    of = lambda side: vectors.select(F.col("nid").alias(side), F.col("hashes").alias(f"hashes_{side}"), F.col("counts").alias(f"counts_{side}"))
+    both = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b")
+    return both.mapInArrow(run, "a long, b long, similarity double")
 
 
 def links(rows: DataFrame, threshold: float, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes, and the links a, b, similarity between them: a link of every class, but not every pair of it."""
-    spark = rows.sparkSession
-    idf = spark.sparkContext.broadcast(document_frequencies(rows))
+    """The nodes, and the links a, b, similarity between them that were found."""
+    idf = rows.sparkSession.sparkContext.broadcast(document_frequencies(rows))
     nodes = _nodes(rows, idf, folder)
     members = _members(nodes, folder)
     vectors = _vectors(rows, nodes, members, folder)
-    found, turn = [], 0
-    while True:
-        pairs, active = _all_pairs(members, _limit(turn)), members.where(F.col("n") > _limit(turn))
-        led = None if active.isEmpty() else written(_leader_pairs(active, turn), f"{folder}/led-{turn}")
-        if led is not None:
-            pairs = pairs.unionByName(led.where("a < b").select("a", "b"))
-        good = _verified(pairs.distinct(), nodes, vectors, idf, threshold, f"{folder}/links-{turn}")
-        found.append(good)
-        if led is None:
-            break
-        # Leaders have met all members. A member that matched one is in its class; the others go on.
-        done = led.join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "nid").unionByName(led.where("leads").select("bucket", "nid"))
-        rest = led.select("bucket", "nid").distinct().join(done, ["bucket", "nid"], "left_anti")
-        counts = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        turn += 1
-        members = written(rest.join(counts, "bucket"), f"{folder}/members-{turn}")
-        if members.isEmpty():
-            break
-    out = found[0]
-    for table in found[1:]:
-        out = out.unionByName(table)
-    return nodes, out.dropDuplicates(["a", "b"])
+    pairs = _small_pairs(members).unionByName(_leader_pairs(members)).distinct()
+    near = written(_agreeing(pairs, nodes).unionByName(_neighbour_pairs(members, nodes)).distinct(), f"{folder}/near")
+    return nodes, written(_verified(near, vectors, idf, threshold), f"{folder}/links")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -289,16 +304,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     Texts are near duplicates if the weighted Jaccard similarity of their shingles of five words reaches the
     threshold; classes are the connected components of the found links. Candidates are found with a probability
     of over 0.999 at similarity 0.8. Null texts count as empty, equal texts are one node, and nodes without a
-    partner are in no link. Intermediate tables are written in the shared folder, so no stage depends on an
+    partner are in no link. In a bucket of over SMALL nodes a node meets the leader and its neighbours, so of a
+    large group a link just at the threshold can stay unseen. Intermediate tables are written in the shared folder, so no stage depends on an
     executor that is lost.
     """
     small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     nodes, found = links(_rows(docs), threshold, folder)
-    found = written(found, f"{folder}/links")
     labels = components(found, folder)
     linked = labels.join(nodes.select("nid", "rep_id"), "nid")
-    first = F.min(F.struct(F.col("rep_id").isNull().alias("none"), F.col("rep_id").alias("rep_id"), F.col("nid").alias("nid"))).alias("first")
+    first = F.min(F.struct("rep_id", "nid")).alias("first")
     heads = linked.groupBy("label").agg(first).select("label", F.col("first.rep_id").alias("class_id"), F.col("first.nid").alias("head"))
     return Classes(nodes, found, labels, written(heads, f"{folder}/heads"))
 
@@ -313,25 +328,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of = found.labels.join(found.heads, "label").select("nid", F.col("class_id").alias("shared"), (F.col("nid") == F.col("head")).alias("is_first"))
     named = found.nodes.select("nid", "key", "rep_id").join(of, "nid", "left")
     rows = _rows(docs).select("doc_id", "key")
+    known = lambda c: F.when(c != NO_ID, c)
     return rows.join(named, "key").select(
-        "doc_id",
-        F.when(F.col("is_first").isNull(), F.col("rep_id")).otherwise(F.col("shared")).alias("class_id"),
-        (F.coalesce("is_first", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).alias("is_head"),
+        known(F.col("doc_id")).alias("doc_id"),
+        known(F.coalesce("shared", "rep_id")).alias("class_id"),
+        (F.coalesce("is_first", F.lit(True)) & (F.col("doc_id") == F.col("rep_id"))).alias("is_head"),
     )
 
 
 def keep_heads(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of ``docs`` of each near-duplicate class, with the same columns: the one of the least doc_id.
 
-    A repeated row of that id and text is kept once.
+    A repeated row of that id and text is kept once. Texts are shuffled once.
     """
     found = classes(docs, threshold)
     dropped = found.labels.join(found.heads, "label").where("nid <> head").select("nid")
     kept = found.nodes.join(dropped, "nid", "left_anti").select(F.col("key").alias("kinlink_key"), F.col("rep_id").alias("kinlink_rep"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("kinlink_own", F.unhex(F.md5(text.cast("binary"))))
-    stay = rows.join(kept, (F.col("kinlink_own") == F.col("kinlink_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kinlink_rep")))
-    return stay.dropDuplicates(["kinlink_own", "kinlink_rep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.withColumns({"kinlink_key": F.unhex(F.md5(text.cast("binary"))), "kinlink_rep": doc_id})
+    stay = rows.join(kept, ["kinlink_key", "kinlink_rep"], "left_semi")
+    return stay.dropDuplicates(["kinlink_key", "kinlink_rep"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
