@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, shared_dir, small_batches, written
+from .common import documents, mix64, shared_dir, small_batches
 from .packing import END_ID, vocabulary
 
 #: Ids of a window; two bytes each.
@@ -26,6 +27,8 @@ SEPARATOR = "\n"
 STRIDE = 2 * WINDOW + len(SEPARATOR)
 SHARD_SLOTS = 8192
 ROUNDS = 4
+#: Level at which windows are compressed where they are kept and shuffled, and windows a task holds to compress together.
+BLOCK_LEVEL, HELD_WINDOWS = 9, 16384
 
 
 def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary_name: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
@@ -116,17 +119,58 @@ def permute(rows: DataFrame, number: str, size: int, key: int) -> DataFrame:
     return rows.withColumn("slot", slot(F.col(number)))
 
 
+def _blocks(slots: DataFrame, shard_slots: int) -> DataFrame:
+    """shard, slots and ids of the windows of one task and shard, compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        n = 0
+
+        def table() -> pa.RecordBatch:
+            rows = [(shard, np.array([s for s, _ in x], dtype="<i8").tobytes(), squeeze(b"".join(i for _, i in x))) for shard, x in sorted(held.items())]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "slots", "ids"])
+
+        for batch in batches:
+            for slot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(slot // shard_slots, []).append((slot, ids))
+                n += 1
+            if n >= HELD_WINDOWS:
+                yield table()
+                held, n = {}, 0
+        if n:
+            yield table()
+
+    return slots.select("slot", "ids").mapInArrow(run, "shard long, slots binary, ids binary")
+
+
+def _records(blocks: DataFrame) -> DataFrame:
+    """value (the bytes of a window) and shard, by slot within each shard. A shard has a fixed number of windows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        slots = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table["slots"].to_pylist()])
+        ids = np.frombuffer(b"".join(expand(x) for x in table["ids"].to_pylist()), dtype=np.uint8).reshape(len(slots), 2 * WINDOW)
+        order = np.argsort(slots)
+        return pa.table({"value": pa.array([ids[i].tobytes() for i in order], type=pa.binary()), "shard": pa.array(np.full(len(slots), table["shard"][0].as_py(), dtype=np.int64))})
+
+    return blocks.groupBy("shard").applyInArrow(run, "value binary, shard long")
+
+
 def materialise(docs: DataFrame, path: str, key: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Writes shards below ``path`` and returns slot, shard, byte_at, first_doc, start, n_ids, ids_crc32 of each window.
 
     Windows are made once and written to the shared folder; their numbers in the corpus are offsets of the
-    partitions, so a run on the same input gives the same order. Rows are ranged by slot: shard k has the slots from
-    k * shard_slots on, one file in the folder shard=k. The writer's commit makes a shard whole or absent, so a
-    broken run is resumed by writing the shards that are missing. An empty table gives no shard.
+    partitions, so a run on the same input gives the same order. Shard k has the slots from k * shard_slots on, one
+    file in the folder shard=k. Windows are shuffled to their shard once, compressed. The writer's commit makes a
+    shard whole or absent, so a broken run is resumed by writing the shards that are missing. An empty table gives no shard.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    made = written(windows(docs), f"{folder}/windows")
+    target = f"{folder}/windows"
+    source = windows(docs)
+    source.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(BLOCK_LEVEL)).parquet(target)
+    made = spark.read.schema(source.schema).parquet(target)
     parts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
     offsets = np.concatenate([[0], np.cumsum([n for _, n in parts])]).tolist()
     size = int(offsets[-1])
@@ -134,14 +178,12 @@ def materialise(docs: DataFrame, path: str, key: int = 7, shard_slots: int = SHA
         return made.select(*[F.lit(0).cast("long").alias(c) for c in ("slot", "shard", "byte_at", "first_doc", "start", "n_ids", "ids_crc32")]).limit(0)
     begins = spark.createDataFrame([(p, o) for (p, _), o in zip(parts, offsets)], "part long, begin long")
     numbered = made.join(F.broadcast(begins), "part").withColumn("number", F.col("begin") + F.col("at"))
-    slots = permute(numbered, "number", size, key).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("long"))
-    shards = -(-size // shard_slots)
-    partitions = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = permute(numbered, "number", size, key)
     # Ids of 16 bits are no valid text; the text writer copies a string's bytes as they are.
-    records = slots.select("shard", "slot", F.col("ids").cast("string").alias("value"))
-    ordered = records.repartitionByRange(partitions, "shard").sortWithinPartitions("shard", "slot").select("value", "shard")
-    ordered.write.option("lineSep", SEPARATOR).partitionBy("shard").text(path)
-    return slots.select("slot", "shard", ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", F.crc32("ids").alias("ids_crc32"))
+    records = _records(_blocks(slots, shard_slots)).select(F.col("value").cast("string").alias("value"), "shard")
+    records.write.option("lineSep", SEPARATOR).partitionBy("shard").text(path)
+    shard = F.floor(F.col("slot") / shard_slots).cast("long")
+    return slots.select("slot", shard.alias("shard"), ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", F.crc32("ids").alias("ids_crc32"))
 
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
