@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from .vocabulary import BLOCKS, CONSONANTS, MATRAS, VOWELS
 
-_VIRAMA, _NASALS, _VISARGA, _NUKTA, _OM = "्", "ँं", "ः", "़", "ॐ"
+_VIRAMA, _NASALS, _VISARGA, _OM = "\u094d", "\u0901\u0902", "\u0903", "\u0950"
 
 
 def fold(text: str) -> str:
@@ -27,30 +27,31 @@ def to_devanagari(text: str) -> str:
 
 
 def romanise(text: str) -> str:
-    """Latin letters for a Brahmic text: the inherent vowel is written unless a word ends or a virama follows."""
-    text = unicodedata.normalize("NFC", to_devanagari(text))
-    out, n = [], len(text)
-    for i, c in enumerate(text):
+    """Latin letters for a Brahmic text.
+
+    A consonant keeps its inherent vowel before another consonant or a vowel, loses it before a virama and at a
+    word's end, and takes that of a vowel sign. Signs without their consonant stay as they are.
+    """
+    text = to_devanagari(text)
+    out: list[str] = []
+    for before, c, after in zip(" " + text, text, text[1:] + " "):
         if c in CONSONANTS:
-            out.append(CONSONANTS[c])
-            follows = text[i + 1] if i + 1 < n else ""
-            if follows in CONSONANTS or follows in VOWELS:
-                out.append("a")
-        elif c in MATRAS:
-            out.append(MATRAS[c])
+            out.append(CONSONANTS[c] + ("a" if after in CONSONANTS or after in VOWELS else ""))
         elif c in VOWELS:
             out.append(VOWELS[c])
+        elif c in MATRAS:
+            out.append(MATRAS[c] if before in CONSONANTS else c)
         elif c in _NASALS:
-            out.append("n" if i and (text[i - 1] in MATRAS or text[i - 1] in VOWELS) else "an")
+            out.append("an" if before in CONSONANTS else "n")
         elif c == _VISARGA:
-            out.append("ah")
+            out.append("ah" if before in CONSONANTS else "h")
         elif c == _OM:
             out.append(" om ")
         elif "०" <= c <= "९":
-            out.append(chr(ord(c) - 0x0966 + 0x30))
-        elif c not in (_VIRAMA, _NUKTA):
+            out.append(str(ord(c) - ord("०")))
+        elif c != _VIRAMA:
             out.append(c)
-    return "".join(out)
+    return " ".join("".join(out).split())
 
 
 def script(text: str) -> str:

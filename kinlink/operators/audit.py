@@ -124,23 +124,60 @@ def noise_patterns(pairs: DataFrame) -> DataFrame:
     return found.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+# Labels of missed links and what would recover them, by words of the label.
+MISS_LABELS = {
+    "normalization": "1. normalization failure", "typo": "2. name typo", "abbreviation": "3. name abbreviation", "suffix": "4. legal suffix difference", "reorder": "5. word reorder", "phonetic": "6. transliteration",
+    "script": "6. transliteration / script gap", "address_typo": "7. address typo", "address_format": "7. address typo / digit-format", "truncation": "8. address truncation", "no_address": "9. missing address",
+    "postal": "10. postal mismatch", "house": "11. house-number issue", "locality": "12. locality issue", "none": "17. no blocker fired",
+}
+REMEDIES = [
+    ("abbrev", "Abbreviation Expansion Dictionary"), ("reorder", "Distinctive Token Pairs (Unordered)"), ("suffix", "Extended Legal Suffix Normalization"), ("postal|house|address", "Address Signature & Numeric Overlap Blocks"),
+    ("transliteration", "Phonetic Consonant Skeleton & Soundex"), ("normalization", "Punctuation & Compound Word Unification"),
+]
+OTHER_REMEDY = "Character N-Grams & Rare Tokens"
+
+
 def miss_category(version: str = "v1") -> Column:
-    """Why a true pair was missed: the first rule that holds. Columns left_name, right_name, left_addr, right_addr."""
-    a, b, x, y = (F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) for c in ("left_name", "right_name", "left_addr", "right_addr"))
-    ta, tb = T.words(T.clean(F.col("left_name"))), T.words(T.clean(F.col("right_name")))
-    indic = "[\\u0900-\\u097F]" if version == "2B" else "[\\u0900-\\u0D7F]"
-    plain = lambda c: T.without_legal_forms(T.clean(c))
-    out = F.when((F.length(x) < 3) | (F.length(y) < 3), "missing_address")
-    if version != "v1":
-        out = out.when(a.rlike(indic) != b.rlike(indic), "script")
-    out = out.when(a == b, "same_name").when(plain(a) == plain(b), "legal_suffix").when(F.array_sort(ta) == F.array_sort(tb), "reordered")
+    """Why a true pair was missed: the label of the first rule that holds, over fields l_* and r_* of both records.
+
+    ``v1`` looks for common phonetic words, ``2B`` first for Devanagari and then for those, ``2C`` only for letters of
+    any Brahmic block. Addresses of less than three characters come before all else.
+    """
+    lower = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
+    (na, nb), (aa, ab) = ((lower(f"l_{f}"), lower(f"r_{f}")) for f in ("name_raw", "addr_raw"))
+    ta, tb = (F.array_distinct(f"{s}_name_tokens") for s in "lr")
+    differ = lambda f: F.col(f"l_{f}").isNotNull() & F.col(f"r_{f}").isNotNull() & (F.col(f"l_{f}") != F.col(f"r_{f}"))
+    short = lambda i, n: (F.length(i) >= 2) & F.contains(n, F.col(i))
+    either = lambda pattern: na.rlike(pattern) | nb.rlike(pattern)
+    phonetic = F.arrays_overlap("l_phonetic", "r_phonetic")
+    scripts = {"2B": "[\\u0900-\\u097F]", "2C": "[\\u0900-\\u0D7F]"}
+    rules = [("no_address", (F.length(aa) < 3) | (F.length(ab) < 3) | (aa == "nan") | (ab == "nan"))]
+    if version in scripts:
+        rules.append(("script", either(scripts[version])))
+    rules += [
+        ("suffix", (F.col("l_name_no_suffix") != "") & (F.col("l_name_no_suffix") == F.col("r_name_no_suffix")) & (na != nb)),
+        ("reorder", (F.size(ta) > 0) & (F.array_sort(ta) == F.array_sort(tb)) & (F.col("l_name_alnum") != F.col("r_name_alnum"))),
+        ("abbreviation", short("l_name_initials", nb) | short("r_name_initials", na)),
+    ]
     if version != "2C":
-        out = out.when(T.skeleton(F.get(ta, F.lit(0))) == T.skeleton(F.get(tb, F.lit(0))), "phonetic")
-    return out.when(F.contains(a, b) | F.contains(b, a), "contained").when(F.levenshtein(a, b) <= 3, "typo").when(F.contains(x, y) | F.contains(y, x), "address_contained").otherwise("other")
+        rules.append(("phonetic" if version == "v1" else "script", phonetic))
+    rules += [
+        ("typo", T.set_ratio(ta, tb, "jaccard") >= 0.5),
+        ("postal", differ("postal_code")),
+        ("house", differ("house_number")),
+        ("truncation", F.contains(aa, ab) | F.contains(ab, aa)),
+        ("address_typo" if version == "v1" else "address_format", (aa != "") & (ab != "")),
+        ("normalization", either("[-_&/.]")),
+        ("locality", aa.rlike("near|opp|behind")),
+    ]
+    out = F.when(F.coalesce(rules[0][1], F.lit(False)), MISS_LABELS[rules[0][0]])
+    for label, holds in rules[1:]:
+        out = out.when(F.coalesce(holds, F.lit(False)), MISS_LABELS[label])
+    return out.otherwise(MISS_LABELS["none"])
 
 
 def categorised(pairs: DataFrame, version: str = "v1", examples: int = 3) -> DataFrame:
-    """category, n and the first ``examples`` pairs as s1_id>cand_id."""
+    """category, n and the first ``examples`` pairs as s1_id>cand_id, of pairs with fields l_* and r_*."""
     rows = pairs.withColumn("category", miss_category(version))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("s1_id", "cand_id"))).where(F.col("r") <= examples)
     named = first.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "s1_id", "cand_id"))), ",").alias("examples"))
@@ -149,4 +186,12 @@ def categorised(pairs: DataFrame, version: str = "v1", examples: int = 3) -> Dat
 
 def remedy(category: Column) -> Column:
     """What would recover a category of misses."""
-    return F.when(F.contains(category, F.lit("suffix")), "suffix keys").when(F.contains(category, F.lit("reorder")), "sorted tokens").when(F.contains(category, F.lit("phonetic")), "phonetic keys").when(F.contains(category, F.lit("script")), "transliteration").when(F.contains(category, F.lit("address")), "address keys").otherwise("n-gram keys")
+    out = F.when(category.rlike(REMEDIES[0][0]), REMEDIES[0][1])
+    for words, name in REMEDIES[1:]:
+        out = out.when(category.rlike(words), name)
+    return out.otherwise(OTHER_REMEDY)
+
+
+def script_audit(pairs: DataFrame) -> DataFrame:
+    """script_left, script_right and n of pairs with fields l_* and r_*."""
+    return pairs.groupBy(F.col("l_name_script").alias("script_left"), F.col("r_name_script").alias("script_right")).agg(F.count("*").alias("n"))

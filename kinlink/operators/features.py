@@ -12,7 +12,7 @@ from ..functions.vocabulary import FAMILIES
 #: Fields of a record that features need.
 FIELDS = [
     "name_raw", "name_alnum", "name_tokens", "name_tokens_sorted", "name_no_suffix", "name_initials", "distinctive", "phonetic", "legal_suffixes", "name_transliterated", "name_script", "name_c3", "name_c4",
-    "addr_alnum", "addr_tokens", "addr_distinctive", "addr_c3", "addr_c4", "numeric_atoms", "house_number", "postal_code",
+    "addr_raw", "addr_alnum", "addr_tokens", "addr_distinctive", "addr_c3", "addr_c4", "numeric_atoms", "house_number", "postal_code",
 ]
 
 

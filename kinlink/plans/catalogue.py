@@ -366,14 +366,26 @@ def noise_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.noise_patterns(_named_pairs(entities(spark, sf_dir)))
 
 
+def _voted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    left, right = (records.records(x) for x in sides(rows))
+    return candidates.ranked(candidates.votes(resolve.blocked(left, right, PLAIN)), 20), left, right
+
+
+def _missed_pairs(rows: DataFrame) -> DataFrame:
+    """Both records of true links that the last plain strategy misses."""
+    left, right = (records.records(x) for x in sides(rows))
+    lost = candidates.missed(true_links(rows), resolve.blocked(left, right, PLAIN[-1:]))
+    return features.paired(lost.distinct(), left, right)
+
+
 @query("miss_categories")
 def miss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.categorised(_named_pairs(entities(spark, sf_dir)), "2C").withColumn("remedy", audit.remedy(F.col("category")))
+    return audit.categorised(_missed_pairs(entities(spark, sf_dir)), "2C").withColumn("remedy", audit.remedy(F.col("category")))
 
 
-def _voted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    left, right = (records.records(x) for x in sides(rows))
-    return candidates.ranked(candidates.votes(resolve.blocked(left, right, PLAIN)), 20), left, right
+@query("script_audit")
+def script_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.script_audit(_missed_pairs(entities(spark, sf_dir)))
 
 
 @query("pair_features_native")
