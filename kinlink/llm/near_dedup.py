@@ -268,22 +268,36 @@ def links(rows: DataFrame, threshold: float, folder: str) -> tuple[DataFrame, Da
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """nid and label (the least nid of its component) of the nodes of edges a, b.
 
-    Labels move along edges and then to their own label's label, so rounds grow with the logarithm of the
-    longest path. Every round is written; the driver sees one count.
+    Every node is hooked to its least neighbour if that is less, hooks are followed to their roots by pointer
+    jumping, and edges are renamed to the roots; those within a root are gone, so edges shrink from round to round
+    and the last round has none. Every table is written; the driver sees whether one is empty.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{folder}/edges")
-    labels = written(both.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("m")).select("nid", F.least("nid", "m").alias("label")), f"{folder}/labels-0")
-    turn = 0
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = written(edges.select(a, b).where("a <> b").distinct(), f"{folder}/edges-0")
+    labels, turn = None, 0
     while True:
         turn += 1
-        near = both.join(labels.withColumnRenamed("nid", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "nid")
-        moved = labels.join(near, "nid").select("nid", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("nid").alias("label"), F.col("label").alias("further"))
-        new = moved.join(jump, "label", "left").select("nid", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
-        new = written(new, f"{folder}/labels-{turn}")
-        if new.where("label < was").isEmpty():
-            return new.select("nid", "label")
-        labels = new.select("nid", "label")
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{folder}/hooks-{turn}")
+        jump = 0
+        while True:
+            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            further = hooks.join(up, "root").select("node", F.col("root").alias("was"), F.col("up").alias("root"))
+            jump += 1
+            hooks = written(further, f"{folder}/hooks-{turn}-{jump}")
+            done = hooks.where("root < was").isEmpty()
+            hooks = hooks.select("node", "root")
+            if done:
+                break
+        if labels is None:
+            labels = hooks.select(F.col("node").alias("nid"), F.col("root").alias("label"))
+        else:
+            moved = labels.join(hooks.withColumnRenamed("node", "label"), "label", "left")
+            labels = written(moved.select("nid", F.coalesce("root", "label").alias("label")), f"{folder}/labels-{turn}")
+        named = pairs.join(hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        pairs = written(named.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{folder}/edges-{turn}")
+        if pairs.isEmpty():
+            return labels
 
 
 @dataclass(frozen=True)
