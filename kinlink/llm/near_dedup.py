@@ -6,6 +6,7 @@
    with the bucket's leader and the pairs with its neighbours in the order of the rest of the vector.
 4. Pairs whose vectors agree enough are verified by the weighted Jaccard similarity of the whole shingle sets.
 5. Verified links are joined to classes by label propagation with pointer jumping.
+6. All pairs of the larger buckets that are not yet in one class are compared, block by block, and what they link is joined.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ DF_BITS, SAMPLE_BITS = 18, 15
 SMALL = 32
 #: Neighbours on either side that a node of a larger bucket is paired with, in each of its buckets.
 NEIGHBOURS = 6
+#: Nodes of either side of a block in which the open pairs of the larger buckets are compared.
+BLOCK = 512
 #: Stands for a null id, so that ids can be compared and shuffled as plain numbers.
 NO_ID = (1 << 63) - 1
 #: Fewest agreeing samples of a pair that is verified: four standard deviations below the threshold's mean.
@@ -254,15 +257,124 @@ def _verified(near: DataFrame, vectors: DataFrame, idf: Broadcast, threshold: fl
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def links(rows: DataFrame, threshold: float, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes, and the links a, b, similarity between them that were found."""
+def _open_blocks(members: DataFrame, nodes: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """Rows of the blocks that cover every pair of a larger bucket's nodes whose labels differ.
+
+    The members outside a bucket's most common label are one side, all its members the other; both are dealt by hash
+    into blocks of about BLOCK nodes, so blocks grow with the product of the sides and rows with the nodes of a block.
+    """
+    large = members.where(F.col("n") > SMALL).join(labels, "nid", "left").select("bucket", "band", "nid", "n", F.coalesce("label", "nid").alias("label"))
+    sizes = large.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top")).select("bucket", "top.size", F.col("top.label").alias("top"))
+    rows = large.join(tops, "bucket").where("size < n").join(nodes.select("nid", "samples"), "nid")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+    few, all_ = blocks(F.col("n") - F.col("size")), blocks(F.col("n"))
+    rows = rows.select("bucket", "band", "nid", "label", (F.col("label") == F.col("top")).alias("in_top"), "samples", few.alias("few"), all_.alias("all"))
+    kept = written(rows, f"{folder}/open")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = kept.where("not in_top").select("*", F.lit(True).alias("is_left"), deal(F.col("few")).alias("i"), each("all").alias("j"))
+    right = kept.select("*", F.lit(False).alias("is_left"), each("few").alias("i"), deal(F.col("all")).alias("j"))
+    return left.unionByName(right).select("bucket", "i", "j", "is_left", "band", "nid", "label", "in_top", "samples")
+
+
+def _block_pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left and of the right side, and agreeing samples, of a block's pairs that are to be verified.
+
+    A pair of nodes outside the most common label is met from either side and taken from the lesser node's; a pair
+    that shares several buckets is taken in that of its first band.
+    """
+    nid, label = block["nid"].to_numpy(), block["label"].to_numpy()
+    is_left, in_top = block["is_left"].to_numpy(), block["in_top"].to_numpy()
+    band = block["band"][0].as_py()
+    samples = np.frombuffer(b"".join(block["samples"].to_pylist()), dtype="<u4").reshape(-1, SAMPLES)
+    lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    theirs = samples[rights]
+    found = [(np.empty(0, dtype=np.int64),) * 3]
+    for x in lefts.tolist():
+        same = theirs == samples[x]
+        agree = same.sum(axis=1)
+        at = np.flatnonzero((agree >= AGREE) & (label[rights] != label[x]) & (in_top[rights] | (nid[rights] > nid[x])))
+        at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        found.append((np.full(len(at), x), rights[at], agree[at]))
+    a, b, agree = (np.concatenate(c) for c in zip(*found))
+    return a, b, agree
+
+
+def _open_links(blocks: DataFrame, vectors: DataFrame, idf: Broadcast, threshold: float, folder: str) -> DataFrame:
+    """Links a, b, similarity with the labels x, y of their nodes, such that labels which any pair of the blocks links are joined.
+
+    A block first gives the rows that have a pair, so vectors go only to those. Then its pairs are verified, the most
+    alike first; a pair whose labels the block's links have joined already adds nothing and is passed over.
+    """
+
+    def needed(block: pa.Table) -> pa.Table:
+        a, b, _ = _block_pairs(block)
+        return block.take(pa.array(np.union1d(a, b).astype(np.int64)))
+
+    def run(block: pa.Table) -> pa.Table:
+        a, b, agree = _block_pairs(block)
+        weights, nid, label = idf.value, block["nid"].to_pylist(), block["label"].to_pylist()
+        hashes, counts = block["hashes"].to_pylist(), block["counts"].to_pylist()
+        sets: dict[int, tuple] = {}
+        up: dict[int, int] = {}
+
+        def vector(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                h = np.frombuffer(hashes[k], dtype="<u4")
+                sets[k] = (h, weigh(h, np.frombuffer(counts[k], dtype="<u4"), weights))
+            return sets[k]
+
+        def root(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = x = up.get(above, above)
+            return x
+
+        out = []
+        order = np.argsort(-agree, kind="stable")
+        for p, q in zip(a[order].tolist(), b[order].tolist()):
+            x, y = root(label[p]), root(label[q])
+            if x != y and (similarity := weighted_jaccard(vector(p), vector(q))) >= threshold:
+                up[x] = y
+                out.append((min(nid[p], nid[q]), max(nid[p], nid[q]), similarity, label[p], label[q]))
+        cols = list(zip(*out)) or [()] * 5
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table({k: pa.array(c, type=t) for k, c, t in zip(("a", "b", "similarity", "x", "y"), cols, types)})
+
+    by = ("bucket", "i", "j")
+    some = written(blocks.groupBy(*by).applyInArrow(needed, blocks.schema), f"{folder}/blocks")
+    return some.join(vectors, "nid").groupBy(*by).applyInArrow(run, "a long, b long, similarity double, x long, y long")
+
+
+def _joined(labels: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """nid and label after the labels of ``edges`` a, b are joined; a node without a label is its own."""
+    roots = components(edges, folder)
+    moved = labels.join(roots.select(F.col("nid").alias("label"), F.col("label").alias("root")), "label", "left")
+    fresh = roots.join(labels, "nid", "left_anti").select("nid", "label")
+    return written(moved.select("nid", F.coalesce("root", "label").alias("label")).unionByName(fresh), f"{folder}/joined")
+
+
+def links(rows: DataFrame, threshold: float, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes, links a, b, similarity between them, and nid, label of the linked nodes.
+
+    A first pass takes all pairs of small buckets, and of larger ones those with the leader and with neighbours. A
+    second one compares all pairs of the larger buckets that the first left in different components, so the
+    components are those of all pairs that share a bucket.
+    """
     idf = rows.sparkSession.sparkContext.broadcast(document_frequencies(rows))
     nodes = _nodes(rows, idf, folder)
     members = _members(nodes, folder)
     vectors = _vectors(rows, nodes, members, folder)
     pairs = _small_pairs(members).unionByName(_leader_pairs(members)).distinct()
     near = written(_agreeing(pairs, nodes).unionByName(_neighbour_pairs(members, nodes)).distinct(), f"{folder}/near")
-    return nodes, written(_verified(near, vectors, idf, threshold), f"{folder}/links")
+    found = written(_verified(near, vectors, idf, threshold), f"{folder}/links")
+    labels = components(found, folder)
+    blocks = _open_blocks(members, nodes, labels, folder)
+    more = written(_open_links(blocks, vectors, idf, threshold, folder), f"{folder}/more")
+    if more.isEmpty():
+        return nodes, found, labels
+    labels = _joined(labels, more.select(F.col("x").alias("a"), F.col("y").alias("b")), f"{folder}/second")
+    return nodes, found.unionByName(more.select("a", "b", "similarity")), labels
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -318,14 +430,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     Texts are near duplicates if the weighted Jaccard similarity of their shingles of five words reaches the
     threshold; classes are the connected components of the found links. Candidates are found with a probability
     of over 0.999 at similarity 0.8. Null texts count as empty, equal texts are one node, and nodes without a
-    partner are in no link. In a bucket of over SMALL nodes a node meets the leader and its neighbours, so of a
-    large group a link just at the threshold can stay unseen. Intermediate tables are written in the shared folder, so no stage depends on an
-    executor that is lost.
+    partner are in no link. Pairs of one class need not all be compared; every other pair of a bucket is.
+    Intermediate tables are written in the shared folder, so no stage depends on an executor that is lost.
     """
     small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
-    nodes, found = links(_rows(docs), threshold, folder)
-    labels = components(found, folder)
+    nodes, found, labels = links(_rows(docs), threshold, folder)
     linked = labels.join(nodes.select("nid", "rep_id"), "nid")
     first = F.min(F.struct("rep_id", "nid")).alias("first")
     heads = linked.groupBy("label").agg(first).select("label", F.col("first.rep_id").alias("class_id"), F.col("first.nid").alias("head"))

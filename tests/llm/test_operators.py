@@ -315,6 +315,27 @@ def test_large_group_is_one_class(spark):
     assert {r["class_id"] for r in rows} == {0} and sum(r["is_head"] for r in rows) == 1
 
 
+def group_without_centre(size=500, places=30):
+    """Copies of one text, each with three of some places changed: those that share two places are near duplicates."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(1000)}" for _ in range(220)]
+    texts = []
+    for k in range(size):
+        words = list(base)
+        for at in rng.sample(range(places), 3):
+            words[7 * at + 5] = f"n{k}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_large_group_without_centre_equals_brute_force(spark):
+    texts = group_without_centre()
+    docs = table(spark, texts)
+    want = brute_classes(dict(enumerate(texts)), near_dedup.document_frequencies(docs), near_dedup.THRESHOLD)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(TEXTS) + 3
