@@ -202,7 +202,9 @@ def _neighbour_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Within a bucket nodes are ordered by their vector, rotated to begin after the bucket's band, so nodes with a long
     common run of samples are next to each other, in another order for each band. Rows are ranged by bucket and
-    vector, so a large bucket is spread over tasks, and every node gives at most NEIGHBOURS pairs a bucket.
+    vector, so a large bucket is spread over tasks, and every node gives at most NEIGHBOURS pairs a bucket. Neighbours
+    on either side of a range's end don't meet here, so which pairs this gives depends on the number of partitions;
+    classes don't, as all pairs that the first pass leaves in different components are compared in _open_blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

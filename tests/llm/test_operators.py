@@ -336,6 +336,20 @@ def test_large_group_without_centre_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", ["1", "40"])
+def test_large_group_does_not_depend_on_partitions(spark, partitions):
+    texts = group_without_centre(size=300, places=24)
+    docs = table(spark, texts)
+    want = brute_classes(dict(enumerate(texts)), near_dedup.document_frequencies(docs), near_dedup.THRESHOLD)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(TEXTS) + 3
