@@ -9,6 +9,7 @@ of the last window.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -36,22 +37,41 @@ BLOCK, SETTLED = 128 * WINDOW, 8
 
 
 class Vocabulary:
-    """Ids of a byte-level BPE vocabulary file (JSON), by the merge ranks that its ids are."""
+    """Ids of a byte-level BPE vocabulary file (JSON), by the merge ranks that its ids are.
+
+    Texts are split at the file's added tokens, which have ids of their own; what lies between is encoded by itself.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
 
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        special = {x["content"] for x in described.get("added_tokens", [])}
+        added = described.get("added_tokens", [])
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added):
+            raise ValueError("added tokens that take blanks or need whole words are not supported")
+        special = {x["content"]: x["id"] for x in added}
         back = {c: b for b, c in enumerate(byte_characters())}
         ranks = {bytes(back[c] for c in piece): i for piece, i in described["model"]["vocab"].items() if piece not in special}
-        self.encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = special
+        self.splits = re.compile("|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
+        self.ordinary = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         #: Which ids end a sentence: their last character but blanks and quotes is a full stop, or they hold a line end.
-        self.ends_sentence = np.zeros(max(ranks.values()) + 2, dtype=bool)
+        self.ends_sentence = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=bool)
         for piece, i in ranks.items():
             self.ends_sentence[i] = b"\n" in piece or piece.rstrip(b" \"')]")[-1:] in (b".", b"!", b"?")
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text, as the tokenizers library gives them without its post-processor."""
+        if self.splits is None or self.splits.search(text) is None:
+            return self.ordinary(text)
+        out, at = [], 0
+        for found in self.splits.finditer(text):
+            out += self.ordinary(text[at : found.start()])
+            out.append(self.added[found.group()])
+            at = found.end()
+        return out + self.ordinary(text[at:])
+
 
 @lru_cache(maxsize=2)
 def vocabulary(name: str = "byte_bpe_50k.json", folder: str | None = None) -> Vocabulary:

@@ -238,6 +238,19 @@ def test_packing_holds_every_id_once(spark, docs, texts):
     assert padding < 0.02 * sum(lengths)
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    plain = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y. <|endoftext|", "é  <|endoftext|>  漢字 🙂", "none"]
+    assert plain(texts[0]) == [64, 220, 50256, 275]
+    assert [packing.vocabulary().encode(t) for t in texts] == [plain(t) for t in texts]
+    unpacked(packing.pack(table(spark, texts)).collect(), plain, dict(enumerate(texts)))
+    ids = {r["first_doc"]: r["n_ids"] for r in token_output.windows(table(spark, texts[:1])).collect()}
+    assert ids == {0: 5}
+
+
 def test_packing_of_odd_rows(spark, empty):
     rows = packing.pack(table(spark, TEXTS).coalesce(1)).collect()
     unpacked(rows, packing.vocabulary().encode, dict(enumerate(TEXTS)))
