@@ -45,10 +45,16 @@ def _plain_pairs(rows: DataFrame) -> DataFrame:
     return resolve.blocked(records.name_fields(left), records.name_fields(right), PLAIN)
 
 
-def _scored(rows: DataFrame) -> DataFrame:
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """s1_id, cand_id, strategy of all 47 strategies."""
+    left, right = (records.records(x) for x in sides(rows))
+    return resolve.blocked(left, right)
+
+
+def _scored(rows: DataFrame, found: Callable[[DataFrame], DataFrame] = _plain_pairs) -> DataFrame:
     """s1_id, cand_id, prob: the Jaccard similarity of the words of both names."""
     left, right = sides(rows)
-    pairs = _plain_pairs(rows).select("s1_id", "cand_id").distinct()
+    pairs = found(rows).select("s1_id", "cand_id").distinct()
     words = lambda r, k, c: r.select(F.col("entity_id").alias(k), F.array_distinct(F.split("business_name", " ")).alias(c))
     both = pairs.join(words(left, "s1_id", "a"), "s1_id").join(words(right, "cand_id", "b"), "cand_id")
     return both.select("s1_id", "cand_id", T.set_ratio(F.col("a"), F.col("b"), "jaccard").alias("prob"))
@@ -196,6 +202,12 @@ def candidate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.votes(_plain_pairs(entities(spark, sf_dir))).withColumn("strategies", F.array_join("strategies", ","))
 
 
+@query("candidate_votes_all")
+def candidate_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes of all 47 strategies."""
+    return candidates.votes(_all_pairs(entities(spark, sf_dir))).withColumn("strategies", F.array_join("strategies", ","))
+
+
 @query("weighted_candidates", f"{_K} SELECT s1_id, cand_id, CAST(sum(CASE strategy WHEN 'B01_exact_name' THEN 4 WHEN 'B05_first_two_tokens' THEN 3 WHEN 'B06_prefix4_len' THEN 1 ELSE 1 END) AS BIGINT) AS score FROM pairs GROUP BY ALL")
 def weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.weighted_votes(_plain_pairs(entities(spark, sf_dir)), dict(zip(PLAIN, (4, 3, 1, 1))))
@@ -335,17 +347,24 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.errors(_spine(rows), true_links(rows), evaluation.apply_policy(_scored(rows)))
 
 
+@query("blocking_recall_all")
+def blocking_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of all 47 strategies."""
+    rows = entities(spark, sf_dir)
+    return candidates.recall(true_links(rows), _all_pairs(rows))
+
+
 @query("policy_grid")
 def policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 160 policies; tested against apply_policy and entity_scores."""
     rows = entities(spark, sf_dir)
-    return evaluation.policy_grid(_spine(rows), true_links(rows), _scored(rows))
+    return evaluation.policy_grid(_spine(rows), true_links(rows), _scored(rows, _all_pairs))
 
 
 @query("threshold_sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return evaluation.threshold_sweep(_spine(rows), true_links(rows), _scored(rows))
+    return evaluation.threshold_sweep(_spine(rows), true_links(rows), _scored(rows, _all_pairs))
 
 
 @query("missed_links", f"{_K} SELECT s1_id, cand_id FROM truth EXCEPT SELECT s1_id, cand_id FROM pairs WHERE strategy = 'B15_prefix_suffix_4gram'")
@@ -358,7 +377,7 @@ def _named_pairs(rows: DataFrame) -> DataFrame:
     left, right = sides(rows)
     a = left.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("left_name"), F.col("business_address").alias("left_addr"))
     b = right.select(F.col("entity_id").alias("cand_id"), F.col("business_name").alias("right_name"), F.col("business_address").alias("right_addr"))
-    return resolve.blocked(records.name_fields(left), records.name_fields(right), PLAIN).select("s1_id", "cand_id").distinct().join(a, "s1_id").join(b, "cand_id")
+    return _all_pairs(rows).select("s1_id", "cand_id").distinct().join(a, "s1_id").join(b, "cand_id")
 
 
 @query("noise_patterns")
@@ -368,7 +387,7 @@ def noise_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _voted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     left, right = (records.records(x) for x in sides(rows))
-    return candidates.ranked(candidates.votes(resolve.blocked(left, right, PLAIN)), 20), left, right
+    return candidates.ranked(candidates.votes(resolve.blocked(left, right)), 40), left, right
 
 
 def _missed_pairs(rows: DataFrame) -> DataFrame:
@@ -406,7 +425,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = pairs.join(true_links(rows).distinct().withColumn("label", F.lit(1.0)), ["s1_id", "cand_id"], "left").fillna({"label": 0.0})
     marked = sampling.split(labelled, "s1_id")
     names = features.NATIVE_FEATURES
-    fitted = model.train(marked.where("is_train"), names, rounds=10, depth=3)
+    fitted = model.train(marked.where("is_train"), names)
     return model.score(fitted, marked.where("not is_train")).select("s1_id", "cand_id", "label", F.round("prob", 4).alias("prob"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from kinlink.functions import kernels
 from kinlink.functions import text as T
 from kinlink.operators import audit, blocking, candidates, evaluation, features, records, sampling, validation
-from kinlink.plans import resolve
+from kinlink.plans import catalogue, resolve
 from kinlink.sources import tables
 
+SMALLEST = "/root/testdata/sf0.001"
+
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
 
@@ -211,3 +213,25 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("s1_id", "cand_id", "votes").collect()}
     want = {tuple(r) for r in resolve.resolve_by_votes(records.records(left), right, names).collect()}
     assert got == want and {r[:2] for r in got} == {("S1-0", "S2-1"), ("S1-1", "S3-1")}
+
+
+def test_pairs_of_all_strategies_equal_brute_force(spark):
+    rows = catalogue.entities(spark, SMALLEST)
+    sides = ([], [])
+    for r in blocking.with_keys(records.records(rows)).collect():
+        sides[not r["entity_id"].startswith("S1-")].append(r)
+    found = {}
+    for r in sides[1]:
+        found.setdefault((r["strategy"], r["country"], r["key"]), set()).add(r["entity_id"])
+    votes = {}
+    for r in sides[0]:
+        for cand in found.get((r["strategy"], r["country"], r["key"]), ()):
+            votes.setdefault((r["entity_id"], cand), set()).add(r["strategy"])
+    got = {(r["s1_id"], r["cand_id"]): r for r in catalogue.candidate_votes_all(spark, SMALLEST).collect()}
+    assert {k: (r["votes"], r["strategies"]) for k, r in got.items()} == {k: (len(v), ",".join(sorted(v))) for k, v in votes.items()}
+    assert any(not v & set(catalogue.PLAIN) for v in votes.values())
+    best = {}
+    for (s1, cand), v in votes.items():
+        best.setdefault(s1, []).append((-len(v), cand))
+    want = {(s1, cand) for s1, x in best.items() for _, cand in sorted(x)[:40]}
+    assert {(r["s1_id"], r["cand_id"]) for r in catalogue.pair_features_native(spark, SMALLEST).select("s1_id", "cand_id").collect()} == want
