@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 KEY = ["strategy", "country", "key"]
 
 
-def postings(keys: DataFrame, cap: int = 15_000, mode: str = "truncate") -> DataFrame:
+def postings(keys: DataFrame, cap: int | None = 15_000, mode: str = "truncate") -> DataFrame:
     """strategy, country, key, cand_id of keyed candidate records.
 
     A key of over ``cap`` records keeps its first ``cap`` in the order of entity_id (``truncate``) or none
-    (``drop``). Sources are in their order, because ids begin with their source.
+    (``drop``); without a cap every key keeps all. Sources are in their order, because ids begin with their source.
     """
     rows = keys.select(*KEY, F.col("entity_id").alias("cand_id"))
+    if cap is None:
+        return rows
     counts = rows.groupBy(*KEY).agg(F.count("*").alias("n"))  # combined before the shuffle, so hot keys cost little
     if mode == "drop":
         return rows.join(counts.where(F.col("n") <= cap), KEY, "left_semi")

@@ -42,7 +42,7 @@ def _spine(rows: DataFrame) -> DataFrame:
 
 def _plain_pairs(rows: DataFrame) -> DataFrame:
     left, right = sides(rows)
-    return resolve.blocked(records.name_fields(left), records.name_fields(right), PLAIN)
+    return resolve.blocked(records.name_fields(left), records.name_fields(right), PLAIN, cap=None)  # as their SQL
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vote_fallback_matches", f"{_K}, t AS (SELECT *, max(votes) OVER (PARTITION BY s1_id) AS top, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, cand_id) AS r FROM votes), f AS (SELECT * FROM t WHERE r <= 40) SELECT s1_id, cand_id, votes FROM f WHERE votes >= 3 OR (top < 3 AND r = 1 AND votes >= 2)")
 def vote_fallback_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sides(entities(spark, sf_dir))
-    return resolve.resolve_by_votes(records.name_fields(left), records.name_fields(right), PLAIN)
+    return resolve.resolve_by_votes(records.name_fields(left), records.name_fields(right), PLAIN, cap=None)
 
 
 @query(

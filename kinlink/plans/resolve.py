@@ -32,15 +32,15 @@ def resolve_exact(left: DataFrame, others: list[DataFrame], cap: int = 10, keep:
     return spine.join(per, "s1_id", "left").select("s1_id", F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("matched_entity_ids"))
 
 
-def blocked(left: DataFrame, right: DataFrame, strategies: list[str] | None = None, cap: int = 15_000, mode: str = "truncate") -> DataFrame:
+def blocked(left: DataFrame, right: DataFrame, strategies: list[str] | None = None, cap: int | None = 15_000, mode: str = "truncate") -> DataFrame:
     """s1_id, cand_id, strategy of records of both sides that share a key."""
     posted = candidates.postings(blocking.with_keys(right, strategies), cap, mode)
     return candidates.pairs(blocking.with_keys(left, strategies), posted)
 
 
-def resolve_by_votes(left: DataFrame, right: DataFrame, strategies: list[str] | None = None, top: int = 40, sure: int = 3, least: int = 2) -> DataFrame:
+def resolve_by_votes(left: DataFrame, right: DataFrame, strategies: list[str] | None = None, top: int = 40, sure: int = 3, least: int = 2, cap: int | None = 15_000) -> DataFrame:
     """s1_id, cand_id, votes that the vote rule accepts among the first ``top``."""
-    voted = candidates.ranked(candidates.votes(blocked(left, right, strategies)), top)
+    voted = candidates.ranked(candidates.votes(blocked(left, right, strategies, cap)), top)
     return candidates.fallback(voted, sure, least).select("s1_id", "cand_id", "votes")
 
 

@@ -235,3 +235,11 @@ def test_pairs_of_all_strategies_equal_brute_force(spark):
         best.setdefault(s1, []).append((-len(v), cand))
     want = {(s1, cand) for s1, x in best.items() for _, cand in sorted(x)[:40]}
     assert {(r["s1_id"], r["cand_id"]) for r in catalogue.pair_features_native(spark, SMALLEST).select("s1_id", "cand_id").collect()} == want
+
+
+def test_queries_with_sql_have_no_posting_cap(spark):
+    others = spark.range(15_001).selectExpr("concat('S2-', id) entity_id", "'S2' source", "'en' country", "'same name here' business_name", "'' business_address")
+    rows = others.unionByName(spark.createDataFrame([("S1-0", "S1", "en", "same name here", "")], others.schema))
+    left, right = (records.name_fields(x) for x in catalogue.sides(rows))
+    assert resolve.blocked(left, right, catalogue.PLAIN[:1]).count() == 15_000
+    assert catalogue._plain_pairs(rows).where("strategy = 'B01_exact_name'").count() == 15_001
