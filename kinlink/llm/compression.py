@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: A text is compressed in blocks of so many bytes, so that the dictionary matters all along a long text.
 BLOCK_BYTES = 2048
 
 
-def make_dictionary(data: list[bytes], size: int) -> bytes:
-    """Raw content for a dictionary: the samples' bytes, an equal share of each, at most ``size`` in all."""
-    share = max(1, size // max(1, len(data)))
-    return b"\n".join(d[:share] for d in data)[:size]
+def hashed_slice(text: Column, chars: int, seed: int) -> Column:
+    """``chars`` consecutive characters of a text from a place that its hash chooses; a shorter text as a whole."""
+    places = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(text, (F.pmod(F.xxhash64(F.lit(seed), text), places) + 1).cast("int"), F.lit(chars))
+
+
+def make_dictionary(slices: list[bytes], size: int) -> bytes:
+    """Raw content for a dictionary: slices of texts, of each at most an equal share of ``size`` bytes."""
+    share = max(1, size // max(1, len(slices)) - 1)
+    return b"\n".join(d[:share] for d in slices)[:size]
 
 
 class Sizer:

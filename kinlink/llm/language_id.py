@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod, documents, small_batches
-from .compression import Sizer, make_dictionary
+from .compression import Sizer, hashed_slice, make_dictionary
 
 _LETTER = re.compile(r"[^\W\d_]")
 _GAPS = bytes(b if b > 0x7F or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -36,26 +36,30 @@ class LanguageModel:
     scale: float
 
 
-def fit_languages(docs: DataFrame, learn: Column, rows_a_language: int = 300, chars_a_row: int = 2000, dictionary_bytes: int = 65536, max_languages: int = 200, min_margin: float = 0.002, scale: float = 0.02, seed: int = 11) -> LanguageModel:
+def fit_languages(docs: DataFrame, learn: Column, rows_a_language: int = 300, slice_chars: int = 220, dictionary_bytes: int = 65536, model_bytes: int = 64 << 20, min_margin: float = 0.002, scale: float = 0.02, seed: int = 11) -> LanguageModel:
     """Dictionaries from a bounded sample of the rows for which ``learn`` holds.
 
-    The bounds are parameters: ``rows_a_language`` rows of each of the ``max_languages`` most frequent labels,
-    ``chars_a_row`` characters of each. Rows with null or empty text or label aren't learned from. Rows are
-    taken by a hash of the id, so the sample doesn't depend on the partitions. Without labelled rows the model
-    has no language and all texts are ``und``.
+    The bounds are parameters: ``rows_a_language`` documents of each label, and of each a slice of ``slice_chars``
+    characters at a hashed place of the whole text; a dictionary has at most ``dictionary_bytes``, all of them together
+    ``model_bytes``. Every label of the column gets a dictionary. Rows with null or empty text or label aren't learned
+    from. Documents are taken by a hash of the id, so the sample doesn't depend on the partitions, and rows that repeat
+    an id count once. Without labelled rows the model has no language and all texts are ``und``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).where("learn and lang is not null and lang <> ''")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).where("learn and lang <> '' and text <> ''")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").collect()  # a row a label
     if not counts:
         return LanguageModel([], [], min_margin, scale)
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 2.0 * (rows_a_language + 10) / r["count"]) * (1 << 30))))])
-    taken = rows.where((F.length("text") > 0) & (place < F.element_at(share, F.col("lang")))).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, chars_a_row).alias("text"))
+    # About twice as many documents as are wanted, so that the wanted number is nearly surely among them.
+    bounds = spark.createDataFrame([(r["lang"], int(min(1.0, 2.0 * (rows_a_language + 10) / max(1, r["ids"])) * (1 << 30))) for r in counts], "lang string, bound long")
+    taken = rows.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("lang", place.alias("place"), "doc_id", hashed_slice(F.col("text"), slice_chars, seed).alias("part"))
     per: dict[str, list] = {}
-    for r in taken.collect():
-        per.setdefault(r["lang"], []).append((r["place"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))
+    for r in taken.groupBy("lang", "place", "doc_id").agg(F.min("part").alias("part")).collect():
+        per.setdefault(r["lang"], []).append((r["place"], r["doc_id"], r["part"]))
     languages = [r["lang"] for r in counts if r["lang"] in per]  # most frequent first
-    return LanguageModel(languages, [make_dictionary([letters_only(t) for _, _, t in sorted(per[k])[:rows_a_language]], dictionary_bytes) for k in languages], min_margin, scale)
+    size = min(dictionary_bytes, model_bytes // len(languages)) if languages else 0
+    return LanguageModel(languages, [make_dictionary([letters_only(t) for _, _, t in sorted(per[k])[:rows_a_language]], size) for k in languages], min_margin, scale)
 
 
 class LanguageScorer:
@@ -100,14 +104,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text is accepted. Empty texts aren't."""
+    """The rows of ``docs``, all columns as they are, whose text is accepted. Null and empty texts aren't.
+
+    A text column of another type is read as a string, as :func:`identify` does.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = LanguageScorer(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.predict(t)[3] for t in batch.column(at).to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([scorer.predict(t if t is None or isinstance(t, str) else str(t))[3] for t in batch.column(at).to_pylist()], type=pa.bool_()))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

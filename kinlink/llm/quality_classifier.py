@@ -1,8 +1,8 @@
 """Quality classification by compression.
 
 One raw-content zstandard dictionary is made from texts labelled good, one from texts labelled bad. The
-difference of the two compressed sizes, divided by their sum, is calibrated to a probability by logistic
-regression on labelled texts that aren't in the dictionaries.
+difference of a text's two compressed sizes, normalised by its length, is calibrated to a probability by logistic
+regression on labelled texts that aren't in the dictionaries. Nothing else enters the score.
 """
 
 from __future__ import annotations
@@ -15,24 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod, documents, small_batches
-from .compression import Sizer, make_dictionary
+from .compression import Sizer, hashed_slice, make_dictionary
 
 
 @dataclass(frozen=True)
 class QualityModel:
     good: bytes
     bad: bytes
-    #: Of the logistic function: intercept and weights of the features.
-    weights: tuple[float, ...]
-    #: Score of a text without bytes: the learned share of good texts among the shortest ones.
+    #: Of the logistic function: intercept and weight of the normalised difference.
+    weights: tuple[float, float]
+    #: Score of a text without bytes, and of all texts where nothing could be learned: the learned share of good texts.
     empty_score: float
 
 
-def features(sizer: Sizer, text: str) -> list[float]:
-    """The normalised size difference, positive for good text, and the logarithm of the share of bytes that the good dictionary leaves."""
+def difference(sizer: Sizer, text: str) -> float:
+    """How many bytes of twenty the good dictionary saves over the bad one; positive for good text."""
     data = text.encode("utf-8", "surrogatepass")
     good, bad = sizer.sizes(data)
-    return [20.0 * (bad - good) / (bad + good), float(np.log(good / len(data)))]
+    return 20.0 * (bad - good) / len(data)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -50,34 +50,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, rows_a_class: int = 1500, chars_a_row: int = 6000, dictionary_bytes: int = 131072, seed: int = 13) -> QualityModel:
+def _differences(texts: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """doc_id and x, the normalised difference, of whole non-empty texts."""
+    held = texts.sparkSession.sparkContext.broadcast((good, bad))
+
+    def make():
+        sizer = Sizer(list(held.value))
+        return lambda batch: {"doc_id": batch.column(0), "x": [difference(sizer, t) for t in batch.column(1).to_pylist()]}
+
+    return arrow_map(texts.select("doc_id", "text"), "doc_id long, x double", make)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, dictionary_rows: int = 375, calibration_rows: int = 750, slice_chars: int = 350, dictionary_bytes: int = 131072, seed: int = 13) -> QualityModel:
     """Dictionaries and calibration from a bounded sample of the labelled rows for which ``learn`` holds.
 
-    The bounds are parameters: ``rows_a_class`` rows of each class, ``chars_a_row`` characters of each. Half of the
-    sample makes the dictionaries, the other half the calibration, which weights both classes by their share of
-    all labels. Null labels aren't learned from; a document with several labels counts as its largest. Without
-    labels of both classes every text scores the share of good labels, or 0.5 without any.
+    The bounds are parameters: of each class ``dictionary_rows`` documents give a slice of ``slice_chars`` characters
+    at a hashed place of the whole text, and ``calibration_rows`` further ones give their normalised difference, which
+    is computed on the executors from whole texts. A class with fewer documents gives half to either. Classes are
+    weighted by their share of all labels. Null labels aren't learned from; a document with several labels counts as
+    its largest, and rows that repeat an id count once. Without labels of both classes every text scores the share of
+    good labels, or 0.5 without any.
     """
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return QualityModel(b"", b"", (float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))), 0.0, 0.0), (n.get(1, 0) + 1) / (sum(n.values()) + 2))
+    n = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
+    share = (n[1] + 1) / (n[0] + n[1] + 2)
+    nothing = QualityModel(b"", b"", (0.0, 0.0), share)
+    if not n[0] or not n[1]:
+        return nothing
+    wanted = dictionary_rows + calibration_rows
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30))
-    bound = F.when(F.col("quality") == 1, F.lit(int(min(1.0, 1.5 * (rows_a_class + 10) / n[1]) * (1 << 30)))).otherwise(F.lit(int(min(1.0, 1.5 * (rows_a_class + 10) / n[0]) * (1 << 30))))
-    chosen = marks.where(place < bound).withColumn("place", place)  # at most about 1.5 times rows_a_class of each class
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, chars_a_row).alias("text"))
-    got = sorted((r["place"], r["doc_id"], r["text"], r["quality"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
-    per = {q: [t for _, _, t, y in got if y == q and t][:rows_a_class] for q in (0, 1)}
+    bound = lambda q: F.lit(int(min(1.0, 1.5 * (wanted + 10) / n[q]) * (1 << 30)))
+    chosen = marks.where(place < F.when(F.col("quality") == 1, bound(1)).otherwise(bound(0))).withColumn("place", place)  # at most about 1.5 times what is wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    parts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "place").agg(F.min(hashed_slice(F.col("text"), slice_chars, seed)).alias("part"))
+    got = sorted((r["place"], r["doc_id"], r["part"], r["quality"]) for r in parts.collect())
+    per = {q: [(d, t) for _, d, t, y in got if y == q][:wanted] for q in (0, 1)}
     if min(map(len, per.values())) < 2:
-        return QualityModel(b"", b"", (float(np.log((n[1] + 1) / (n[0] + 1))), 0.0, 0.0), n[1] / (n[0] + n[1]))
-    good, bad = (make_dictionary([t.encode("utf-8", "surrogatepass") for t in per[q][::2]], dictionary_bytes) for q in (1, 0))
-    sizer = Sizer([good, bad])
-    x = np.array([features(sizer, t) for q in (0, 1) for t in per[q][1::2]])
-    y = np.array([float(q) for q in (0, 1) for _ in per[q][1::2]])
+        return nothing
+    first = {q: min(dictionary_rows, len(x) // 2) for q, x in per.items()}
+    good, bad = (make_dictionary([t.encode("utf-8", "surrogatepass") for _, t in per[q][: first[q]]], dictionary_bytes) for q in (1, 0))
+    rest = docs.sparkSession.createDataFrame([(d, q) for q in (0, 1) for d, _ in per[q][first[q] :]], "doc_id long, quality int")
+    compared = _differences(texts.join(F.broadcast(rest), "doc_id", "left_semi"), good, bad).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = sorted((r["doc_id"], r["x"], r["quality"]) for r in compared.join(F.broadcast(rest), "doc_id").collect())
+    x, y = np.array([[r[1]] for r in rows]), np.array([float(r[2]) for r in rows])
     w = _logistic(x, y)
     sampled = (y.sum() + 0.5) / (len(y) - y.sum() + 0.5)
     w[0] += np.log(n[1] / n[0]) - np.log(sampled)  # from the sample's share of good texts to that of all labels
-    return QualityModel(good, bad, tuple(map(float, w)), n[1] / (n[0] + n[1]))
+    return QualityModel(good, bad, (float(w[0]), float(w[1])), share)
 
 
 class QualityScorer:
@@ -86,13 +106,10 @@ class QualityScorer:
 
     def score(self, text: str | None) -> float:
         """Probability that the text is good; the share of good labels for an empty text."""
-        if not text:
-            return self.model.empty_score
-        a, b, c = self.model.weights
-        if not self.model.good:
+        if not text or not self.model.good:
             return self.model.empty_score
-        x = features(self.sizer, text)
-        return float(1 / (1 + np.exp(-np.clip(a + b * x[0] + c * x[1], -30, 30))))
+        a, b = self.model.weights
+        return float(1 / (1 + np.exp(-np.clip(a + b * difference(self.sizer, text), -30, 30))))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

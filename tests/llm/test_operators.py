@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,6 +114,84 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality_classifier.score_quality(empty, model).count() == 0
 
 
+def plain_size(content, text_bytes):
+    """Compressed size under a raw dictionary by a fresh compressor for each block."""
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=15, search_log=3, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    total = 0
+    for i in range(0, len(text_bytes), compression.BLOCK_BYTES):
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=how)
+        total += len(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress(text_bytes[i : i + compression.BLOCK_BYTES]))
+    return total
+
+
+def test_language_equals_brute_force(spark, docs, texts):
+    learn = language_id.crc_mod("doc_id", 3) != 1
+    model = language_id.fit_languages(docs, learn, rows_a_language=20, slice_chars=300, dictionary_bytes=5000)
+    # Dictionaries hold slices of learned texts of their label only, spread over the texts.
+    labelled = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    inside, starts = {k: [] for k in model.languages}, []
+    for k, content in zip(model.languages, model.dictionaries):
+        assert len(content) <= 5000
+        own = [language_id.letters_only(t) for d, t in texts.items() if labelled[d] == k and t and zlib.crc32(str(d).encode()) % 3 != 1]
+        for part in content.split(b"\n"):
+            found = [t.find(part[1:-1]) / max(1, len(t)) for t in own if part[1:-1] in t]
+            assert found
+            starts += found[:1]
+    assert np.quantile(starts, 0.75) > 0.3
+    for r in language_id.identify(docs, model).collect():
+        text = texts[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        data = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).strip()
+        sizes = [plain_size(c, data) for c in model.dictionaries]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        margin = (sizes[order[1]] - sizes[order[0]]) / max(1, sizes[order[0]])
+        assert r["lang_pred"] == model.languages[order[0]] and r["margin"] == pytest.approx(margin)
+        assert r["score"] == pytest.approx(1 - 0.5 * np.exp(-margin / model.scale)) and r["accepted"] == (margin >= model.min_margin)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = spark.range(20_000).selectExpr("id % 3 doc_id", "repeat(cast(id as string), 50) text", "'en' lang")
+    model = language_id.fit_languages(rows, F.lit(True), rows_a_language=50)
+    assert model.languages == ["en"] and model.dictionaries[0].count(b"\n") <= 2
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    assert quality_classifier.fit_quality(rows, labels, F.lit(True)).good == b""
+
+
+def test_quality_equals_brute_force(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality_classifier.fit_quality(docs, labels, quality_classifier.crc_mod("doc_id", 5) != 0)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    used = {1: model.good, 0: model.bad}
+    for q, content in used.items():
+        own = [texts[d].encode() for d, y in marks.items() if y == q and texts.get(d)]
+        parts = content.split(b"\n")
+        whole = b"\n".join(own)
+        assert all(p in whole for p in parts) and len(content) <= 131072
+    assert model.empty_score == pytest.approx((sum(marks.values()) + 1) / (len(marks) + 2))
+    a, b = model.weights
+    for r in quality_classifier.score_quality(docs.where("doc_id % 7 = 0"), model).collect():
+        text = (texts[r["doc_id"]] or "").encode()
+        if not text:
+            assert r["score"] == model.empty_score
+            continue
+        x = 20 * (plain_size(model.bad, text) - plain_size(model.good, text)) / len(text)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(a + b * x, -30, 30))))
+
+
+def test_logistic_regression_fits_the_data():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 1))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.7 + 1.5 * x[:, 0])))).astype(float)
+    w = quality_classifier._logistic(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + w[1] * x[:, 0])))
+    assert w == pytest.approx([0.7, 1.5], abs=0.2) and abs((p - y).sum()) < 0.1 and abs(((p - y) * x[:, 0]).sum()) < 0.1
+
+
 def test_sizes_cover_whole_texts():
     sizer = compression.Sizer([b"abc" * 100, b""])
     assert sizer.sizes(b"") == [0, 0]
