@@ -2,8 +2,9 @@
 
 The documents of a partition are one stream of tokens. Where it is cut into sequences is chosen by dynamic
 programming: a cut at a document's end is free, one at a sentence's end costs a little, one elsewhere more, and
-every token of padding costs one. The best predecessor of a cut is the front of a monotone queue over the cuts
-of the last window.
+every token that a sequence lacks to the window costs one. The best predecessor of a cut is the front of a monotone
+queue over the cuts of the last window. The plan has the least cost of all plans of the whole partition, though it
+is made block by block: cuts are given out once every plan that can still be the best one shares them.
 """
 
 from __future__ import annotations
@@ -30,10 +31,8 @@ WINDOW = 1024
 END_ID = 0
 #: Cost, in tokens of padding, of a cut at a sentence's end and of a cut within a sentence.
 SENTENCE_CUT, FREE_CUT = 8.0, 24.0
-#: Of the sentence ends in so many tokens only the last is a candidate.
-CELL = 32
-#: Tokens that are planned at once, and how many windows before their end the plan is final.
-BLOCK, SETTLED = 128 * WINDOW, 8
+#: Further tokens after which the plan is carried on and its settled cuts are given out.
+BLOCK = 128 * WINDOW
 
 
 class Vocabulary:
@@ -78,49 +77,75 @@ def vocabulary(name: str = "byte_bpe_50k.json", folder: str | None = None) -> Vo
     return Vocabulary(tokenizer_path(name, folder))
 
 
-def plan_cuts(places: list[int], penalties: list[float], window: int = WINDOW, free: float = FREE_CUT) -> list[int]:
-    """The cuts of least cost of a stream from 0 to places[-1], which is one of them.
+class Plan:
+    """The cuts of least cost of a stream that is given piece by piece.
 
-    ``places`` are ascending candidates with their ``penalties``. A sequence of ``window`` tokens, or of half or a
-    quarter of it, has no padding; others have window minus length. Besides the candidates, the best cut of a
-    window (the queue's front) may be followed by a full window that ends anywhere, at the penalty ``free``.
+    Candidates come in ascending order with their penalties; all other places are candidates at the penalty ``free``,
+    which is at least theirs. A sequence costs window minus its length. Of the other places only the end of a full
+    window after the queue's front can be in a best plan: a cut that is moved towards the end of its window leaves the
+    sum of all paddings as it is, and of two predecessors the one of less cost plus place stays ahead.
     """
-    at, cost, before = [0], [0.0], [-1]
-    index = {0: 0}
-    queue = deque([0])  # cuts of the last window; cost + place ascends, so the front pads least
-    powers = (window // 2, window // 4)
-    i, n = 0, len(places)
-    while i < n:
-        front = queue[0]
-        full = at[front] + window
-        b = places[i]
-        if full < b:
-            queue.popleft()
-            if full <= at[-1]:  # a candidate stood at the full window's end
-                continue
-            b, penalty = full, free
-        else:
-            penalty = penalties[i]
-            i += 1
-        best, c = front, cost[front] + full - b
-        for p in powers:
-            a = index.get(b - p)
-            if a is not None and cost[a] < c:
-                best, c = a, cost[a]
-        c += penalty
-        index[b] = k = len(at)
-        at.append(b)
-        cost.append(c)
-        before.append(best)
-        key = c + b
-        while queue and cost[queue[-1]] + at[queue[-1]] >= key:
-            queue.pop()
-        queue.append(k)
-    cuts, k = [], len(at) - 1
-    while k > 0:
-        cuts.append(at[k])
-        k = before[k]
-    return cuts[::-1]
+
+    def __init__(self, window: int = WINDOW, free: float = FREE_CUT):
+        self.window, self.free = window, free
+        self.at, self.cost, self.before = [0], [0.0], [-1]
+        self.queue = deque([0])  # cuts of the last window; cost + place ascends, so the front pads least
+
+    def extend(self, places: list[int], penalties: list[float]) -> None:
+        """Plans on to the last of ``places``, which then is a cut."""
+        at, cost, before, queue, window = self.at, self.cost, self.before, self.queue, self.window
+        i, n = 0, len(places)
+        while i < n:
+            front = queue[0]
+            full = at[front] + window
+            b = places[i]
+            if full < b:
+                queue.popleft()
+                if full <= at[-1]:  # a candidate stood at the full window's end
+                    continue
+                b, penalty = full, self.free
+            else:
+                penalty = penalties[i]
+                i += 1
+            c = cost[front] + full - b + penalty
+            k = len(at)
+            at.append(b)
+            cost.append(c)
+            before.append(front)
+            key = c + b
+            while queue and cost[queue[-1]] + at[queue[-1]] >= key:
+                queue.pop()
+            queue.append(k)
+
+    def _path(self, k: int) -> list[int]:
+        cuts = []
+        while k > 0:
+            cuts.append(self.at[k])
+            k = self.before[k]
+        return cuts[::-1]
+
+    def cuts(self) -> list[int]:
+        """All cuts up to the last place."""
+        return self._path(len(self.at) - 1)
+
+    def settle(self) -> list[int]:
+        """The cuts that every best plan of a longer stream shares; the last of them becomes place 0.
+
+        Later cuts follow one that is in the queue now, so these are the cuts before the queue's common ancestor.
+        """
+        ends = set(self.queue)
+        while len(ends) > 1:
+            last = max(ends)
+            ends.remove(last)
+            ends.add(self.before[last])
+        root = ends.pop()
+        cuts = self._path(root)
+        origin, spent = self.at[root], self.cost[root]
+        self.at = [x - origin for x in self.at[root:]]
+        self.cost = [x - spent for x in self.cost[root:]]
+        self.before = [-1] + [max(0, x - root) for x in self.before[root + 1 :]]
+        self.queue = deque(k - root for k in self.queue)
+        return cuts
 
 
 def split_tail(length: int, free: float = FREE_CUT, window: int = WINDOW) -> list[int]:
@@ -132,34 +157,44 @@ def split_tail(length: int, free: float = FREE_CUT, window: int = WINDOW) -> lis
 class Packer:
     """Takes documents in order and gives the pieces of sequences that are settled."""
 
-    def __init__(self, ends_sentence: np.ndarray, window: int = WINDOW):
-        self.ends_sentence, self.window = ends_sentence, window
+    def __init__(self, ends_sentence: np.ndarray, window: int = WINDOW, block: int = BLOCK):
+        self.ends_sentence, self.window, self.block = ends_sentence, window, block
         self.docs: list[tuple] = []  # id, ids left, ids before them, all its ids
-        self.held = self.sequences = 0
+        self.fresh: list[np.ndarray] = []  # ids of the documents that aren't planned yet
+        self.plan, self.planned, self.waiting, self.sequences = Plan(window), 0, 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, ids, 0, len(ids)))
-        self.held += len(ids)
+        self.fresh.append(ids)
+        self.waiting += len(ids)
+
+    def is_due(self) -> bool:
+        return self.waiting >= self.block
+
+    def _carry_on(self) -> None:
+        new = np.concatenate(self.fresh)
+        ends = np.cumsum([len(x) for x in self.fresh])
+        places = np.union1d(np.flatnonzero(self.ends_sentence[new]) + 1, ends)
+        penalties = np.full(len(places), SENTENCE_CUT)
+        penalties[np.searchsorted(places, ends)] = 0.0
+        self.plan.extend((places + self.planned).tolist(), penalties.tolist())
+        self.planned += len(new)
+        self.fresh, self.waiting = [], 0
 
     def take(self, last: bool) -> list[tuple]:
         """doc_id, start, length, crc32, doc_tokens, sequence, offset and sequence's length of each settled piece."""
         if not self.docs:
             return []
-        ids = np.concatenate([d[1] for d in self.docs])
-        ends = np.cumsum([len(d[1]) for d in self.docs])
-        marks = np.flatnonzero(self.ends_sentence[ids]) + 1
-        cell = marks // CELL
-        marks = marks[np.append(cell[1:] != cell[:-1], True)] if len(marks) else marks
-        places = np.union1d(marks, ends)
-        penalties = np.where(np.isin(places, ends, assume_unique=False), 0.0, SENTENCE_CUT)
-        cuts = plan_cuts(places.tolist(), penalties.tolist(), self.window)
+        if self.fresh:
+            self._carry_on()
+        cuts = self.plan.cuts() if last else self.plan.settle()
         if last:
             start = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (start + np.cumsum(split_tail(int(ends[-1]) - start, window=self.window))).tolist()
-        else:
-            cuts = [c for c in cuts if c <= len(ids) - SETTLED * self.window]
+            cuts = cuts[:-1] + (start + np.cumsum(split_tail(self.planned - start, window=self.window))).tolist()
         if not cuts:
             return []
+        ids = np.concatenate([d[1] for d in self.docs])
+        ends = np.cumsum([len(d[1]) for d in self.docs])
         stops = np.union1d(cuts, ends[ends <= cuts[-1]])
         starts = np.concatenate([[0], stops[:-1]])
         of_cut = np.searchsorted(cuts, starts, side="right")
@@ -178,7 +213,7 @@ class Packer:
         if rest and (gone := cuts[-1] - int(begun[kept])):
             doc_id, left, skipped, total = rest[0]
             rest[0] = (doc_id, left[gone:], skipped + gone, total)
-        self.docs, self.held = rest, len(ids) - cuts[-1]
+        self.docs, self.planned = rest, self.planned - cuts[-1]
         return out
 
 
@@ -190,8 +225,8 @@ def pack(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json", folder: st
 
     Each id of a document, and END_ID after them, lies in exactly one piece; null and empty texts are END_ID
     alone. A sequence is padded to 1024 unless its length is a power of two. Repeated rows are packed again.
-    Only doc_id and text are read. Partitions are packed by themselves, in one pass without a shuffle and with
-    bounded memory: sequence_id is the partition's number times 2^40 plus the sequence's number in it, so a
+    Only doc_id and text are read. Partitions are packed by themselves, in one pass without a shuffle; a task
+    holds the ids (four bytes each) behind the last settled cut, usually some hundred windows. sequence_id is the partition's number times 2^40 plus the sequence's number in it, so a
     task that is run again gives the same rows. An empty table gives no piece.
     """
     small_batches(docs.sparkSession)
@@ -214,7 +249,7 @@ def pack(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json", folder: st
                 ids = words.encode(text) if text else []
                 ids.append(END_ID)
                 packer.add(doc_id, np.array(ids, dtype=np.uint32))
-                if packer.held >= BLOCK and (rows := packer.take(False)):
+                if packer.is_due() and (rows := packer.take(False)):
                     yield table(rows)
         if rows := packer.take(True):
             yield table(rows)

@@ -338,21 +338,61 @@ def test_packing_of_odd_rows(spark, empty):
     assert order == sorted(order)
 
 
-def test_cuts_are_optimal_without_free_cuts():
-    rng = random.Random(5)
-    for _ in range(60):
-        window = 16
-        steps = [rng.randint(1, 9) for _ in range(rng.randint(1, 14))]
-        places = np.cumsum(steps).tolist()
-        penalties = [rng.choice([0.0, 2.0, 5.0]) for _ in places]
-        best = {0: 0.0}
-        for b, p in zip(places, penalties):
-            best[b] = min(best[a] + (0 if b - a in (16, 8, 4) else window - (b - a)) for a in best if a < b and b - a <= window) + p
-        cuts, at, cost = packing.plan_cuts(places, penalties, window, free=1e9), 0, 0.0
-        for c in cuts:
-            cost += (0 if c - at in (16, 8, 4) else window - (c - at)) + penalties[places.index(c)]
-            at = c
-        assert at == places[-1] and cost == pytest.approx(best[places[-1]])
+def least_cost(n, penalty_at, window):
+    """Cost of the best plan over all places of a stream, every one of which may be a cut."""
+    best = np.zeros(n + 1)
+    for b in range(1, n + 1):
+        a = np.arange(max(0, b - window), b)
+        best[b] = (best[a] + window - (b - a)).min() + penalty_at[b]
+    return best[n]
+
+
+def cost_of(cuts, penalty_at, window):
+    starts = [0, *cuts[:-1]]
+    assert all(0 < b - a <= window for a, b in zip(starts, cuts))
+    return sum(window - (b - a) + penalty_at[b] for a, b in zip(starts, cuts))
+
+
+@pytest.mark.parametrize("window, longest, rounds", [(16, 9, 200), (16, 60, 100), (packing.WINDOW, 60, 3), (packing.WINDOW, 1500, 6)])
+def test_cuts_are_optimal(window, longest, rounds):
+    rng = random.Random(window + longest)
+    for _ in range(rounds):
+        places = np.cumsum([rng.randint(1, longest) for _ in range(rng.randint(1, 4 * window // longest + 20))]).tolist()
+        penalties = [0.0 if rng.random() < 0.2 else packing.SENTENCE_CUT for _ in places]
+        penalty_at = dict.fromkeys(range(places[-1] + 1), packing.FREE_CUT) | dict(zip(places, penalties))
+        plan = packing.Plan(window)
+        plan.extend(places, penalties)
+        cuts = plan.cuts()
+        assert cuts[-1] == places[-1] and cost_of(cuts, penalty_at, window) == pytest.approx(least_cost(places[-1], penalty_at, window))
+
+
+@pytest.mark.parametrize("block", [300, 1000, 5000])
+def test_blocks_give_the_plan_of_the_whole_stream(block):
+    rng = np.random.default_rng(12)
+    ends_sentence = np.zeros(100, dtype=bool)
+    ends_sentence[:4] = True
+    docs = [rng.integers(0, 100, rng.integers(1, 400)).astype(np.uint32) for _ in range(200)]
+    window, packer, pieces = 256, packing.Packer(ends_sentence, 256, block), []
+    for d, ids in enumerate(docs):
+        packer.add(d, ids)
+        if packer.is_due():
+            pieces += packer.take(False)
+    given = len(pieces)
+    pieces += packer.take(True)
+    assert given > 0.3 * len(pieces)
+    lengths = {p[5]: p[7] for p in pieces}
+    stream, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    penalty_at = np.full(len(stream) + 1, packing.FREE_CUT)
+    penalty_at[np.flatnonzero(ends_sentence[stream]) + 1] = packing.SENTENCE_CUT
+    penalty_at[ends] = 0.0
+    cuts = np.cumsum([lengths[k] for k in sorted(lengths)])
+    assert cuts[-1] == len(stream)
+    # The last sequence may be split further, where that costs less than its padding.
+    assert cost_of(cuts.tolist(), penalty_at, window) - window * 8 <= least_cost(len(stream), penalty_at, window)
+    whole = packing.Packer(ends_sentence, window, 10**9)
+    for d, ids in enumerate(docs):
+        whole.add(d, ids)
+    assert pieces == whole.take(True)
 
 
 def test_tail_is_split_into_powers_of_two():
