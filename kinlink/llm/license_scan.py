@@ -1,12 +1,14 @@
 """Licence scan with a generalised suffix automaton over the words of licence templates.
 
-A text's words run through the automaton once, which gives the longest match with any template that ends at
-each word (matching statistics). Long maximal matches are chained, in order in both text and template, into
-covered template spans; short phrases are reported wherever they stand in full.
+A text's words run through the automaton once, which gives the longest match that ends at each word (matching
+statistics) and, by its suffix links, all places in templates of its last few words. Places that go on from word to
+word are maximal matches. The best chain of matches in order in both text and template gives covered template spans,
+and of spans that overlap the one that explains most words stays. Phrases are reported wherever they stand in full.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -29,8 +31,57 @@ _BSD = (
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
     "documentation and/or other materials provided with the distribution."
 )
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the '
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so"
+)
+_MIT_END = (
+    ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A '
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+    "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    "http://www.apache.org/licenses/LICENSE-2.0"
+)
+_APACHE_END = (
+    ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS '
+    "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+    "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to "
+    "the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software "
+    "in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+    "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+    "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
+    '"Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom '
+    "the Software is furnished to do so"
+)
 
-#: (label, template text): notices by which works are usually put under a licence.
+#: (label, template text): whole short licences, and the notices by which works are usually put under a licence.
 TEMPLATES: list[tuple[str, str]] = [
     ("gpl-3.0", _FREE_SOFTWARE.format(name="GNU General Public License", version=3)),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -39,15 +90,24 @@ TEMPLATES: list[tuple[str, str]] = [
     ("lgpl-3.0", _FREE_SOFTWARE.format(name="GNU Lesser General Public License", version=3)),
     ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("agpl-3.0", _FREE_SOFTWARE.format(name="GNU Affero General Public License", version=3)),
-    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("apache-2.0", _APACHE),
+    ("apache-2.0", _APACHE + _APACHE_END),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
+    ("mit", _MIT),
+    ("mit", _MIT + _MIT_END),
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("bsd-2-clause", _BSD),
-    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("bsd-2-clause", f"{_BSD} {_BSD_END}"),
+    ("bsd-3-clause", _BSD_NAMES),
+    ("bsd-3-clause", f"{_BSD} {_BSD_NAMES}"),
+    ("bsd-3-clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    ("isc", _ISC),
+    ("isc", _ISC + _ISC_END),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("zlib", _ZLIB),
+    ("bsl-1.0", _BOOST),
+    ("unlicense", _UNLICENSE),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ] + [(f"cc-by{kind.lower()}-{version}", f"Licensed under CC BY{kind} {version}.") for kind in ("", "-NC", "-SA", "-ND", "-NC-SA", "-NC-ND") for version in ("3.0", "4.0")]
@@ -107,78 +167,122 @@ class SuffixAutomaton:
 
 
 class LicenseScanner:
-    """Finds phrases and covered template spans in texts."""
+    """Finds phrases and covered template spans in texts.
+
+    Matches have at least ``min_match`` words. A span covers at least ``min_coverage`` of its template, and between two
+    of its matches lie at most ``max_gap`` words of the text. A template of less than ``whole_below`` words has too
+    little to tell it from other sentences, so it must stand in full and without a gap.
+    """
 
-    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], min_match: int = 4, min_coverage: float = 0.8, max_gap: int = 30):
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], min_match: int = 4, min_coverage: float = 0.8, max_gap: int = 30, whole_below: int = 14):
         self.labels = [label for label, _ in templates]
-        self.min_match, self.min_coverage, self.max_gap = min_match, min_coverage, max_gap
+        self.min_match, self.min_coverage, self.max_gap, self.whole_below = min_match, min_coverage, max_gap, whole_below
         words = [ascii_words(t) for _, t in templates] + [ascii_words(p) for p in phrases]
         self.vocabulary: dict[bytes, int] = {}
         ids = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in x] for x in words]
-        self.sizes = [len(x) for x in ids[: len(templates)]]
+        n = len(templates)
+        self.sizes = [len(x) for x in ids[:n]]
         self.automaton = a = SuffixAutomaton(ids)
         own = defaultdict(list)
-        for label, x in zip(phrases.values(), ids[len(templates) :]):
-            own[a.state_of(x)].append((len(x), label))
-        # For each state the phrases that end wherever the state's longest string ends.
+        for label, x in zip(phrases.values(), ids[n:]):
+            if x:
+                own[a.state_of(x)].append((len(x), label))
+        # For each state the phrases that end wherever the state's longest string ends, and the places in templates
+        # where the last min_match words of its strings end.
         self.phrases: list[list[tuple[int, str]]] = [[] for _ in a.link]
+        self.places: list[list[tuple[int, int]]] = [[] for _ in a.link]
         for v in sorted(range(1, len(a.link)), key=a.length.__getitem__):
-            self.phrases[v] = self.phrases[a.link[v]] + own[v]
-        n = len(templates)
-        self.ends = [[e for e in x if e[0] < n] for x in a.ends]
+            up = a.link[v]
+            self.phrases[v] = self.phrases[up] + own[v]
+            if a.length[v] >= min_match:
+                self.places[v] = self.places[up] if a.length[up] >= min_match else sorted(e for e in a.ends[v] if e[0] < n)
+        self.least = min([min_match, *(len(x) for x in ids[n:] if x)])
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, float]]]:
         """Number of words; (label, first word) of each phrase; (label, first word, last word, coverage) of spans."""
         words = ascii_words(text) if text else []
         ids = list(map(self.vocabulary.get, words))
-        places: list[tuple[str, int]] = []
+        found: list[tuple[str, int]] = []
         matches: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        if len(ids) - ids.count(None) < 2:
-            return len(words), places, []
+        if len(ids) - ids.count(None) < self.least:
+            return len(words), found, []
         following, link, length, phrases = self.automaton.next, self.automaton.link, self.automaton.length, self.phrases
+        least, live = self.min_match, {}
         v = n = 0
         for i, x in enumerate(ids):
             if x is None:
-                if n >= self.min_match:
-                    self._record(matches, v, n, i)
                 v = n = 0
-                continue
-            if x not in following[v]:
-                if n >= self.min_match:
-                    self._record(matches, v, n, i)
-                while v and x not in following[v]:
-                    v = link[v]
-                    n = length[v]
-            if x in following[v]:
-                v = following[v][x]
-                n += 1
-            if phrases[v]:
-                places += [(label, i - k + 1) for k, label in phrases[v] if k <= n]
-        if n >= self.min_match:
-            self._record(matches, v, n, len(ids))
-        return len(words), places, self._spans(matches) if matches else []
-
-    def _record(self, matches: dict, v: int, n: int, end: int) -> None:
-        for template, last in self.ends[v]:
-            matches[template].append((end - n, last - n + 1, n))
+            else:
+                if x not in following[v]:
+                    while v and x not in following[v]:
+                        v = link[v]
+                    n = min(n, length[v])
+                if x in following[v]:
+                    v = following[v][x]
+                    n += 1
+                if phrases[v]:
+                    found += [(label, i - k + 1) for k, label in phrases[v] if k <= n]
+            if n >= least:
+                live = self._go_on(matches, live, v, i)
+            elif live:
+                self._close(matches, live, i)
+                live = {}
+        self._close(matches, live, len(ids))
+        return len(words), found, self._spans(matches) if matches else []
+
+    def _go_on(self, matches: dict, live: dict, v: int, i: int) -> dict:
+        """The matches that hold word i, by template and shift of their place, with their first word; the others end before it."""
+        now = {}
+        for template, last in self.places[v]:
+            key = (template, last - i)
+            now[key] = live.pop(key, i - self.min_match + 1)
+        self._close(matches, live, i)
+        return now
+
+    def _close(self, matches: dict, live: dict, end: int) -> None:
+        for (template, shift), first in live.items():
+            matches[template].append((first, first + shift, end - first))
+
+    def _chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """(covered words, first word, end) of the best chain that ends with each match.
+
+        A chain goes forward in text and template; a match counts with what it adds to both.
+        """
+        out: list[tuple[int, int, int]] = []
+        recent: list[int] = []
+        found = sorted(found)
+        for at, inside, n in found:
+            covered, first, end, goal = n, at, at + n, inside + n
+            recent = [i for i in recent if at - out[i][2] <= self.max_gap]
+            for i in recent:
+                before = found[i][1] + found[i][2]
+                if found[i][1] <= inside and before < goal and out[i][2] < end:
+                    sum_ = out[i][0] + min(n, goal - before, end - out[i][2])
+                    if sum_ > covered:
+                        covered, first = sum_, out[i][1]
+            recent.append(len(out))
+            out.append((covered, first, end))
+        return out
 
     def _spans(self, matches: dict) -> list[tuple[str, int, int, float]]:
-        """Chains of matches that go forward in text and template, of which enough of the template is covered."""
-        out = []
+        """Spans of the chains that cover enough of a template; of overlapping ones the one with most words covered less those missing."""
+        spans = []
         for template, found in matches.items():
             size = self.sizes[template]
-            chain: list[int] | None = None  # first word, end in text, end in template, covered
-            for at, inside, n in sorted(found):
-                if chain and at >= chain[1] - n and at - chain[1] <= self.max_gap and inside + n > chain[2]:
-                    new = min(n, inside + n - chain[2])
-                    chain = [chain[0], max(chain[1], at + n), inside + n, chain[3] + new]
-                else:
-                    if chain and chain[3] >= self.min_coverage * size:
-                        out.append((self.labels[template], chain[0], chain[1] - 1, min(1.0, chain[3] / size)))
-                    chain = [at, at + n, inside + n, n]
-            if chain and chain[3] >= self.min_coverage * size:
-                out.append((self.labels[template], chain[0], chain[1] - 1, min(1.0, chain[3] / size)))
-        return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
+            if size < self.whole_below:
+                chains = [(n, at, at + n) for at, _, n in found if n == size]
+            else:
+                chains = [c for c in self._chains(found) if c[0] >= self.min_coverage * size]
+            spans += [(size - 2 * covered, first, end, self.labels[template], covered / size) for covered, first, end in chains]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, first, end, label, coverage in sorted(spans):
+            k = bisect_left(taken, (end, 0))
+            if k and taken[k - 1][1] > first:
+                continue
+            insort(taken, (first, end))
+            out.append((label, first, end - 1, coverage))
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, **how) -> DataFrame:

@@ -219,16 +219,72 @@ def test_license_phrases_equal_brute_force(spark):
 
 def test_license_spans(spark, odd, empty):
     scanner = license_scan.LicenseScanner(license_scan.TEMPLATES, license_scan.PHRASES)
-    mit = dict(license_scan.TEMPLATES[::-1])["mit"]
-    assert ("mit", 2, len(license_scan.ascii_words("some words " + mit)) - 1, 1.0) in scanner.scan("some words " + mit)[2]
+    for label, template in license_scan.TEMPLATES:
+        assert scanner.scan("some words " + template)[2] == [(label, 2, len(license_scan.ascii_words(template)) + 1, 1.0)]
+    mit = license_scan._MIT
     changed = mit.split()
     changed[20] = "zzz"
     assert [s[0] for s in scanner.scan(" ".join(changed))[2]] == ["mit"]
+    assert [s[0] for s in scanner.scan(f"{mit} and then {mit}")[2]] == ["mit", "mit"]
     assert [s[0] for s in scanner.scan("Licensed under CC BY-NC 4.0.")[2]] == ["cc-by-nc-4.0"]
-    assert scanner.scan("the software is provided to you by a person")[2] == []
+    for text in ("the software is provided to you by a person", "was not released under the MIT terms; licensed under the MIT", "licensed under the Apache License", "Licensed under CC BY-NC terms 4.0"):
+        assert scanner.scan(text)[2] == []
     assert license_scan.scan_licenses(odd).count() == len(TEXTS) + 3 and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_spans_survive_edits():
+    scanner = license_scan.LicenseScanner(license_scan.TEMPLATES, license_scan.PHRASES)
+    words = license_scan._BSD.split()
+    for i, j in itertools.combinations(range(0, len(words), 2), 2):
+        text = list(words)
+        text[i] = text[j] = "zzz"
+        assert [s[0] for s in scanner.scan(" ".join(text))[2]] == ["bsd-2-clause"], (i, j)
+    whole = f"{license_scan._BSD} {license_scan._BSD_NAMES} {license_scan._BSD_END}".split()
+    for i in range(0, len(whole), 7):
+        assert [s[0] for s in scanner.scan(" ".join([*whole[:i], "x", "y", *whole[i + 2 :]]))[2]] == ["bsd-3-clause"]
+
+
+def test_one_word_phrases():
+    scanner = license_scan.LicenseScanner([], {"copyleft": "c", "": "none", "all rights": "r"})
+    assert scanner.scan("Copyleft") == (1, [("c", 0)], []) and scanner.scan("no") == (1, [], []) and scanner.scan("all rights copyleft")[1] == [("r", 0), ("c", 2)]
+
+
+def test_matches_and_chains_equal_brute_force():
+    rng = random.Random(13)
+    for _ in range(150):
+        letters = "abcde"[: rng.randint(2, 5)]
+        templates = [("t", " ".join(rng.choice(letters) for _ in range(rng.randint(3, 14)))) for _ in range(rng.randint(1, 3))]
+        scanner = license_scan.LicenseScanner(templates, {}, min_match=2, min_coverage=0.5, max_gap=4, whole_below=0)
+        text = [rng.choice(letters + "z") for _ in range(rng.randint(0, 25))]
+        got = {}
+        scanner._spans = lambda matches: got.update({k: sorted(v) for k, v in matches.items()}) or []
+        scanner.scan(" ".join(text))
+        for k, (_, template) in enumerate(templates):
+            t = template.split()
+            same = lambda a, b: 0 <= a < len(text) and 0 <= b < len(t) and text[a] == t[b]
+            want = []
+            for a in range(len(text)):
+                for b in range(len(t)):
+                    if same(a, b) and not same(a - 1, b - 1):
+                        n = 1
+                        while same(a + n, b + n):
+                            n += 1
+                        if n >= 2:
+                            want.append((a, b, n))
+            assert got.get(k, []) == sorted(want)
+
+            def best(chain, covered, rest):
+                yield covered
+                for i, (a, b, n) in enumerate(rest):
+                    if not chain:
+                        yield from best((a, b, n), n, rest[i + 1 :])
+                    elif b >= chain[1] and a + n > sum(chain[::2]) and b + n > chain[1] + chain[2] and a - sum(chain[::2]) <= 4:
+                        yield from best((a, b, n), covered + min(n, b + n - chain[1] - chain[2], a + n - sum(chain[::2])), rest[i + 1 :])
+
+            if want and len(want) <= 12:
+                assert max(c for c, _, _ in scanner._chains(want)) == max(best((), 0, sorted(want)))
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(3)
     sequences = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(6)]
