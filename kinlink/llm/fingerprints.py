@@ -7,6 +7,7 @@ merge to the sketch of the whole, and two sketches estimate resemblance, contain
 from __future__ import annotations
 
 import base64
+import collections
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shingles, small_batches
+from .common import documents, few_rows, shingles
 
 K = 128
 
@@ -75,54 +76,69 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     Null and empty texts have the fingerprint of the empty text, and equal texts equal ones. Repeated rows give
     repeated rows. Only doc_id and text are read; no shuffle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [fingerprint(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(to_string, found), type=pa.string()), pa.array([distinct_count(x, k) for x in found])], names=["doc_id", "fingerprint", "n_shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_shingles double")
 
 
-def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """block, at, doc_id, text, ahead: the documents by descending doc_id in blocks, each closed by the next one's head.
+#: Bytes of text of a block of consecutive documents, and the largest accuracy of the percentiles that limit blocks.
+BLOCK_BYTES, ACCURACY = 256 << 20, 1 << 20
 
-    A block is a range of doc_id; within it rows ascend by ``at``. Its last row (ahead is true) is a copy of the
-    first document of the following block, or of the first document of all after the last block. Texts are
-    shuffled once; the block limits (a percentile of the ids) and heads are as many as there are blocks, of
-    which there are some a shuffle partition, so the driver holds no list of documents. Rows of one doc_id are
-    ordered by text; null ids come last.
+
+def with_next(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, ahead, doc_id, text: the documents by descending doc_id in blocks, each closed by the next one's head.
+
+    Rows of one doc_id are ordered by a hash of their text, then by text; null ids come last. A block is a range of
+    that order of about ``block_bytes`` bytes and one partition; an id whose rows fill several blocks is divided by the
+    hash. A block's last row (ahead is true) is a copy of the first document of the following block, or of the first
+    document of all after the last block. Texts are shuffled once; the block limits (percentiles of the ids) and heads
+    are as many as there are blocks, so the driver holds no list of documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or 4 * partitions
     least = -(1 << 63)
-    place = F.coalesce(F.col("doc_id"), F.lit(least))
-    limits = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else None
-    edges = np.array(sorted(set(limits or [])), dtype=np.int64)
-    n = len(edges) + 1
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(least)).alias("place"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    limits = rows.agg(F.percentile_approx("place", [i / wanted for i in range(1, wanted)], min(20 * wanted, ACCURACY))).first()[0] if wanted > 1 else None
+    # Blocks count from the largest ids down; a limit belongs to the block above it. A limit that comes several times
+    # is an id of several blocks: its rows make as many blocks of their own.
+    counts = collections.Counter(limits or [])
+    edges = np.array(sorted(counts), dtype=np.int64)
+    shares = np.array([counts[e] for e in edges.tolist()], dtype=np.int64)
+    first = np.concatenate([np.cumsum(shares[::-1])[::-1], [0]])  # block of the ids from an edge on: as many as the limits above
 
     @F.pandas_udf("long")
-    def block_of(ids: pd.Series) -> pd.Series:
-        # Blocks count from the largest ids down; an edge belongs to the block above it.
-        return pd.Series(n - 1 - np.searchsorted(edges, ids.to_numpy(), side="right"))
-
-    rows = rows.withColumn("block", block_of(place))
-    # The head of each block: the row that comes first in it. Ids first, then the least text among the rows of that id.
-    heads = {r["block"]: r["head"] for r in rows.groupBy("block").agg(F.max(place).alias("head")).collect()}
+    def block_of(places: pd.Series, hashes: pd.Series) -> pd.Series:
+        x = places.to_numpy()
+        k = np.searchsorted(edges, x, side="right")
+        block = first[k]
+        if len(edges):
+            own = (k > 0) & (edges[np.maximum(k - 1, 0)] == x)
+            share = np.where(own, shares[np.maximum(k - 1, 0)], 1)
+            part = ((hashes.to_numpy() >> 1) + (1 << 62)).astype(np.float64) / 2.0**63 * share
+            block = block + np.where(own, np.minimum(part.astype(np.int64), share - 1), 0)
+        return pd.Series(block)
+
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    rows = rows.withColumn("block", block_of("place", "hash"))
+    # The head of each block: its largest id, and of that id the row that comes first.
+    heads = {r["block"]: r["head"] for r in rows.groupBy("block").agg(F.max("place").alias("head")).collect()}
     full = sorted(heads)
-    closes = {b: full[(i + 1) % len(full)] for i, b in enumerate(full)}
-    held = [(int(heads[closes[b]]), int(b)) for b in full]
+    held = [(int(b), int(heads[b]), int(full[i - 1])) for i, b in enumerate(full)]  # the block before full[0] is the last one
+    out = rows.select("block", F.lit(False).alias("ahead"), "doc_id", "hash", "text")
     if held:
-        head = spark.createDataFrame(held, "head long, closing long")
-        small = rows.withColumn("head", place).join(F.broadcast(head), "head")
-        ends = small.groupBy("closing", "head").agg(F.min("text").alias("text")).select(F.col("closing").alias("block"), F.lit(True).alias("ahead"), F.col("head").alias("doc_id"), "text")
-        rows = rows.select("block", F.lit(False).alias("ahead"), "doc_id", "text").unionByName(ends)
-    else:
-        rows = rows.select("block", F.lit(False).alias("ahead"), "doc_id", "text")
-    return rows.repartition(partitions, "block").sortWithinPartitions("block", "ahead", F.desc_nulls_last("doc_id"), "text")
+        head = spark.createDataFrame(held, "block long, place long, closes long")
+        small = rows.join(F.broadcast(head), ["block", "place"])
+        ends = small.groupBy("closes", "place").agg(F.min(F.struct("hash", "text")).alias("top"))
+        out = out.unionByName(ends.select(F.col("closes").alias("block"), F.lit(True).alias("ahead"), F.col("place").alias("doc_id"), "top.hash", "top.text"))
+    blocks = (full[-1] if full else 0) + 1
+    dealt = out.repartitionById(int(blocks), F.col("block").cast("int"))
+    return dealt.sortWithinPartitions("block", "ahead", F.desc_nulls_last("doc_id"), "hash", "text").select("block", "ahead", "doc_id", "text")
 
 
 def edit(text: str, following: str) -> str:
@@ -137,12 +153,11 @@ def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
     The next document is the one after it by descending doc_id; after the last comes the first, so a single
     document is its own next. Null texts are empty. Repeated rows give repeated rows: they follow each other.
     """
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # block, doc_id, text and sketch of the row before
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for block, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = fingerprint(text, k)
