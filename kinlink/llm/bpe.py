@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents, small_batches, tokenizer_path
+from .common import arrow_map, documents, tokenizer_path
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 CACHE_ENTRIES = 600_000
@@ -169,7 +169,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken",
 
         return step
 
-    small_batches(docs.sparkSession)
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, ids array<int>, decoded binary", make)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import small_batches, tokenizer_path
+from .common import few_rows, tokenizer_path
 
 TURN, SAID, END = "<|turn|>", "<|said|>", "<|end|>"
 #: Strings that a text must not bring into the rendered conversation.
@@ -112,7 +112,6 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", vocabu
     one row, but a very long one has a row for each block of turns of about BLOCK_CHARS characters, so that
     memory is bounded by that and the longest turn. Parts of a conversation are consecutive. One shuffle by conv_id.
     """
-    small_batches(turns.sparkSession)
     text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
     ordered = (
         turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
@@ -140,7 +139,7 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", vocabu
                 cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in out]))))
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for c, role, said in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if started and c != conv:
                     out.append(block(True))
@@ -172,7 +171,7 @@ def digests(formatted: DataFrame, learn_role: str = "assistant", vocabulary: str
         chat = encoder(vocabulary, folder)
         fresh = lambda: [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
         state = fresh()
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for row in range(batch.num_rows):
                 conv, _, last, text = (batch.column(i)[row].as_py() for i in range(4))

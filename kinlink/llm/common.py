@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,30 +16,54 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts are long, so batches stay small and a worker's memory bounded.
+#: Rows of a batch that are worked on at once. Spark bounds the bytes of a batch, this what Python makes of it.
 BATCH_ROWS = 400
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; texts of documents are far longer than usual cells."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at most ``rows``, without empty ones."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such folder (tests, a laptop) a local one is set.
+    Only a session on one machine may lack the setting; it gets a temporary folder that goes when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext.getCheckpointDir()
         root = found.rsplit("/", 1)[0] if found else None
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='kinlink-')}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="kinlink-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/kinlink-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    store, found = _file(spark, path)
+    return store.exists(found)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of intermediate tables that nothing reads any more."""
+    for path in paths:
+        store, found = _file(spark, path)
+        store.delete(found, True)
+
+
 def written(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """The table written at ``path`` and read again: lineage ends there and outlives executors."""
     df.write.option("compression", compression).parquet(path)
@@ -65,9 +92,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in few_rows(batches):
             out = step(batch)
             if out is None:
                 continue

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ascii_words, documents, small_batches
+from .common import arrow_map, ascii_words, documents
 
 #: Phrase to label; all places where a phrase's words stand consecutively are reported.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -309,7 +309,6 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
         return step
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, places array<struct<label:string,word:long>>, spans array<struct<label:string,first_word:long,last_word:long,coverage:double>>"
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, make)
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir, shingles, small_batches, written
+from .common import documents, few_rows, shared_dir, shingles, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -50,7 +50,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column(0).to_pylist():
                 found[np.unique(shingles(text or "", WIDTH) >> np.uint64(64 - DF_BITS))] += 1
                 n += 1
@@ -58,7 +58,6 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(found[at], n))], names=["bucket", "n"])
 
-    small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = counts.toPandas()  # at most 2^18 + 1 rows
     df = np.zeros(1 << DF_BITS)
@@ -143,7 +142,7 @@ def _nodes(rows: DataFrame, idf: Broadcast, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw, weights = sampler(), idf.value
         known: dict[bytes, bytes] = {}
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if (found := known.get(key)) is None:
@@ -173,7 +172,7 @@ def _vectors(rows: DataFrame, nodes: DataFrame, members: DataFrame, folder: str)
     """nid, hashes and counts of the nodes that share a bucket, from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [short_shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u4").tobytes() for h, _ in found], type=pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], type=pa.binary())], names=["nid", "hashes", "counts"])
 
@@ -209,7 +208,7 @@ def _neighbour_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in few_rows(batches):
             out = []
             for bucket, nid, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = np.frombuffer(samples, dtype="<u4")
@@ -232,7 +231,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those pairs a, b whose sample vectors agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(-1, SAMPLES) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
@@ -245,7 +244,7 @@ def _verified(near: DataFrame, vectors: DataFrame, idf: Broadcast, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for batch in batches:
+        for batch in few_rows(batches):
             sides = []
             for i in (2, 4):
                 pairs_of = zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist())
@@ -435,7 +434,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     partner are in no link. Pairs of one class need not all be compared; every other pair of a bucket is.
     Intermediate tables are written in the shared folder, so no stage depends on an executor that is lost.
     """
-    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     nodes, found, labels = links(_rows(docs), threshold, folder)
     linked = labels.join(nodes.select("nid", "rep_id"), "nid")

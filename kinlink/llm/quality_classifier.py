@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, documents, small_batches
+from .common import arrow_map, crc_mod, documents
 from .compression import Sizer, hashed_slice, make_dictionary
 
 
@@ -71,7 +71,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, dictionary_ro
     its largest, and rows that repeat an id count once. Without labels of both classes every text scores the share of
     good labels, or 0.5 without any.
     """
-    small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
     share = (n[1] + 1) / (n[0] + n[1] + 2)
@@ -124,7 +123,6 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         scorer = QualityScorer(held.value)
         return lambda batch: {"doc_id": batch.column(0), "score": [scorer.score(t) for t in batch.column(1).to_pylist()]}
 
-    small_batches(docs.sparkSession)
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, score double", make)
 
 

@@ -2,12 +2,13 @@
 
 Documents become fixed windows of token ids. A keyed Feistel permutation with cycle-walking gives every window a
 slot of the training order; ranges of slots are written as shards of records of one fixed stride, so slot s is
-found at (s mod slots of a shard) times the stride, and a reader can go on from any slot.
+found at (s mod slots of a shard) times the stride, and a reader can go on from any slot. A broken run is resumed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, shared_dir, small_batches
+from .common import documents, exists, few_rows, mix64, removed, shared_dir
 from .packing import END_ID, vocabulary
 
 #: Ids of a window; two bytes each.
@@ -25,7 +26,10 @@ WINDOW = 1024
 #: Byte that ends every record, the writer's line separator; readers skip it by the stride.
 SEPARATOR = "\n"
 STRIDE = 2 * WINDOW + len(SEPARATOR)
-SHARD_SLOTS = 8192
+#: Windows of a shard: 32 MB.
+SHARD_SLOTS = 16384
+#: Shards that a task writes where there are more shards than shuffle partitions, and shards whose numbers may be broadcast.
+TASK_SHARDS, BROADCAST_SHARDS = 8, 1 << 22
 ROUNDS = 4
 #: Level at which windows are compressed where they are kept and shuffled, and windows a task holds to compress together.
 BLOCK_LEVEL, HELD_WINDOWS = 9, 16384
@@ -38,7 +42,6 @@ def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabul
     ids; the last window of a partition is filled with ``end_id``. first_doc is the document of the window's
     first id and start that id's place in it. Null and empty texts are ``end_id`` alone. No shuffle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = vocabulary(vocabulary_name, folder), TaskContext.get().partitionId()
@@ -69,7 +72,7 @@ def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabul
             held, n, at = rest, len(ids) - used, at + count
             return pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = words.encode(text) if text else []
                 ids.append(end_id)
@@ -131,7 +134,7 @@ def _blocks(slots: DataFrame, shard_slots: int) -> DataFrame:
             rows = [(shard, np.array([s for s, _ in x], dtype="<i8").tobytes(), squeeze(b"".join(i for _, i in x))) for shard, x in sorted(held.items())]
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "slots", "ids"])
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for slot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(slot // shard_slots, []).append((slot, ids))
                 n += 1
@@ -145,31 +148,75 @@ def _blocks(slots: DataFrame, shard_slots: int) -> DataFrame:
 
 
 def _records(blocks: DataFrame) -> DataFrame:
-    """value (the bytes of a window) and shard, by slot within each shard. A shard has a fixed number of windows."""
+    """value (the bytes of a window) and shard, by slot within each shard, of blocks that come shard by shard.
+
+    A task holds one shard at a time, which has a fixed number of windows.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        slots = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table["slots"].to_pylist()])
-        ids = np.frombuffer(b"".join(expand(x) for x in table["ids"].to_pylist()), dtype=np.uint8).reshape(len(slots), 2 * WINDOW)
-        order = np.argsort(slots)
-        return pa.table({"value": pa.array([ids[i].tobytes() for i in order], type=pa.binary()), "shard": pa.array(np.full(len(slots), table["shard"][0].as_py(), dtype=np.int64))})
+        held: list[tuple[bytes, bytes]] = []
+        open_shard = None
+
+        def shard_rows() -> Iterator[pa.RecordBatch]:
+            slots = np.concatenate([np.frombuffer(x, dtype="<i8") for x, _ in held])
+            ids = np.frombuffer(b"".join(expand(x) for _, x in held), dtype=np.uint8).reshape(len(slots), 2 * WINDOW)
+            order = np.argsort(slots)
+            for k in range(0, len(order), 1024):
+                some = order[k : k + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].tobytes() for i in some], type=pa.binary()), pa.array(np.full(len(some), open_shard, dtype=np.int64))], names=["value", "shard"])
+
+        for batch in few_rows(batches):
+            for shard, slots, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and shard != open_shard:
+                    yield from shard_rows()
+                    held = []
+                open_shard = shard
+                held.append((slots, ids))
+        if held:
+            yield from shard_rows()
+
+    return blocks.select("shard", "slots", "ids").mapInArrow(run, "value binary, shard long")
+
+
+def _files(spark: SparkSession, shards: str) -> DataFrame:
+    """path, length, content and shard of the files of shards; shard is a partition column, so a filter on it prunes folders."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(shards)
+
 
-    return blocks.groupBy("shard").applyInArrow(run, "value binary, shard long")
+def whole_shards(spark: SparkSession, shards: str, size: int, shard_slots: int) -> DataFrame | None:
+    """shard of those that stand in full, found by their files' lengths; None without any. Broken ones are deleted."""
+    if not exists(spark, shards) or "shard" not in _files(spark, shards).columns:
+        return None
+    wanted = F.least(F.lit(shard_slots), F.lit(size) - F.col("shard") * shard_slots) * STRIDE
+
+    def listed() -> DataFrame:
+        files = _files(spark, shards).select(F.col("shard").cast("long").alias("shard"), "path", "length")
+        per = files.groupBy("shard").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"), F.min("path").alias("path"))
+        return per.withColumn("whole", (F.col("bytes") == wanted) & (F.col("files") == 1))
+
+    broken = [r["path"].rsplit("/", 1)[0] for r in listed().where("not whole").select("path").toLocalIterator()]
+    removed(spark, *broken)
+    return listed().where("whole").select("shard")
 
 
 def materialise(docs: DataFrame, path: str, key: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Writes shards below ``path`` and returns slot, shard, byte_at, first_doc, start, n_ids, ids_crc32 of each window.
 
-    Windows are made once and written to the shared folder; their numbers in the corpus are offsets of the
-    partitions, so a run on the same input gives the same order. Shard k has the slots from k * shard_slots on, one
-    file in the folder shard=k. Windows are shuffled to their shard once, compressed. The writer's commit makes a
-    shard whole or absent, so a broken run is resumed by writing the shards that are missing. An empty table gives no shard.
+    Windows are made once and written below ``path``; their numbers in the corpus are offsets of the partitions. Shard
+    k has the slots from k * shard_slots on, one file in the folder shard=k. Slots are a permutation of a known range,
+    so ranges of shards are dealt to tasks directly, without a sample; windows are shuffled once, compressed.
+
+    ``path`` is of one corpus. A run that broke is resumed by calling this again: windows that stand are used again, a
+    task's shards stand once it is committed, and only shards that are missing or broken are written. What is returned
+    of a window's ids is read back from the shards, so a record that isn't there has a null ids_crc32. An empty table
+    gives no shard, and repeated rows are written as often as they come.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark)
-    target = f"{folder}/windows"
+    target, shards = f"{path}/windows", f"{path}/shards-{key}-{shard_slots}"
     source = windows(docs)
-    source.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(BLOCK_LEVEL)).parquet(target)
+    if not exists(spark, f"{target}/_SUCCESS"):
+        source.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(BLOCK_LEVEL)).parquet(target)
     made = spark.read.schema(source.schema).parquet(target)
     parts = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
     offsets = np.concatenate([[0], np.cumsum([n for _, n in parts])]).tolist()
@@ -179,32 +226,55 @@ def materialise(docs: DataFrame, path: str, key: int = 7, shard_slots: int = SHA
     begins = spark.createDataFrame([(p, o) for (p, _), o in zip(parts, offsets)], "part long, begin long")
     numbered = made.join(F.broadcast(begins), "part").withColumn("number", F.col("begin") + F.col("at"))
     slots = permute(numbered, "number", size, key)
+    blocks = _blocks(slots, shard_slots)
+    n_shards = -(-size // shard_slots)
+    if (there := whole_shards(spark, shards, size, shard_slots)) is not None:
+        blocks = blocks.join(F.broadcast(there) if n_shards <= BROADCAST_SHARDS else there, "shard", "left_anti")
+    tasks = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // TASK_SHARDS)))
+    dealt = blocks.repartitionById(tasks, F.floor(F.col("shard") * tasks / n_shards).cast("int")).sortWithinPartitions("shard")
     # Ids of 16 bits are no valid text; the text writer copies a string's bytes as they are.
-    records = _records(_blocks(slots, shard_slots)).select(F.col("value").cast("string").alias("value"), "shard")
-    records.write.option("lineSep", SEPARATOR).partitionBy("shard").text(path)
-    shard = F.floor(F.col("slot") / shard_slots).cast("long")
-    return slots.select("slot", shard.alias("shard"), ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", F.crc32("ids").alias("ids_crc32"))
+    records = _records(dealt).select(F.col("value").cast("string").alias("value"), "shard")
+    # Tasks' files are moved to their place one by one as tasks are committed, each shard being one file.
+    records.write.mode("append").option("lineSep", SEPARATOR).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shard").text(shards)
+    index = slots.select("slot", "first_doc", "start", "n_ids")
+    return index.join(checked_shards(spark, shards, shard_slots), "slot", "left").select("slot", F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", "ids_crc32")
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """slot and ids (array<int>) of the records from a slot on, read at their places by the fixed stride."""
-    first = from_slot // shard_slots
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")).where(F.col("shard") >= first)
+def _read(spark: SparkSession, shards: str, from_slot: int, shard_slots: int, schema: str, make: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """Rows that ``make`` gives for slots and their records (bytes), read at their places by the fixed stride."""
+    files = _files(spark, shards).where(F.col("shard") >= from_slot // shard_slots).select(F.col("shard").cast("long").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                records = np.frombuffer(data, dtype=np.uint8).reshape(-1, STRIDE)[:, : 2 * WINDOW]
-                skip = max(0, from_slot - shard * shard_slots)
-                ids = np.ascontiguousarray(records[skip:]).view("<u2").astype(np.int32)
-                slots = np.arange(shard * shard_slots + skip, shard * shard_slots + len(records))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * WINDOW, WINDOW, dtype=np.int32)), pa.array(ids.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), lists], names=["slot", "ids"])
+            for row in range(batch.num_rows):
+                first = batch.column(0)[row].as_py() * shard_slots
+                records = np.frombuffer(batch.column(1)[row].as_buffer(), dtype=np.uint8).reshape(-1, STRIDE)
+                for k in range(max(0, from_slot - first), len(records), 1024):
+                    some = np.ascontiguousarray(records[k : k + 1024, : 2 * WINDOW])
+                    yield pa.RecordBatch.from_arrays(make(np.arange(first + k, first + k + len(some)), some), names=[x.split()[0] for x in schema.split(", ")])
+
+    return files.mapInArrow(run, schema)
+
+
+def read_shards(spark: SparkSession, shards: str, from_slot: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """slot and ids (array<int>) of the records from a slot on. Folders of shards before it aren't read."""
+
+    def make(slots: np.ndarray, records: np.ndarray) -> list[pa.Array]:
+        ids = records.view("<u2").astype(np.int32)
+        return [pa.array(slots.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * WINDOW, WINDOW, dtype=np.int32)), pa.array(ids.ravel()))]
+
+    return _read(spark, shards, from_slot, shard_slots, "slot long, ids array<int>", make)
+
+
+def checked_shards(spark: SparkSession, shards: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """slot and ids_crc32 (of the bytes of its ids) of all records."""
+
+    def make(slots: np.ndarray, records: np.ndarray) -> list[pa.Array]:
+        return [pa.array(slots.astype(np.int64)), pa.array([zlib.crc32(r) for r in records], type=pa.int64())]
 
-    return files.select("shard", "content").mapInArrow(run, "slot long, ids array<int>")
+    return _read(spark, shards, 0, shard_slots, "slot long, ids_crc32 long", make)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slots of all windows of documents; their shards are written in the shared folder."""
-    return materialise(documents(spark, sf_dir), f"{shared_dir(spark)}/shards")
+    """The slots of all windows of documents, with the checksums of their ids as read back from the shards."""
+    return materialise(documents(spark, sf_dir), f"{shared_dir(spark)}/token-output")

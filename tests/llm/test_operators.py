@@ -330,6 +330,35 @@ def test_next_document_and_edited_text(spark, texts):
         assert abs(rows[d]["near_edited"] - len(a & b) / len(a | b)) < 0.2
 
 
+def test_next_of_repeated_and_null_ids(spark):
+    """An id of a third of all rows, and rows without an id, are divided over blocks and still follow each other."""
+    rng = random.Random(14)
+    ids = [rng.choice([7, 7, None, rng.randrange(40)]) for _ in range(600)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in ids]
+    frame = table(spark, texts, ids)
+    hashes = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]], x[1]))
+    want = []
+    for i, (d, t) in enumerate(order):
+        want.append((-1 if d is None else d, len(t), fingerprints.edit(t, order[(i + 1) % len(order)][1])))
+    assert sorted(want) == sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited"]) for r in fingerprints.compare_edited(frame).collect())
+    blocks = fingerprints.with_next(frame, block_bytes=500)
+    sizes = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < 60
+    heads = [(r["block"], r["doc_id"], r["text"]) for r in blocks.where("not ahead").collect()]
+    assert len(heads) == 600
+    tails = {r["block"]: r["text"] for r in blocks.where("ahead").collect()}
+    place = {}
+    for i, (d, t) in enumerate(order):
+        place.setdefault((d, t), i)
+    first = {}
+    for b, d, t in heads:
+        first[b] = min(first.get(b, (10**9, "")), (place[d, t], t))
+    full = sorted(first)
+    assert [first[b][0] for b in full] == sorted(first[b][0] for b in full)
+    assert all(tails[b] == first[full[(i + 1) % len(full)]][1] for i, b in enumerate(full))
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = fingerprints.compare_edited(odd).collect()
     assert len(rows) == len(TEXTS) + 3
@@ -623,21 +652,67 @@ def test_permutation():
     assert token_output.feistel(np.arange(1000), 1000, 7).tolist() != token_output.feistel(np.arange(1000), 1000, 8).tolist()
 
 
-def test_shards_hold_every_window(spark, docs, texts, tmp_path):
-    path = f"file://{tmp_path}/shards"
-    rows = sorted(token_output.materialise(docs.repartition(3), path, shard_slots=50).collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(len(rows)))
-    assert sum(r["n_ids"] for r in rows) == sum(len(packing.vocabulary().encode(t)) + 1 for t in texts.values())
-    back = {r["slot"]: np.array(r["ids"], dtype="<u2") for r in token_output.read_shards(spark, path, shard_slots=50).collect()}
-    assert all(zlib.crc32(back[r["slot"]].tobytes()) == r["ids_crc32"] for r in rows) and len(back) == len(rows)
-    assert sorted(r["slot"] for r in token_output.read_shards(spark, path, 77, shard_slots=50).collect()) == list(range(77, len(rows)))
-    for r in rows[:40]:
-        ids = np.array([*packing.vocabulary().encode(texts[r["first_doc"]]), 0], dtype="<u2")[r["start"] :][:100]
-        assert back[r["slot"]][: len(ids)].tolist() == ids.tolist()
+def brute_order(docs, key):
+    """Windows in training order: slot to (ids, first document, start), from the partitions of the documents."""
+    windows = []
+    for rows in docs.rdd.glom().collect():
+        stream = [(i, r["doc_id"], k) for r in rows for k, i in enumerate([*(packing.vocabulary().encode(r["text"]) if r["text"] else []), 0])]
+        for k in range(0, len(stream), token_output.WINDOW):
+            some = stream[k : k + token_output.WINDOW]
+            windows.append(([x[0] for x in some], some[0][1], some[0][2]))
+    slots = token_output.feistel(np.arange(len(windows)), len(windows), key)
+    return dict(zip(slots.tolist(), windows))
+
+
+def test_shards_hold_every_window(spark, docs, tmp_path):
+    path, some = f"file://{tmp_path}/a", docs.repartition(3, "doc_id")
+    rows = sorted(token_output.materialise(some, path, shard_slots=50).collect(), key=lambda r: r["slot"])
+    want = brute_order(some.select("doc_id", "text"), 7)
+    assert [r["slot"] for r in rows] == list(range(len(want))) and len(want) > 150
+    for r in rows:
+        ids, first, start = want[r["slot"]]
+        padded = np.array(ids + [0] * (token_output.WINDOW - len(ids)), dtype="<u2")
+        assert (r["n_ids"], r["first_doc"], r["start"]) == (len(ids), first, start) and r["ids_crc32"] == zlib.crc32(padded.tobytes())
+        assert (r["shard"], r["byte_at"]) == (r["slot"] // 50, r["slot"] % 50 * token_output.STRIDE)
+    shards = f"{path}/shards-7-50"
+    back = {r["slot"]: r["ids"] for r in token_output.read_shards(spark, shards, shard_slots=50).collect()}
+    assert all(back[s][: len(ids)] == ids for s, (ids, _, _) in want.items())
+    late = token_output.read_shards(spark, shards, 77, shard_slots=50)
+    assert sorted(r["slot"] for r in late.collect()) == list(range(77, len(rows)))
+    assert "PartitionFilters: [isnotnull(shard" in late._jdf.queryExecution().toString()
+
+
+def overwrite(file, content):
+    file.with_name(f".{file.name}.crc").unlink()  # Hadoop's checksum of the local file
+    file.write_bytes(content)
+
+
+def test_broken_run_is_resumed(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/a"
+    rows = sorted(map(tuple, token_output.materialise(docs, path, shard_slots=50).collect()))
+    folder = tmp_path / "a" / "shards-7-50"
+    files = {int(f.parent.name.split("=")[1]): f for f in folder.glob("shard=*/part-*")}
+    whole = {k: f.read_bytes() for k, f in files.items()}
+    assert len(whole) >= 4
+    (folder / "_SUCCESS").unlink()
+    files[1].unlink()
+    overwrite(files[3], whole[3][:-token_output.STRIDE])
+    lost = token_output.checked_shards(spark, f"file://{folder}", 50).where("slot between 50 and 99")
+    assert lost.count() == 0
+    assert sorted(map(tuple, token_output.materialise(docs, path, shard_slots=50).collect())) == rows
+    again = {int(f.parent.name.split("=")[1]): f for f in folder.glob("shard=*/part-*")}
+    assert {k: f.read_bytes() for k, f in again.items()} == whole
+    assert {k for k in again if again[k] != files[k]} == {1, 3}  # the others' files are those of the first run
+    files = list(folder.glob("shard=2/part-*"))
+    broken = bytearray(files[0].read_bytes())
+    broken[5] ^= 1
+    overwrite(files[0], bytes(broken))
+    changed = [r for r, w in zip(sorted(map(tuple, token_output.materialise(docs, path, shard_slots=50).collect())), rows) if r != w]
+    assert len(changed) == 1 and changed[0][0] == 100  # the result is of what stands in the shards
 
 
 def test_shards_of_odd_rows(spark, odd, empty, tmp_path):
-    assert token_output.materialise(odd, f"file://{tmp_path}/a").count() > 0
+    assert token_output.materialise(odd, f"file://{tmp_path}/a").where("ids_crc32 is not null").count() > 0
     assert token_output.materialise(empty, f"file://{tmp_path}/b").count() == 0
 
 
