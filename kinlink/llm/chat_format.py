@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import few_rows, tokenizer_path
+from .common import few_rows, small_batches, tokenizer_path
 
 TURN, SAID, END = "<|turn|>", "<|said|>", "<|end|>"
 #: Strings that a text must not bring into the rendered conversation.
@@ -112,6 +112,7 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", vocabu
     one row, but a very long one has a row for each block of turns of about BLOCK_CHARS characters, so that
     memory is bounded by that and the longest turn. Parts of a conversation are consecutive. One shuffle by conv_id.
     """
+    small_batches(turns.sparkSession)
     text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
     ordered = (
         turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))

@@ -16,10 +16,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that are worked on at once. Spark bounds the bytes of a batch, this what Python makes of it.
+#: Rows of one Arrow batch, and of what Python works on at once. Texts are far longer than usual cells.
 BATCH_ROWS = 400
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Has Spark send few rows in a batch where the session has its default; a value of the caller's own stays.
+
+    Spark reads the setting when a plan runs, so it can't be set for one lazy DataFrame alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of at most ``rows``, without empty ones."""
     for batch in batches:

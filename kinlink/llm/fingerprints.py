@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, few_rows, shingles
+from .common import documents, few_rows, shingles, small_batches
 
 K = 128
 
@@ -76,6 +76,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     Null and empty texts have the fingerprint of the empty text, and equal texts equal ones. Repeated rows give
     repeated rows. Only doc_id and text are read; no shuffle.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -153,6 +154,7 @@ def compare_edited(docs: DataFrame, k: int = K) -> DataFrame:
     The next document is the one after it by descending doc_id; after the last comes the first, so a single
     document is its own next. Null texts are empty. Repeated rows give repeated rows: they follow each other.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

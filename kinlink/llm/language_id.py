@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, documents, few_rows
+from .common import arrow_map, crc_mod, documents, few_rows, small_batches
 from .compression import Sizer, hashed_slice, make_dictionary
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -99,6 +99,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return step
 
+    small_batches(docs.sparkSession)
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, lang_pred string, score double, margin double, accepted boolean", make)
 
 
@@ -115,6 +116,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in few_rows(batches):
             yield batch.filter(pa.array([scorer.predict(t if t is None or isinstance(t, str) else str(t))[3] for t in batch.column(at).to_pylist()], type=pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, few_rows, shared_dir, shingles, written
+from .common import documents, few_rows, removed, shared_dir, shingles, small_batches, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -33,7 +33,9 @@ SMALL = 32
 #: Neighbours on either side that a node of a larger bucket is paired with, in each of its buckets.
 NEIGHBOURS = 6
 #: Nodes of either side of a block in which the open pairs of the larger buckets are compared.
-BLOCK = 512
+BLOCK = 2048
+#: Rows of a bucket that meet the bucket's own row in one task.
+SPREAD = 1024
 #: Stands for a null id, so that ids can be compared and shuffled as plain numbers.
 NO_ID = (1 << 63) - 1
 #: Fewest agreeing samples of a pair that is verified: four standard deviations below the threshold's mean.
@@ -58,6 +60,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(found[at], n))], names=["bucket", "n"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = counts.toPandas()  # at most 2^18 + 1 rows
     df = np.zeros(1 << DF_BITS)
@@ -164,10 +167,18 @@ def _members(nodes: DataFrame, folder: str) -> DataFrame:
     size = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("samples", b * size + 1, size)) for b in range(BANDS)])
     rows = nodes.select("nid", F.posexplode(bands).alias("band", "bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join is one of two plain shuffles, of which a bucket's rows can be divided when it runs.
+    counts = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/counts")
     return written(rows.join(counts, "bucket"), f"{folder}/members")
 
 
+def _with_bucket(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` (bucket, nid, n) joined with ``per`` (bucket, n): rows of a bucket are dealt to parts of about SPREAD rows."""
+    parts = F.ceil(F.col("n") / SPREAD).cast("int")
+    copies = per.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).drop("n")
+    return rows.withColumn("part", F.pmod(F.xxhash64("nid"), parts).cast("int")).join(copies, ["bucket", "part"]).drop("part")
+
+
 def _vectors(rows: DataFrame, nodes: DataFrame, members: DataFrame, folder: str) -> DataFrame:
     """nid, hashes and counts of the nodes that share a bucket, from their whole texts."""
 
@@ -191,9 +202,9 @@ def _small_pairs(members: DataFrame) -> DataFrame:
 def _leader_pairs(members: DataFrame) -> DataFrame:
     """a < b of the larger buckets' nodes with the leader: the node that shares buckets with the most others."""
     score = members.groupBy("nid").agg(F.sum("n").alias("score"))
-    large = members.where(F.col("n") > SMALL).select("bucket", "nid")
-    leaders = large.join(score, "nid").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("nid")).alias("nid"))).alias("top")).select("bucket", (-F.col("top.nid")).alias("leader"))
-    return large.join(leaders, "bucket").where("nid <> leader").select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
+    large = members.where(F.col("n") > SMALL).select("bucket", "nid", "n")
+    leaders = large.join(score, "nid").groupBy("bucket", "n").agg(F.max(F.struct("score", (-F.col("nid")).alias("nid"))).alias("top")).select("bucket", "n", (-F.col("top.nid")).alias("leader"))
+    return _with_bucket(large, leaders).where("nid <> leader").select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
 
 
 def _neighbour_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -265,9 +276,9 @@ def _open_blocks(members: DataFrame, nodes: DataFrame, labels: DataFrame, folder
     into blocks of about BLOCK nodes, so blocks grow with the product of the sides and rows with the nodes of a block.
     """
     large = members.where(F.col("n") > SMALL).join(labels, "nid", "left").select("bucket", "band", "nid", "n", F.coalesce("label", "nid").alias("label"))
-    sizes = large.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top")).select("bucket", "top.size", F.col("top.label").alias("top"))
-    rows = large.join(tops, "bucket").where("size < n").join(nodes.select("nid", "samples"), "nid")
+    sizes = large.groupBy("bucket", "n", "label").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("bucket", "n").agg(F.max(F.struct("size", "label")).alias("top")).select("bucket", "n", "top.size", F.col("top.label").alias("top"))
+    rows = _with_bucket(large, tops.where("size < n")).join(nodes.select("nid", "samples"), "nid")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
     few, all_ = blocks(F.col("n") - F.col("size")), blocks(F.col("n"))
@@ -290,14 +301,17 @@ def _block_pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     band = block["band"][0].as_py()
     samples = np.frombuffer(b"".join(block["samples"].to_pylist()), dtype="<u4").reshape(-1, SAMPLES)
     lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-    theirs = samples[rights]
+    low = samples.astype(np.uint8)
+    theirs = low[rights]
     found = [(np.empty(0, dtype=np.int64),) * 3]
     for x in lefts.tolist():
-        same = theirs == samples[x]
-        agree = same.sum(axis=1)
+        # Whole samples that agree have equal low bytes, so this leaves no pair out; a pair is one word of 64 bits.
+        agree = np.bitwise_count(np.packbits((theirs == low[x]).ravel()).view(np.uint64))
         at = np.flatnonzero((agree >= AGREE) & (label[rights] != label[x]) & (in_top[rights] | (nid[rights] > nid[x])))
-        at = at[same[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-        found.append((np.full(len(at), x), rights[at], agree[at]))
+        same = samples[rights[at]] == samples[x]
+        agree = same.sum(axis=1)
+        keep = (agree >= AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+        found.append((np.full(int(keep.sum()), x), rights[at[keep]], agree[keep]))
     a, b, agree = (np.concatenate(c) for c in zip(*found))
     return a, b, agree
 
@@ -432,14 +446,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> Classes:
     threshold; classes are the connected components of the found links. Candidates are found with a probability
     of over 0.999 at similarity 0.8. Null texts count as empty, equal texts are one node, and nodes without a
     partner are in no link. Pairs of one class need not all be compared; every other pair of a bucket is.
-    Intermediate tables are written in the shared folder, so no stage depends on an executor that is lost.
+    Intermediate tables are written in the shared folder, so no stage depends on an executor that is lost; the large
+    ones are deleted once classes are known. Rows that repeat both id and text meet in one task where a text is fetched.
     """
+    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession)
     nodes, found, labels = links(_rows(docs), threshold, folder)
     linked = labels.join(nodes.select("nid", "rep_id"), "nid")
     first = F.min(F.struct("rep_id", "nid")).alias("first")
     heads = linked.groupBy("label").agg(first).select("label", F.col("first.rep_id").alias("class_id"), F.col("first.nid").alias("head"))
-    return Classes(nodes, found, labels, written(heads, f"{folder}/heads"))
+    heads = written(heads, f"{folder}/heads")
+    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("counts", "members", "vectors", "near", "open", "blocks")])
+    return Classes(nodes, found, labels, heads)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

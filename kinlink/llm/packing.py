@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import documents, few_rows, tokenizer_path
+from .common import documents, few_rows, small_batches, tokenizer_path
 
 WINDOW = 1024
 #: Id that ends every document.
@@ -229,6 +229,7 @@ def pack(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json", folder: st
     holds the ids (four bytes each) behind the last settled cut, usually some hundred windows. sequence_id is the partition's number times 2^40 plus the sequence's number in it, so a
     task that is run again gives the same rows. An empty table gives no piece.
     """
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], _PIECE).schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, exists, few_rows, mix64, removed, shared_dir
+from .common import documents, exists, few_rows, mix64, removed, shared_dir, small_batches
 from .packing import END_ID, vocabulary
 
 #: Ids of a window; two bytes each.
@@ -26,13 +26,13 @@ WINDOW = 1024
 #: Byte that ends every record, the writer's line separator; readers skip it by the stride.
 SEPARATOR = "\n"
 STRIDE = 2 * WINDOW + len(SEPARATOR)
-#: Windows of a shard: 32 MB.
-SHARD_SLOTS = 16384
+#: Windows of a shard: 16 MB. At 100 TB a larger number keeps the folders fewer; a task holds one shard.
+SHARD_SLOTS = 8192
 #: Shards that a task writes where there are more shards than shuffle partitions, and shards whose numbers may be broadcast.
 TASK_SHARDS, BROADCAST_SHARDS = 8, 1 << 22
 ROUNDS = 4
 #: Level at which windows are compressed where they are kept and shuffled, and windows a task holds to compress together.
-BLOCK_LEVEL, HELD_WINDOWS = 9, 16384
+BLOCK_LEVEL, HELD_WINDOWS = 9, 8192
 
 
 def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary_name: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
@@ -43,6 +43,7 @@ def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabul
     first id and start that id's place in it. Null and empty texts are ``end_id`` alone. No shuffle.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = vocabulary(vocabulary_name, folder), TaskContext.get().partitionId()
         held, n, at = [], 0, 0  # documents: id, ids left, ids before them
@@ -166,8 +167,9 @@ def _records(blocks: DataFrame) -> DataFrame:
                 some = order[k : k + 1024]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i].tobytes() for i in some], type=pa.binary()), pa.array(np.full(len(some), open_shard, dtype=np.int64))], names=["value", "shard"])
 
-        for batch in few_rows(batches):
-            for shard, slots, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for batch in batches:
+            for row in range(batch.num_rows):  # one by one: a batch of blocks is large
+                shard, slots, ids = (batch.column(i)[row].as_py() for i in range(3))
                 if held and shard != open_shard:
                     yield from shard_rows()
                     held = []

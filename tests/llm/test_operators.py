@@ -567,6 +567,61 @@ def test_large_group_does_not_depend_on_partitions(spark, partitions):
     assert got == want
 
 
+def families(size, count, places=30, changes=3):
+    """Copies of several versions of one text, versions being alike but for eight words; copies differ in some places each."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(1000)}" for _ in range(270)]
+    texts = []
+    for k in range(size):
+        words = list(base)
+        for at in range(8):
+            words[220 + 6 * at] = f"v{k % count}x{at}"
+        for at in rng.sample(range(places), changes):
+            words[7 * at + 5] = f"n{k}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def dense_classes(texts, idf, threshold):
+    """Classes by comparing all pairs, as a matrix: for texts whose shingles are all different."""
+    sets = [near_dedup.counted_shingles(t) for t in texts]
+    assert all((c == 1).all() for _, c in sets)
+    weights = [near_dedup.weigh(*x, idf) for x in sets]
+    every, n = np.unique(np.concatenate([h for h, _ in sets]), return_counts=True)
+    shared = every[n > 1]
+    inside = np.zeros((len(texts), len(shared)), dtype=np.float32)
+    for i, (h, _) in enumerate(sets):
+        inside[i, np.searchsorted(shared, h[np.isin(h, shared)])] = 1
+    of = near_dedup.weigh(shared, np.ones(len(shared)), idf).astype(np.float32)
+    total = np.array([w.sum() for w in weights])
+    both = (inside * of) @ inside.T
+    alike = both / (total[:, None] + total[None, :] - both) >= threshold
+    label = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            label[todo] = i
+            todo = np.flatnonzero(alike[todo].any(axis=0) & (label < 0)).tolist()
+    return label.tolist(), int(np.triu(alike, 1).sum())
+
+
+@pytest.mark.parametrize("partitions", ["4", "64"])
+def test_five_thousand_copies_equal_brute_force(spark, partitions):
+    """Large buckets that hold several classes, all pairs of which are near the threshold."""
+    texts = families(5000, 2)
+    docs = table(spark, texts)
+    want, pairs = dense_classes(texts, near_dedup.document_frequencies(docs), near_dedup.THRESHOLD)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    same = sum(got[i] == want[i] for i in range(len(want))) / len(want)
+    print(f"{pairs} linked pairs, {len(set(want))} classes, {same:.4f} of the documents in the right class")
+    assert 1 < len(set(want)) and same == 1
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(TEXTS) + 3
