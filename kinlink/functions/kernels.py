@@ -6,6 +6,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -65,20 +66,27 @@ def script(text: str) -> str:
     return max(counts, key=counts.get) if counts else "Latin"
 
 
-@F.pandas_udf(StringType())
-def fold_accents(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(fold)
+def _where(kernel) -> "pd.Series":
+    """A kernel over texts that leaves out nulls, which is what the expressions below give for texts that don't need it."""
+    return F.pandas_udf(lambda texts: texts.map(kernel, na_action="ignore"), StringType())
 
 
-@F.pandas_udf(StringType())
-def transliterate(texts: pd.Series) -> pd.Series:
-    """Empty for a text without a Brahmic letter."""
-    return texts.fillna("").map(lambda t: romanise(t) if any("ऀ" <= c <= "ൿ" for c in t) else "")
+def fold_accents(c: Column | str) -> Column:
+    """:func:`fold` of a text; a text of ASCII alone is lowered without the kernel. Empty for null."""
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.coalesce(_where(fold)(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
-@F.pandas_udf(StringType())
-def detect_script(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(script)
+def transliterate(c: Column | str) -> Column:
+    """:func:`romanise` of a text; empty for a text without a Brahmic letter, which doesn't reach the kernel."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(_where(romanise)(F.when(text.rlike("[\u0900-\u0D7F]"), text)), F.lit(""))
+
+
+def detect_script(c: Column | str) -> Column:
+    """:func:`script` of a text; Latin for a text without a Brahmic letter, which doesn't reach the kernel."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(_where(script)(F.when(text.rlike("[\u0900-\u0D7F]"), text)), F.lit("Latin"))
 
 
 @F.pandas_udf(DoubleType())

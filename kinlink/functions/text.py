@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import ABBREVIATIONS, DIGRAPHS, DOMAIN_INSIDE, DOMAIN_WHOLE, HONORIFICS, HOUSE_WORDS, LEGAL_FORMS, NO_HOUSE_PREFIX, SHORT_LEGAL_FORMS, STOPWORDS
+from .vocabulary import ABBREVIATIONS, DIGRAPHS, DOMAIN_INSIDE, DOMAIN_PHONE, DOMAIN_TITLE, DOMAIN_WHOLE, HONORIFICS, HOUSE_LETTER, HOUSE_WORDS, LEGAL_FORMS, NO_HOUSE_PREFIX, NUMBER_AFTER, OTHER_POSTAL_CODE, POSTAL_CODES, SHORT_LEGAL_FORMS, STOPWORDS
 
 #: A place where a word of digits begins or ends, also next to marks of Brahmic scripts.
 _EDGE, _EDGE_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: A number that is a word.
+NUMBER = rf"{_EDGE}(\d+){_EDGE_END}"
 
 
 def literals(values) -> Column:
@@ -93,8 +95,8 @@ def strip_honorific(c: Column) -> Column:
 
 def domain(c: Column) -> Column:
     """The body of a domain name, without hyphens; null if there is none of three characters."""
-    text = F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+[0-9]{7,12}\b", "")
-    text = F.trim(F.regexp_replace(F.trim(text), r"^(?:m/s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s\.]*", ""))
+    text = F.regexp_replace(F.lower(F.trim(c)), DOMAIN_PHONE, "")
+    text = F.trim(F.regexp_replace(F.trim(text), DOMAIN_TITLE, ""))
     whole, inside = F.regexp_extract(text, DOMAIN_WHOLE, 1), F.regexp_extract(text, DOMAIN_INSIDE, 1)
     body = F.replace(F.when(whole != "", whole).otherwise(inside), F.lit("-"), F.lit(""))
     return F.when(F.length(body) >= 3, body)
@@ -103,7 +105,10 @@ def domain(c: Column) -> Column:
 def postal_code(c: Column, country: Column) -> Column:
     """The last postal code by the country's form; null if there is none."""
     last = lambda digits: F.try_element_at(F.regexp_extract_all(c, F.lit(f"{_EDGE}({digits}){_EDGE_END}"), F.lit(1)), F.lit(-1))
-    return F.when(country == "India", last("[1-9][0-9]{5}")).when(country.isin("US", "France"), last("[0-9]{5}")).otherwise(last("[0-9]{5,6}"))
+    out = F
+    for name, digits in POSTAL_CODES.items():
+        out = out.when(country == name, last(digits))
+    return out.otherwise(last(OTHER_POSTAL_CODE))
 
 
 def first_postal_code(c: Column) -> Column:
@@ -141,7 +146,7 @@ def slash_compounds(c: Column) -> Column:
 
 
 def _house_pairs(c: Column) -> Column:
-    pattern = F.lit(r"#?([a-z]{1,2})[\s\-]?(\d{1,5})\b")
+    pattern = F.lit(HOUSE_LETTER)
     pairs = F.arrays_zip(F.regexp_extract_all(c, pattern, F.lit(1)).alias("p"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("n"))
     return F.filter(pairs, lambda x: ~x["p"].isin(NO_HOUSE_PREFIX))
 
@@ -161,8 +166,8 @@ def house_tokens(c: Column) -> Column:
 
 def numeric_atoms(c: Column) -> Column:
     """All numbers of an address, also those after letters or in compounds, with and without leading zeros."""
-    alone = F.regexp_extract_all(c, F.lit(rf"{_EDGE}(\d+){_EDGE_END}"), F.lit(1))
-    after = F.regexp_extract_all(c, F.lit(r"([a-z/#\-]+)(\d+)"), F.lit(2))
+    alone = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1))
+    after = F.regexp_extract_all(c, F.lit(NUMBER_AFTER), F.lit(2))
     parts = _with_stripped(F.concat(alone, after, F.flatten(slash_parts(c))))
     pairs = F.transform(_house_pairs(c), lambda x: x["n"])
     named = F.flatten(F.transform(_house_words(c), lambda x: F.regexp_extract_all(x["v"], F.lit(r"(\d+)"), F.lit(1))))

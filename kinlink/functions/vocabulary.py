@@ -8,8 +8,15 @@ LEGAL_FORMS = [
     "SARL", "SAS", "SA", "EURL", "SNC", "SCI", "SCOP", "GIE", "GMBH",
 ]
 
-# The shorter list that the exact-name plan strips.
+# The shorter lists that single plans strip or count, by plan.
 SHORT_LEGAL_FORMS = ["pvt", "ltd", "limited", "private", "llc", "inc", "corp", "corporation", "co", "company", "sarl", "sas", "sa", "eurl", "llp"]
+INDEX_LEGAL_FORMS = ["llc", "inc", "corp", "corporation", "ltd", "limited", "pvt", "private", "co", "company", "llp", "plc", "sarl", "sas", "sa", "eurl", "snc"]
+NOTEBOOK_LEGAL_FORMS = [
+    "llc", "inc", "corp", "corporation", "ltd", "limited", "pvt", "private", "co", "company", "llp", "plc",
+    "sarl", "sas", "sa", "eurl", "snc", "sci", "gie", "gmbh", "ag", "spa", "srl", "sl",
+]
+AUDIT_LEGAL_FORMS = ["LLC", "INC", "CORP", "CORPORATION", "LTD", "LIMITED", "PVT", "PRIVATE", "CO", "COMPANY", "LLP", "GMBH", "SA", "SAS", "SARL", "PLC", "EURL", "SNC"]
+PROFILE_LEGAL_FORMS = ["LLC", "INC", "CORP", "CORPORATION", "LTD", "LIMITED", "PVT", "PRIVATE", "CO", "COMPANY", "LLP", "GMBH", "SA", "SAS", "SARL", "PLC"]
 
 # Abbreviation to its long form.
 ABBREVIATIONS = {
@@ -42,18 +49,38 @@ STOPWORDS = [
 DIGRAPHS = [("ee", "i"), ("oo", "u"), ("w", "v"), ("sh", "s"), ("ch", "c"), ("dh", "d"), ("th", "t"), ("bh", "b"), ("ph", "f"), ("kh", "k"), ("gh", "g"), ("jh", "j")]
 
 # Devanagari letters to Latin.
-VOWELS = dict(zip("अआइईउऊऋएऐऑऒओऔ", ["a", "a", "i", "i", "u", "u", "ri", "e", "ai", "o", "o", "o", "au"]))
-MATRAS = dict(zip("ािीुूृेैॉॊोौ", ["a", "i", "i", "u", "u", "ri", "e", "ai", "o", "o", "o", "au"]))
-CONSONANTS = dict(
-    zip(
-        "कखगघङचछजझञटठडढणतथदधनपफबभमयरलळवशषसहक़ख़ग़ज़ड़ढ़फ़य़",
-        ["k", "kh", "g", "gh", "ng", "ch", "ch", "j", "jh", "ny", "t", "th", "d", "dh", "n", "t", "th", "d", "dh", "n", "p", "f", "b", "bh", "m", "y", "r", "l", "l", "v", "sh", "sh", "s", "h", "q", "kh", "g", "z", "r", "rh", "f", "y"],
-    )
-)
+VOWELS = {
+    "अ": "a", "आ": "a", "इ": "i", "ई": "i", "उ": "u", "ऊ": "u", "ऋ": "ri", "ए": "e",
+    "ऐ": "ai", "ऑ": "o", "ऒ": "o", "ओ": "o", "औ": "au",
+}
+MATRAS = {
+    "ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "ृ": "ri", "े": "e", "ै": "ai",
+    "ॉ": "o", "ॊ": "o", "ो": "o", "ौ": "au",
+}
+CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch", "छ": "ch", "ज": "j",
+    "झ": "jh", "ञ": "ny", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t",
+    "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "f", "ब": "b", "भ": "bh",
+    "म": "m", "य": "y", "र": "r", "ल": "l", "ळ": "l", "व": "v", "श": "sh", "ष": "sh",
+    "स": "s", "ह": "h", "क़": "q", "ख़": "kh", "ग़": "g", "ज़": "z", "ड़": "r", "ढ़": "rh",
+    "फ़": "f", "य़": "y",
+}
 
 # First code points of the Brahmic blocks that are laid out like Devanagari (U+0900).
 BLOCKS = {"Bengali": 0x0980, "Gurmukhi": 0x0A00, "Gujarati": 0x0A80, "Odia": 0x0B00, "Tamil": 0x0B80, "Telugu": 0x0C00, "Kannada": 0x0C80, "Malayalam": 0x0D00}
 
+# Patterns of telephone numbers and titles in domain names, of postal codes by country, of numbers joined by
+# slashes, of letters with a house number, and of numbers after letters.
+DOMAIN_PHONE = r"[\s\-]+[0-9]{7,12}\b"
+DOMAIN_TITLE = r"^(?:m/s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s\.]*"
+POSTAL_CODES = {"India": "[1-9][0-9]{5}", "US": "[0-9]{5}", "France": "[0-9]{5}"}
+OTHER_POSTAL_CODE = "[0-9]{5,6}"
+HOUSE_LETTER = r"#?([a-z]{1,2})[\s\-]?(\d{1,5})\b"
+NUMBER_AFTER = r"([a-z/#\-]+)(\d+)"
+
+# Strings that stand for null.
+NULL_TOKENS = ["", "NULL", "null", "None", "NaN", "nan"]
+
 # Words before a name, endings of domains, words before a house number, and pairs that are no house token.
 HONORIFICS = r"^(?:m/s|m\\s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s.\-/]*"
 DOMAIN_WHOLE = r"^(?:https?://)?(?:www\.)?([a-z0-9\-]+)(?:\.com|\.in|\.org|\.net|\.co\.in|\.co|\.us|\.io|\.biz|\.info)(?:/.*)?$"

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocabulary import ABBREVIATIONS
-
-NULL_TOKENS = ["", "NULL", "null", "None", "NaN", "nan"]
+from ..functions.vocabulary import ABBREVIATIONS, NULL_TOKENS, PROFILE_LEGAL_FORMS
 
 
 def null_tokens(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
@@ -105,23 +103,36 @@ def character_difference(a: Column, b: Column) -> Column:
     return F.aggregate(every, F.lit(0), lambda acc, t: acc + F.abs(count(a, t) - count(b, t)))
 
 
-def noise_patterns(pairs: DataFrame) -> DataFrame:
-    """pattern and n of true pairs (left_name, left_addr, right_name, right_addr); a pair can be of several."""
+def with_examples(rows: DataFrame, by: list[str], examples: int) -> DataFrame:
+    """``by``, n and the first ``examples`` pairs as s1_id>cand_id of rows with s1_id and cand_id."""
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("s1_id", "cand_id"))).where(F.col("r") <= examples)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("s1_id", "cand_id"))), lambda x: F.concat_ws(">", x["s1_id"], x["cand_id"]))
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).join(first.groupBy(*by).agg(F.array_join(shown, ",").alias("examples")), by)
+
+
+def noise_patterns(pairs: DataFrame, ambiguous_names: DataFrame, examples: int = 5) -> DataFrame:
+    """pattern, n and examples of true pairs (s1_id, cand_id, left_name, left_addr, right_name, right_addr).
+
+    A pair can be of several of the nine patterns. ``ambiguous_names`` (ambiguous_name, lower case) are names of several addresses.
+    """
     a, b, x, y = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("left_name", "right_name", "left_addr", "right_addr"))
-    tokens = lambda c: F.array_sort(T.words(F.regexp_replace(c, r"[^a-z0-9\s]", " ")))
+    tokens = lambda c: F.array_sort(T.words(T.clean(c)))
     short = T.literals([k.lower() for k in ABBREVIATIONS])
+    bare = lambda c: T.without_legal_forms(T.clean(c), [f.lower() for f in PROFILE_LEGAL_FORMS])
     flags = {
         "exact": (a == b) & (x == y),
         "reordered": (a != b) & (tokens(a) == tokens(b)),
-        "legal_suffix": (a != b) & (T.without_legal_forms(T.clean(a)) == T.without_legal_forms(T.clean(b))),
+        "legal_suffix": (a != b) & (bare(a) == bare(b)),
         "abbreviation": (x != y) & F.arrays_overlap(F.array_except(tokens(x), tokens(y)), short),
         "typo": (a != b) & (character_difference(a, b) <= 3),
         "missing_component": (x == "") != (y == ""),
         "address_variation": (x != y) & (F.contains(x, y) | F.contains(y, x)) & (x != "") & (y != ""),
         "transliteration": a.rlike("[\\u0900-\\u0D7F]") != b.rlike("[\\u0900-\\u0D7F]"),
+        "ambiguous": F.col("ambiguous_name").isNotNull() & (b != ""),
     }
-    found = pairs.select(F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]), lambda p: p.isNotNull())).alias("pattern"))
-    return found.groupBy("pattern").agg(F.count("*").alias("n"))
+    marked = pairs.join(ambiguous_names, b == F.col("ambiguous_name"), "left")
+    found = marked.select("s1_id", "cand_id", F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]), lambda p: p.isNotNull())).alias("pattern"))
+    return with_examples(found, ["pattern"], examples)
 
 
 # Labels of missed links and what would recover them, by words of the label.
@@ -178,10 +189,7 @@ def miss_category(version: str = "v1") -> Column:
 
 def categorised(pairs: DataFrame, version: str = "v1", examples: int = 3) -> DataFrame:
     """category, n and the first ``examples`` pairs as s1_id>cand_id, of pairs with fields l_* and r_*."""
-    rows = pairs.withColumn("category", miss_category(version))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("s1_id", "cand_id"))).where(F.col("r") <= examples)
-    named = first.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "s1_id", "cand_id"))), ",").alias("examples"))
-    return rows.groupBy("category").agg(F.count("*").alias("n")).join(named, "category")
+    return with_examples(pairs.withColumn("category", miss_category(version)).select("s1_id", "cand_id", "category"), ["category"], examples)
 
 
 def remedy(category: Column) -> Column:
@@ -192,6 +200,7 @@ def remedy(category: Column) -> Column:
     return out.otherwise(OTHER_REMEDY)
 
 
-def script_audit(pairs: DataFrame) -> DataFrame:
-    """script_left, script_right and n of pairs with fields l_* and r_*."""
-    return pairs.groupBy(F.col("l_name_script").alias("script_left"), F.col("r_name_script").alias("script_right")).agg(F.count("*").alias("n"))
+def script_audit(pairs: DataFrame, examples: int = 2) -> DataFrame:
+    """script_left, script_right, n and examples of pairs with fields l_* and r_*."""
+    rows = pairs.select("s1_id", "cand_id", F.col("l_name_script").alias("script_left"), F.col("r_name_script").alias("script_right"))
+    return with_examples(rows, ["script_left", "script_right"], examples)

@@ -29,7 +29,8 @@ def _join(*parts: Column) -> Column:
 
 
 def _pair(a: Column, b: Column) -> Column:
-    return _join(F.least(a, b), F.greatest(a, b))
+    """Both in order; null if either is, which least and greatest pass over."""
+    return F.when(a.isNotNull() & b.isNotNull(), _join(F.least(a, b), F.greatest(a, b)))
 
 
 def _one(key: Column) -> Column:
@@ -69,7 +70,7 @@ def _strategies() -> dict[str, tuple[str, Column]]:
         "B13_name_no_space": ("V2", _one(F.when(F.length(no_space) >= 5, differs(no_space)))),
         "B14_first_distinctive_token": ("V2", _one(d0)),
         "B15_prefix_suffix_4gram": ("V3", _one(F.when(n >= 8, _join(F.substring(alnum, 1, 4), tail(alnum, 4))))),
-        "B16_skip_gram": ("V3", _one(F.when(n >= 6, _join(F.substring(alnum, 1, 2), F.substring(alnum, F.floor(n / 2).cast("int"), F.lit(2)), tail(alnum, 2))))),
+        "B16_skip_gram": ("V3", _one(F.when(n >= 6, _join(F.substring(alnum, 1, 2), F.substring(alnum, (F.floor(n / 2) + 1).cast("int"), F.lit(2)), tail(alnum, 2))))),
         "B17_distinctive_tok_ngrams": ("V3", _one(F.when(F.length(d0) >= 5, _join(F.substring(d0, 1, 3), tail(d0, 3))))),
         "B18_distinctive_token_pair": ("V4", F.array(*pairs)),
         "B19_first_last_distinctive": ("V4", _one(F.when(F.size("distinctive") >= 2, _join(d0, F.try_element_at("distinctive", F.lit(-1)))))),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["strategy", "country", "key"]
+#: Parts of a key that has too many records.
+HOT_PARTS = 64
 
 
 def postings(keys: DataFrame, cap: int | None = 15_000, mode: str = "truncate") -> DataFrame:
@@ -22,8 +24,11 @@ def postings(keys: DataFrame, cap: int | None = 15_000, mode: str = "truncate")
         return rows.join(counts.where(F.col("n") <= cap), KEY, "left_semi")
     hot = counts.where(F.col("n") > cap).select(*KEY)
     cool = rows.join(counts.where(F.col("n") <= cap), KEY, "left_semi")
-    first = Window.partitionBy(*KEY).orderBy("cand_id")
-    return cool.unionByName(rows.join(hot, KEY, "left_semi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= cap).drop("r"))
+    # The first of a hot key are the first of the firsts of its parts, so no task sorts all of its records.
+    part = F.pmod(F.xxhash64("cand_id"), F.lit(HOT_PARTS))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*KEY, *by).orderBy("cand_id"))
+    some = rows.join(hot, KEY, "left_semi").withColumn("part", part).withColumn("r", first("part")).where(F.col("r") <= cap)
+    return cool.unionByName(some.withColumn("r", first()).where(F.col("r") <= cap).drop("r", "part"))
 
 
 def pairs(left_keys: DataFrame, posted: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def votes(found: DataFrame) -> DataFrame:
 
 
 #: Weights of the five indexes of the fast variant.
-FAST_WEIGHTS = {"name": 4, "no_suffix": 3, "token": 3, "postal": 1, "prefix": 1}
+FAST_WEIGHTS = {"name": 4, "no_suffix": 3, "postal": 3, "token": 1, "prefix": 1}
 
 
 def weighted_votes(found: DataFrame, weights: dict[str, int]) -> DataFrame:
@@ -47,21 +52,24 @@ def weighted_votes(found: DataFrame, weights: dict[str, int]) -> DataFrame:
     return found.groupBy("s1_id", "cand_id").agg(F.sum(F.element_at(weight, F.col("strategy"))).alias("score"))
 
 
-def fast_keys(rows: DataFrame) -> DataFrame:
+def fast_keys(rows: DataFrame, probe: bool = False) -> DataFrame:
     """entity_id, country, strategy, key of the five indexes over cleaned name and address columns.
 
-    ``rows`` has entity_id, country, clean_name, no_suffix and postal.
+    ``rows`` has entity_id, country (null: UNKNOWN), clean_name, no_suffix and postal. A record is indexed by its
+    suffix-free name only where that differs from the name; the records that ``probe`` the index ask for it in any case.
     """
-    tok0 = F.get(F.split("no_suffix", " "), F.lit(0))
+    name, length = F.col("clean_name"), F.length("clean_name")
+    tok0 = F.get(F.split(name, " "), F.lit(0))
     keyed = {
-        "name": F.col("clean_name"),
-        "no_suffix": F.when(F.col("no_suffix") != F.col("clean_name"), F.col("no_suffix")),
+        "name": name,
+        "no_suffix": F.col("no_suffix") if probe else F.when(F.col("no_suffix") != name, F.col("no_suffix")),
         "token": F.when(F.length(tok0) >= 4, tok0),
-        "postal": F.concat(F.col("postal"), F.lit("_"), F.substring("clean_name", 1, 3)),
-        "prefix": F.when(F.length("clean_name") >= 4, F.concat(F.substring("clean_name", 1, 4), F.lit("_"), F.floor(F.length("clean_name") / 4).cast("string"))),
+        "postal": F.when(name != "", F.concat(F.col("postal"), F.lit("_"), F.substring(name, 1, 3))),
+        "prefix": F.when(length >= 5, F.concat(F.substring(name, 1, 4), F.lit("_"), F.floor(length / 4).cast("string"))),
     }
     entries = F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("key")) for k, v in keyed.items()])
-    return rows.select("entity_id", "country", F.explode(F.filter(entries, lambda e: e["key"].isNotNull() & (e["key"] != ""))).alias("e")).select("entity_id", "country", "e.strategy", "e.key")
+    country = F.coalesce("country", F.lit("UNKNOWN")).alias("country")
+    return rows.select("entity_id", country, F.explode(F.filter(entries, lambda e: e["key"].isNotNull() & (e["key"] != ""))).alias("e")).select("entity_id", "country", "e.strategy", "e.key")
 
 
 def ranked(scored: DataFrame, k: int, by: str = "votes") -> DataFrame:
@@ -90,6 +98,22 @@ def training_pairs(scored: DataFrame, truth: DataFrame, top: int = 50, negatives
     return rows.where((F.col("label") == 1) | (F.col("n") <= negatives)).select("s1_id", "cand_id", "votes", default_rank(F.col("place"), top).alias("rank"), "label")
 
 
+def index_training_pairs(scored: DataFrame, truth: DataFrame, top: int = 20, recalled: int = 10) -> DataFrame:
+    """s1_id, cand_id, score, rank, label: the first ``top``, then retrieved true links below them, at the score ``recalled``."""
+    one = Window.partitionBy("s1_id")
+    known = truth.select("s1_id", "cand_id").distinct().withColumn("label", F.lit(1))
+    rows = scored.withColumn("place", F.row_number().over(one.orderBy(F.desc("score"), "cand_id"))).join(known, ["s1_id", "cand_id"], "left").fillna({"label": 0})
+    kept = rows.where((F.col("place") <= top) | (F.col("label") == 1))
+    score = F.when(F.col("place") <= top, F.col("score")).otherwise(recalled)
+    return kept.withColumn("rank", F.row_number().over(one.orderBy("place"))).select("s1_id", "cand_id", score.alias("score"), "rank", "label")
+
+
+def all_truth_training_pairs(scored: DataFrame, truth: DataFrame, top: int = 30) -> DataFrame:
+    """s1_id, cand_id, votes, label: the first ``top`` and all true links, those that weren't retrieved with 0 votes."""
+    known = truth.select("s1_id", "cand_id").distinct().withColumn("label", F.lit(1))
+    return ranked(scored, top).select("s1_id", "cand_id", "votes").join(known, ["s1_id", "cand_id"], "full").fillna({"label": 0, "votes": 0})
+
+
 # --- evaluation of strategies ---
 
 

@@ -19,21 +19,34 @@ def _f(tp: str, n_pred: str, n_true: str, beta: float = 0.5) -> dict:
     }
 
 
-def entity_scores(spine: DataFrame, truth: DataFrame, predicted: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+def entity_scores(spine: DataFrame, truth: DataFrame, predicted: DataFrame, beta: float = 0.5) -> DataFrame:
     """n_true, n_pred, tp, f, p, r of every s1_id of the spine, entities without links included.
 
-    An entity without true links scores 1 if nothing is predicted, else 0. ``by`` are columns of ``predicted`` that
-    tell apart several predictions, each of which is scored on the whole spine.
+    An entity without true links scores 1 if nothing is predicted, else 0. ``beta`` weighs recall against precision.
     """
     known = truth.select("s1_id", "cand_id").distinct()
     n_true = known.groupBy("s1_id").agg(F.count("*").alias("n_true"))
-    hits = predicted.select(*by, "s1_id", "cand_id").distinct().join(known.withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
-    got = hits.groupBy(*by, "s1_id").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
-    base = spine.join(n_true, "s1_id", "left")
-    if by:
-        base = base.crossJoin(F.broadcast(predicted.select(*by).distinct()))
-    out = base.join(got, [*by, "s1_id"], "left").fillna(0, ["n_true", "n_pred", "tp"])
-    return out.withColumns(_f("tp", "n_pred", "n_true"))
+    hits = predicted.select("s1_id", "cand_id").distinct().join(known.withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
+    got = hits.groupBy("s1_id").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
+    out = spine.join(n_true, "s1_id", "left").join(got, "s1_id", "left").fillna(0, ["n_true", "n_pred", "tp"])
+    return out.withColumns(_f("tp", "n_pred", "n_true", beta))
+
+
+def source_scores(spine: DataFrame, truth: DataFrame, predicted: DataFrame, beta: float = 0.5) -> DataFrame:
+    """source, n, macro_f, macro_p, macro_r: the mean scores on one source's links alone.
+
+    An entity counts for a source if it has a true or a predicted link there.
+    """
+    known = truth.select("s1_id", "cand_id").distinct().withColumn("t", F.lit(1))
+    guess = predicted.select("s1_id", "cand_id").distinct().withColumn("g", F.lit(1))
+    rows = known.join(guess, ["s1_id", "cand_id"], "full").join(spine.select("s1_id").distinct(), "s1_id", "left_semi").withColumn("source", F.substring("cand_id", 1, 2))
+    per = rows.groupBy("source", "s1_id").agg(F.count("t").alias("n_true"), F.count("g").alias("n_pred"), F.count(F.when(F.col("t").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"))
+    return macro(per.withColumns(_f("tp", "n_pred", "n_true", beta)), ["source"])
+
+
+def stratum():
+    """Entities without true links (singleton) and with some (matched)."""
+    return F.when(F.col("n_true") == 0, "singleton").otherwise("matched")
 
 
 def bucket():
@@ -41,8 +54,8 @@ def bucket():
 
 
 def macro(scores: DataFrame, by: list[str]) -> DataFrame:
-    """n and the means of f, p and r by the given columns (country, bucket, or none)."""
-    rows = scores.withColumn("bucket", bucket())
+    """n and the means of f, p and r by the given columns (country, bucket, stratum, source, or none)."""
+    rows = scores.withColumns({"bucket": bucket(), "stratum": stratum()})
     aggregates = [F.count("*").alias("n"), *[F.round(F.avg(x), 4).alias(f"macro_{x}") for x in ("f", "p", "r")]]
     return rows.groupBy(*by).agg(*aggregates) if by else rows.agg(*aggregates)
 

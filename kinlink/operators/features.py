@@ -43,8 +43,8 @@ def _bigrams(c: Column) -> Column:
 
 
 def _length_ratio(a: Column, b: Column) -> Column:
-    x, y = F.length(a), F.length(b)
-    return F.greatest(F.least(x, y), F.lit(0)) / F.greatest(x, y, F.lit(1))
+    x, y = (F.greatest(F.length(c), F.lit(1)) for c in (a, b))
+    return F.least(x, y) / F.greatest(x, y)
 
 
 def native_features(parity: bool = False) -> dict[str, Column]:
@@ -56,11 +56,11 @@ def native_features(parity: bool = False) -> dict[str, Column]:
     c = F.col
     tokens, atokens, anum = _set("name_tokens"), _set("addr_tokens"), [F.array_distinct(F.filter(F.transform(x, T.strip_zeros), lambda d: d != "")) for x in _sides("numeric_atoms")]
     (na, nb), (aa, ab), (pa, pb), (ha, hb) = _sides("name_alnum"), _sides("addr_alnum"), _sides("postal_code"), _sides("house_number")
-    la, lb = _set("legal_suffixes")
+    la, lb = _sides("legal_suffixes")
     name_jac, addr_jac = T.set_ratio(*tokens, "jaccard"), T.set_ratio(*atokens, "jaccard")
     exact, addr_exact = _same("name_alnum"), _same("addr_alnum")
     both_postal = pa.isNotNull() & pb.isNotNull()
-    suffix = F.when((F.size(la) == 0) | (F.size(lb) == 0), 0.5).otherwise(F.arrays_overlap(la, lb).cast("double"))
+    suffix = F.when((F.size(la) == 0) & (F.size(lb) == 0), 0.5).otherwise(_flag((F.size(la) > 0) & (la == lb)))
     family = {k: F.arrays_overlap(c("strategies"), T.literals(v)).cast("double") for k, v in FAMILIES.items()}
     return {
         "name_exact": exact,
@@ -107,7 +107,7 @@ def native_features(parity: bool = False) -> dict[str, Column]:
         "both_strong": _flag((name_jac >= 0.6) & (addr_jac >= 0.4)),
         "exact_name_partial_addr": _flag((exact == 1) & (addr_jac >= 0.25)),
         "partial_name_exact_addr": _flag((name_jac >= 0.5) & (addr_exact == 1)),
-        "name_addr_numeric_consistent": _flag(F.arrays_overlap(F.regexp_extract_all("l_name_raw", F.lit(r"(\d+)"), F.lit(1)), c("r_numeric_atoms"))),
+        "name_addr_numeric_consistent": _flag(F.arrays_overlap(F.regexp_extract_all("l_name_raw", F.lit(T.NUMBER), F.lit(1)), c("r_numeric_atoms"))),
         "source_is_s2": F.startswith(c("cand_id"), F.lit("S2-")).cast("double"),
         "blocker_votes_count": c("votes").cast("double"),
         "cand_rank_by_votes": c("rank").cast("double"),

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import audit, blocking, candidates, evaluation, features, model, records, sampling, validation
 from ..sources import tables
+from ..sources.shared import written
 from . import resolve
-from .entities import ENTITIES_SQL, entities, sides, true_links
-
-#: Strategies whose keys plain SQL can express.
-PLAIN = ["B01_exact_name", "B05_first_two_tokens", "B06_prefix4_len", "B15_prefix_suffix_4gram"]
+from . import linkage_sql as L
+from .entities import ENTITIES, entities, sides, true_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,48 +40,41 @@ def _spine(rows: DataFrame) -> DataFrame:
     return sides(rows)[0].select(F.col("entity_id").alias("s1_id"), "country")
 
 
-def _plain_pairs(rows: DataFrame) -> DataFrame:
-    left, right = sides(rows)
-    return resolve.blocked(records.name_fields(left), records.name_fields(right), PLAIN, cap=None)  # as their SQL
+def _records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The derived fields of both sides, written once: they are read again for keys, votes and features."""
+    return sides(written(records.records(rows)))
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """s1_id, cand_id, strategy of all 47 strategies."""
-    left, right = (records.records(x) for x in sides(rows))
-    return resolve.blocked(left, right)
+def _pairs(rows: DataFrame) -> DataFrame:
+    """s1_id, cand_id, strategy of all 47 strategies, without a cap."""
+    return written(resolve.blocked(*sides(records.records(rows)), cap=None))
 
 
-def _scored(rows: DataFrame, found: Callable[[DataFrame], DataFrame] = _plain_pairs) -> DataFrame:
-    """s1_id, cand_id, prob: the Jaccard similarity of the words of both names."""
-    left, right = sides(rows)
-    pairs = found(rows).select("s1_id", "cand_id").distinct()
-    words = lambda r, k, c: r.select(F.col("entity_id").alias(k), F.array_distinct(F.split("business_name", " ")).alias(c))
-    both = pairs.join(words(left, "s1_id", "a"), "s1_id").join(words(right, "cand_id", "b"), "cand_id")
-    return both.select("s1_id", "cand_id", T.set_ratio(F.col("a"), F.col("b"), "jaccard").alias("prob"))
-
-
-_FORMS = "pvt|ltd|limited|private|llc|inc|corp|corporation|co|company|sarl|sas|sa|eurl|llp"
-_KEYS_SQL = """
-k AS (SELECT entity_id, source, country, unnest([
-    {'strategy': 'B01_exact_name', 'key': business_name},
-    {'strategy': 'B05_first_two_tokens', 'key': CASE WHEN business_name LIKE '% %' THEN string_split(business_name, ' ')[1] || '_' || string_split(business_name, ' ')[2] END},
-    {'strategy': 'B06_prefix4_len', 'key': CASE WHEN length(business_name) >= 4 THEN substr(business_name, 1, 4) || '_' || CAST(length(business_name) // 4 AS VARCHAR) END},
-    {'strategy': 'B15_prefix_suffix_4gram', 'key': CASE WHEN length(business_name) >= 8 THEN substr(business_name, 1, 4) || '_' || right(business_name, 4) END}
-  ]) AS x FROM e),
-keys AS (SELECT entity_id, source, coalesce(country, 'UNKNOWN') AS country, x.strategy AS strategy, x.key AS key FROM k WHERE x.key IS NOT NULL AND x.key <> ''),
-pairs AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id, a.strategy FROM keys a JOIN keys b USING (strategy, country, key) WHERE a.source = 'S1' AND b.source <> 'S1'),
-votes AS (SELECT s1_id, cand_id, count(*) AS votes, array_to_string(list_sort(list(strategy)), ',') AS strategies FROM pairs GROUP BY ALL),
-names AS (SELECT entity_id, list_distinct(string_split(business_name, ' ')) AS n FROM e),
-scored AS (SELECT s1_id, cand_id, CAST(len(list_intersect(a.n, b.n)) AS DOUBLE) / len(list_distinct(list_concat(a.n, b.n))) AS prob
-   FROM votes JOIN names a ON a.entity_id = s1_id JOIN names b ON b.entity_id = cand_id)"""
-_E, _K = f"WITH {ENTITIES_SQL}", f"WITH {ENTITIES_SQL},{_KEYS_SQL}"
-_LEVELS = {"B01_exact_name": 1, "B05_first_two_tokens": 2, "B06_prefix4_len": 3, "B15_prefix_suffix_4gram": 4}
+def _scored(rows: DataFrame) -> DataFrame:
+    """s1_id, cand_id, prob of the first 40 candidates: half the similarity of the names' words, half that of the addresses'."""
+    left, right = _records(rows)
+    voted = candidates.ranked(candidates.votes(resolve.blocked(left, right, cap=None)), 40)
+    side = lambda r, key, p: r.select(F.col("entity_id").alias(key), *[F.array_distinct(f"{x}_tokens").alias(f"{p}_{x}") for x in ("name", "addr")])
+    both = voted.select("s1_id", "cand_id").join(side(left, "s1_id", "l"), "s1_id").join(side(right, "cand_id", "r"), "cand_id")
+    ratio = lambda x: T.set_ratio(F.col(f"l_{x}"), F.col(f"r_{x}"), "jaccard")
+    return written(both.select("s1_id", "cand_id", (0.5 * ratio("name") + 0.5 * ratio("addr")).alias("prob")))
+
+
+#: SQL of a cleaned text, and of the same without some legal forms.
+_CLEAN, _WITHOUT = L.CLEAN, r"trim(regexp_replace(regexp_replace({x}, '\b({forms})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_FORMS, _INDEX_FORMS, _PROFILE_FORMS = ("|".join(x).lower() for x in (V.SHORT_LEGAL_FORMS, V.INDEX_LEGAL_FORMS, V.PROFILE_LEGAL_FORMS))
+_E, _F = f"WITH {ENTITIES}", f"WITH {ENTITIES},{L.FIELDS}"
+_K = f"{_F},{L.keys()},{L.PAIRS}"
+_RATIO = L.ratio("list_distinct(l.{0})", "list_distinct(r.{0})", "jaccard")
+_SCORED_SQL = f"{_K}, scored AS (SELECT s1_id, cand_id, 0.5 * ({_RATIO.format('name_tokens')}) + 0.5 * ({_RATIO.format('addr_tokens')}) AS prob FROM ranked JOIN f l ON l.entity_id = s1_id JOIN f r ON r.entity_id = cand_id)"
+_PLACE = {k: i + 1 for i, k in enumerate(blocking.LEVELS)}
+_LEVEL_SQL = "CASE strategy " + " ".join(f"WHEN '{k}' THEN {_PLACE[v]}" for k, v in blocking.strategy_levels().items()) + " END"
 
 
 @query(
     "exact_name_resolution",
-    rf"""{_E},
-c AS (SELECT entity_id, source, country, trim(regexp_replace(regexp_replace(business_name, '\b({_FORMS})\b', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM e),
+    f"""{_E},
+c AS (SELECT entity_id, source, country, {_WITHOUT.format(x=_CLEAN.format(x="lower(coalesce(business_name, ''))"), forms=_FORMS)} AS name FROM e),
 j AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.source, a.name FROM c a JOIN c b ON a.name = b.name AND a.country = b.country
       WHERE a.source = 'S1' AND b.source <> 'S1' AND length(a.name) >= 3),
 r AS (SELECT *, count(*) OVER (PARTITION BY source, name) AS n FROM j),
@@ -95,15 +88,15 @@ def exact_name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "clean_text_projection",
-    rf"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name_clean FROM documents),
-s AS (SELECT *, trim(regexp_replace(regexp_replace(name_clean, '\b({_FORMS})\b', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM c)
-SELECT doc_id, md5(name_clean) AS clean_md5, md5(n) AS no_suffix_md5, substr(n, 1, 4) AS pfx4, nullif(regexp_extract(text, '\b([0-9]{{5,6}})\b', 1), '') AS postal,
-  nullif(regexp_extract(name_clean, '^(\d+)', 1), '') AS house, string_split(n, ' ')[1] AS tok0, string_split(n, ' ')[2] AS tok1, CAST(len(string_split(n, ' ')) AS BIGINT) AS n_toks FROM s""",
+    rf"""WITH c AS (SELECT doc_id, text, {_CLEAN.format(x="lower(text)")} AS c FROM documents), s AS (SELECT *, {_WITHOUT.format(x="c", forms=_INDEX_FORMS)} AS n FROM c)
+SELECT doc_id, md5(c) AS clean_md5, md5(n) AS no_suffix_md5, substr(c, 1, 4) AS pfx4, nullif(regexp_extract(text, '\b([0-9]{{5,6}})\b', 1), '') AS postal,
+  nullif(regexp_extract(c, '^(\d+)', 1), '') AS house, string_split(c, ' ')[1] AS tok0, string_split(c, ' ')[2] AS tok1, CAST(len(string_split(c, ' ')) AS BIGINT) AS n_toks FROM s""",
 )
 def clean_text_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", T.clean(F.col("text")).alias("name_clean"))
-    rows = rows.withColumn("n", T.without_legal_forms(F.col("name_clean"))).withColumn("t", F.split("n", " "))
-    return rows.select("doc_id", F.md5(F.col("name_clean").cast("binary")).alias("clean_md5"), F.md5(F.col("n").cast("binary")).alias("no_suffix_md5"), F.substring("n", 1, 4).alias("pfx4"), T.first_postal_code(F.col("text")).alias("postal"), T.leading_number(F.col("name_clean")).alias("house"), F.get("t", F.lit(0)).alias("tok0"), F.get("t", F.lit(1)).alias("tok1"), F.size("t").cast("long").alias("n_toks"))
+    """Cleaned text, the same without legal forms, and of the cleaned text prefix, tokens and leading number."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", T.clean(F.col("text")).alias("c"))
+    rows = rows.withColumns({"n": T.without_legal_forms(F.col("c"), V.INDEX_LEGAL_FORMS), "t": F.split("c", " ")})
+    return rows.select("doc_id", F.md5(F.col("c").cast("binary")).alias("clean_md5"), F.md5(F.col("n").cast("binary")).alias("no_suffix_md5"), F.substring("c", 1, 4).alias("pfx4"), T.first_postal_code(F.col("text")).alias("postal"), T.leading_number(F.col("c")).alias("house"), F.get("t", F.lit(0)).alias("tok0"), F.get("t", F.lit(1)).alias("tok1"), F.size("t").cast("long").alias("n_toks"))
 
 
 @query("char_ngrams_3", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3)))), '|') AS grams FROM part")
@@ -169,10 +162,10 @@ def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_breakdown(_spine(rows), true_links(rows))
 
 
-@query("train_test_overlap", f"{_E}, a AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE doc_id % 2 = 1) SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (v)) AS n_both")
+@query("train_test_overlap", f"{_E}, a AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE business_name IS NOT NULL AND g % 2 = 0), b AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE business_name IS NOT NULL AND g % 2 = 1) SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (v)) AS n_both")
 def train_test_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entities(spark, sf_dir)
-    return audit.overlap(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "business_name")
+    rows = entities(spark, sf_dir).where("business_name is not null")
+    return audit.overlap(rows.where("g % 2 = 0"), rows.where("g % 2 = 1"), "business_name")
 
 
 @query("ambiguous_names", "SELECT lower(p_name) AS name, count(*) AS n_rows, count(DISTINCT p_brand) AS n_addresses FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 3")
@@ -180,12 +173,56 @@ def ambiguous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.ambiguous(_table(spark, sf_dir, "part"), "p_name", "p_brand")
 
 
-@query("blocking_keys_plain", f"{_K} SELECT entity_id, country, strategy, key FROM keys")
-def blocking_keys_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.with_keys(records.name_fields(entities(spark, sf_dir)), PLAIN)
+_TEXTS = ["entity_id", "name_raw", "name_alnum", "name_tokens_sorted", "name_no_suffix", "name_no_suffix_sorted", "name_initials", "name_abbrev_expanded", "name_concat_distinctive", "name_no_honorific", "domain_clean", "name_transliterated"]
+_LISTS = ["name_tokens", "distinctive", "honorific_distinctive", "translit_distinctive", "phonetic", "translit_phonetic", "soundex_tokens", "legal_suffixes", "name_c3", "name_c4", "name_c5"]
+_ADDRESS_TEXTS = ["entity_id", "addr_alnum", "addr_tokens_sorted", "postal_code", "house_number", "sorted_numeric_sig", "house_signature"]
+_ADDRESS_LISTS = ["addr_tokens", "addr_distinctive", "slash_compounds", "house_tokens", "numeric_atoms", "addr_c3", "addr_c4", "addr_c5"]
+
+
+def _fields_sql(texts: list[str], lists: list[str]) -> str:
+    return f"{_F} SELECT {', '.join(texts)}, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in lists) + " FROM f"
+
+
+@query("name_fields", _fields_sql(_TEXTS, _LISTS))
+def name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All derived fields of names."""
+    return records.records(entities(spark, sf_dir)).select(*_TEXTS, *[F.array_join(x, "|").alias(x) for x in _LISTS])
+
+
+@query("address_fields", _fields_sql(_ADDRESS_TEXTS, _ADDRESS_LISTS))
+def address_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All derived fields of addresses."""
+    return records.records(entities(spark, sf_dir)).select(*_ADDRESS_TEXTS, *[F.array_join(x, "|").alias(x) for x in _ADDRESS_LISTS])
+
+
+#: Common table expressions up to script_of (entity_id, script).
+_SCRIPTS_SQL = rf"""
+sc1 AS (SELECT entity_id, i, ord(substr(n, CAST(i AS INT), 1)) AS o, substr(n, CAST(i AS INT), 1) AS c FROM (SELECT entity_id, trim(business_name) AS n, unnest(range(1, length(trim(business_name)) + 1)) AS i FROM e)),
+sc2 AS (SELECT entity_id, i, CASE WHEN o BETWEEN 2304 AND 2431 THEN 'Devanagari' {" ".join(f"WHEN o BETWEEN {b} AND {b + 127} THEN '{k}'" for k, b in V.BLOCKS.items())} WHEN regexp_matches(c, '^\p{{L}}$') THEN 'Latin' END AS script FROM sc1),
+sc3 AS (SELECT entity_id, script, count(*) AS n, min(i) AS first FROM sc2 WHERE script IS NOT NULL GROUP BY ALL),
+sc4 AS (SELECT entity_id, script, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first) AS r FROM sc3),
+script_of AS (SELECT e.entity_id, coalesce(script, 'Latin') AS script FROM e LEFT JOIN sc4 ON sc4.entity_id = e.entity_id AND r = 1)"""
+
+
+@query("name_scripts", f"{_E},{_SCRIPTS_SQL} SELECT entity_id, script FROM script_of")
+def name_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script of most letters of each name."""
+    return records.name_fields(entities(spark, sf_dir)).select("entity_id", F.col("name_script").alias("script"))
+
+
+def _level_query(level: str) -> None:
+    chosen = blocking.strategy_names([level])
+
+    @query(f"blocking_keys_{level.lower()}", f"{_F},{L.keys(chosen)} SELECT entity_id, country, strategy, key FROM keys")
+    def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return blocking.with_keys(records.records(entities(spark, sf_dir)), chosen)
+
+
+for _level in blocking.LEVELS:
+    _level_query(_level)
 
 
-@query("blocking_keys_all")
+@query("blocking_keys_all", f"{_K} SELECT entity_id, country, strategy, key FROM keys")
 def blocking_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of all 47 strategies."""
     return blocking.with_keys(records.records(entities(spark, sf_dir)))
@@ -197,102 +234,138 @@ def postings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.postings(keys, 20)
 
 
-@query("candidate_votes", f"{_K} SELECT * FROM votes")
+@query("candidate_votes", f"{_K} SELECT s1_id, cand_id, votes, array_to_string(strategies, ',') AS strategies FROM votes")
 def candidate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.votes(_plain_pairs(entities(spark, sf_dir))).withColumn("strategies", F.array_join("strategies", ","))
+    return candidates.votes(_pairs(entities(spark, sf_dir))).withColumn("strategies", F.array_join("strategies", ","))
 
 
-@query("candidate_votes_all")
-def candidate_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The votes of all 47 strategies."""
-    return candidates.votes(_all_pairs(entities(spark, sf_dir))).withColumn("strategies", F.array_join("strategies", ","))
+@query("weighted_candidates", f"{_K} SELECT s1_id, cand_id, CAST(sum(9 - {_LEVEL_SQL}) AS BIGINT) AS score FROM pairs GROUP BY ALL")
+def weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes weighted by the strategies' levels, the first level counting most."""
+    return candidates.weighted_votes(_pairs(entities(spark, sf_dir)), {k: 9 - _PLACE[v] for k, v in blocking.strategy_levels().items()})
 
 
-@query("weighted_candidates", f"{_K} SELECT s1_id, cand_id, CAST(sum(CASE strategy WHEN 'B01_exact_name' THEN 4 WHEN 'B05_first_two_tokens' THEN 3 WHEN 'B06_prefix4_len' THEN 1 ELSE 1 END) AS BIGINT) AS score FROM pairs GROUP BY ALL")
-def weighted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.weighted_votes(_plain_pairs(entities(spark, sf_dir)), dict(zip(PLAIN, (4, 3, 1, 1))))
+_INDEX_SQL = rf"""{_E},
+i1 AS (SELECT entity_id, source, coalesce(country, 'UNKNOWN') AS country, {_CLEAN.format(x="lower(coalesce(business_name, ''))")} AS n, nullif(regexp_extract(business_address, '\b([0-9]{{5,6}})\b', 1), '') AS postal FROM e),
+i2 AS (SELECT *, {_WITHOUT.format(x="n", forms=_INDEX_FORMS)} AS bare, string_split(n, ' ')[1] AS t0 FROM i1),
+i3 AS (SELECT entity_id, source, country, n, bare, unnest([
+    {{'weight': 4, 'idx': 'name', 'key': n}}, {{'weight': 3, 'idx': 'nosuf', 'key': CASE WHEN source = 'S1' OR bare <> n THEN bare END}}, {{'weight': 3, 'idx': 'postal', 'key': CASE WHEN n <> '' THEN postal || '_' || substr(n, 1, 3) END}},
+    {{'weight': 1, 'idx': 'tok0', 'key': CASE WHEN length(t0) >= 4 THEN t0 END}}, {{'weight': 1, 'idx': 'pfx4', 'key': CASE WHEN length(n) >= 5 THEN substr(n, 1, 4) || '_' || CAST(length(n) // 4 AS VARCHAR) END}}]) AS x FROM i2),
+i4 AS (SELECT entity_id, source, country, x.weight AS weight, x.idx AS idx, x.key AS key FROM i3 WHERE x.key IS NOT NULL AND x.key <> ''),
+posted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, country, key ORDER BY entity_id) AS r FROM i4 WHERE source <> 'S1') WHERE r <= 300),
+hits AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, CAST(sum(a.weight) AS BIGINT) AS score FROM i4 a JOIN posted b USING (idx, country, key) WHERE a.source = 'S1' GROUP BY ALL)"""
 
 
-@query("fast_index_candidates")
-def fast_index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the five weighted indexes, the first 25 of each entity."""
+def _index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s1_id, cand_id, score of the five weighted indexes, whose keys keep their first 300 records (a feature of the index)."""
     name = T.clean(F.col("business_name"))
-    rows = entities(spark, sf_dir).select("entity_id", "source", "country", name.alias("clean_name"), T.without_legal_forms(name).alias("no_suffix"), T.first_postal_code(F.col("business_address")).alias("postal"))
+    rows = entities(spark, sf_dir).select("entity_id", "source", "country", name.alias("clean_name"), T.without_legal_forms(name, V.INDEX_LEGAL_FORMS).alias("no_suffix"), T.first_postal_code(F.col("business_address")).alias("postal"))
     left, right = sides(rows)
-    found = candidates.pairs(candidates.fast_keys(left), candidates.postings(candidates.fast_keys(right), 300, "drop"))
-    return candidates.ranked(candidates.weighted_votes(found, candidates.FAST_WEIGHTS), 25, "score")
+    found = candidates.pairs(candidates.fast_keys(left, probe=True), candidates.postings(candidates.fast_keys(right), 300))
+    return candidates.weighted_votes(found, candidates.FAST_WEIGHTS)
+
+
+@query("fast_index_candidates", f"{_INDEX_SQL} SELECT s1_id, cand_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM hits) WHERE r <= 25")
+def fast_index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the five weighted indexes, the first 25 of each entity."""
+    return candidates.ranked(_index_hits(spark, sf_dir), 25, "score")
+
+
+@query(
+    "index_training_pairs",
+    f"""{_INDEX_SQL}, r AS (SELECT h.*, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, h.cand_id) AS place, t.cand_id IS NOT NULL AS is_true FROM hits h LEFT JOIN truth t USING (s1_id, cand_id)),
+k AS (SELECT s1_id, cand_id, CASE WHEN place <= 20 THEN score ELSE 10 END AS score, place, is_true FROM r WHERE place <= 20 OR is_true)
+SELECT s1_id, cand_id, score, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY place) AS INTEGER) AS rank, CASE WHEN is_true THEN 1 ELSE 0 END AS label FROM k""",
+)
+def index_training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 of the index, and true links among the others at score 10."""
+    return candidates.index_training_pairs(_index_hits(spark, sf_dir), true_links(entities(spark, sf_dir)))
+
+
+@query(
+    "all_truth_training_pairs",
+    f"""{_K}, r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, cand_id) AS place FROM votes)
+SELECT s1_id, cand_id, coalesce(votes, 0) AS votes, CASE WHEN t.c IS NULL THEN 0 ELSE 1 END AS label FROM (SELECT s1_id, cand_id, votes FROM r WHERE place <= 30) r FULL JOIN (SELECT s1_id, cand_id, 1 AS c FROM truth) t USING (s1_id, cand_id)""",
+)
+def all_truth_training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 30 candidates and all true links, retrieved or not."""
+    rows = entities(spark, sf_dir)
+    return candidates.all_truth_training_pairs(candidates.votes(_pairs(rows)), true_links(rows))
 
 
-@query("topk_candidates", f"{_K} SELECT s1_id, cand_id, votes, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, cand_id) AS r FROM votes) WHERE r <= 40")
+@query("topk_candidates", f"{_K} SELECT s1_id, cand_id, votes, CAST(rank AS INTEGER) AS rank FROM ranked")
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.ranked(candidates.votes(_plain_pairs(entities(spark, sf_dir))), 40).select("s1_id", "cand_id", "votes", "rank")
+    return candidates.ranked(candidates.votes(_pairs(entities(spark, sf_dir))), 40).select("s1_id", "cand_id", "votes", "rank")
 
 
-@query("vote_fallback_matches", f"{_K}, t AS (SELECT *, max(votes) OVER (PARTITION BY s1_id) AS top, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, cand_id) AS r FROM votes), f AS (SELECT * FROM t WHERE r <= 40) SELECT s1_id, cand_id, votes FROM f WHERE votes >= 3 OR (top < 3 AND r = 1 AND votes >= 2)")
+@query("vote_fallback_matches", f"{_K}, t AS (SELECT *, max(votes) OVER (PARTITION BY s1_id) AS top FROM ranked) SELECT s1_id, cand_id, votes FROM t WHERE votes >= 3 OR (top < 3 AND rank = 1 AND votes >= 2)")
 def vote_fallback_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = sides(entities(spark, sf_dir))
-    return resolve.resolve_by_votes(records.name_fields(left), records.name_fields(right), PLAIN, cap=None)
+    return resolve.resolve_by_votes(*_records(entities(spark, sf_dir)), cap=None)
 
 
 @query(
     "hard_negatives",
     f"""{_K}, r AS (SELECT v.*, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, cand_id) AS place FROM votes v),
-l AS (SELECT r.*, CASE WHEN t.cand_id IS NULL THEN 0 ELSE 1 END AS label FROM r LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (s1_id, cand_id)),
+l AS (SELECT r.*, CASE WHEN t.c IS NULL THEN 0 ELSE 1 END AS label FROM r LEFT JOIN (SELECT s1_id, cand_id, 1 AS c FROM truth) t USING (s1_id, cand_id)),
 n AS (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY place) AS k FROM l WHERE label = 1 OR place <= 50)
 SELECT s1_id, cand_id, votes, CAST(CASE WHEN place <= 50 THEN place ELSE 100 END AS INTEGER) AS rank, CAST(label AS INTEGER) AS label FROM n WHERE label = 1 OR k <= 12""",
 )
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return candidates.training_pairs(candidates.votes(_plain_pairs(rows)), true_links(rows))
+    return candidates.training_pairs(candidates.votes(_pairs(rows)), true_links(rows))
 
 
 @query(
     "blocking_recall",
-    f"""{_K}, h AS (SELECT t.*, substr(t.cand_id, 1, 2) AS source, v.s1_id IS NOT NULL AS hit FROM truth t LEFT JOIN votes v USING (s1_id, cand_id))
+    f"""{_K}, h AS (SELECT t.*, substr(t.cand_id, 1, 2) AS source, v.votes IS NOT NULL AS hit FROM truth t LEFT JOIN votes v USING (s1_id, cand_id))
 SELECT coalesce(source, 'all') AS source, count(*) AS n_links, count(*) FILTER (hit) AS n_found, round(100.0 * count(*) FILTER (hit) / count(*), 4) AS recall_pct FROM h GROUP BY ROLLUP (source)""",
 )
 def blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return candidates.recall(true_links(rows), _plain_pairs(rows))
+    return candidates.recall(true_links(rows), _pairs(rows))
 
 
 @query(
     "blocking_by_strategy",
-    f"""{_K}, m AS (SELECT p.*, count(*) OVER (PARTITION BY s1_id, cand_id) AS finders, t.s1_id IS NOT NULL AS hit FROM pairs p LEFT JOIN truth t USING (s1_id, cand_id))
+    f"""{_K}, m AS (SELECT p.*, count(*) OVER (PARTITION BY s1_id, cand_id) AS finders, t.c IS NOT NULL AS hit FROM pairs p LEFT JOIN (SELECT s1_id, cand_id, 1 AS c FROM truth) t USING (s1_id, cand_id))
 SELECT strategy, count(*) AS n_pairs, count(*) FILTER (hit) AS n_links, count(*) FILTER (hit AND finders = 1) AS n_unique, round(1000.0 * count(*) FILTER (hit) / count(*), 4) AS links_per_1000 FROM m GROUP BY strategy""",
 )
 def blocking_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return candidates.by_strategy(true_links(rows), _plain_pairs(rows))
+    return candidates.by_strategy(true_links(rows), _pairs(rows))
 
 
 @query(
     "cumulative_union_recall",
-    f"""{_K}, f AS (SELECT s1_id, cand_id, min(CASE strategy WHEN 'B01_exact_name' THEN 1 WHEN 'B05_first_two_tokens' THEN 2 WHEN 'B06_prefix4_len' THEN 3 ELSE 4 END) AS level FROM pairs GROUP BY ALL),
-g AS (SELECT level, count(*) AS new_pairs, count(t.s1_id) AS new_links FROM f LEFT JOIN truth t USING (s1_id, cand_id) GROUP BY level)
-SELECT level, new_pairs, new_links, CAST(sum(new_pairs) OVER (ORDER BY level) AS BIGINT) AS pairs_so_far, CAST(sum(new_links) OVER (ORDER BY level) AS BIGINT) AS links_so_far FROM g""",
+    f"""{_K}, f1 AS (SELECT s1_id, cand_id, min({_LEVEL_SQL}) AS level FROM pairs GROUP BY ALL),
+g1 AS (SELECT level, count(*) AS new_pairs, count(t.c) AS new_links FROM f1 LEFT JOIN (SELECT s1_id, cand_id, 1 AS c FROM truth) t USING (s1_id, cand_id) GROUP BY level)
+SELECT level, new_pairs, new_links, CAST(sum(new_pairs) OVER (ORDER BY level) AS BIGINT) AS pairs_so_far, CAST(sum(new_links) OVER (ORDER BY level) AS BIGINT) AS links_so_far FROM g1""",
 )
 def cumulative_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return candidates.cumulative(true_links(rows), _plain_pairs(rows), _LEVELS)
+    return candidates.cumulative(true_links(rows), _pairs(rows), {k: _PLACE[v] for k, v in blocking.strategy_levels().items()})
 
 
-@query("marginal_recovery", f"{_K}, b AS (SELECT * FROM truth t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.s1_id = t.s1_id AND p.cand_id = t.cand_id AND p.strategy = 'B15_prefix_suffix_4gram')) SELECT strategy, count(*) AS n_recovered FROM b JOIN pairs USING (s1_id, cand_id) WHERE strategy <> 'B15_prefix_suffix_4gram' GROUP BY strategy")
+@query("marginal_recovery", f"{_K}, b AS (SELECT * FROM truth t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.s1_id = t.s1_id AND p.cand_id = t.cand_id AND p.strategy IN ('B01_exact_name', 'B15_prefix_suffix_4gram'))) SELECT strategy, count(*) AS n_recovered FROM b JOIN pairs USING (s1_id, cand_id) WHERE strategy NOT IN ('B01_exact_name', 'B15_prefix_suffix_4gram') GROUP BY strategy")
 def marginal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every other strategy recovers of the links that equal names and prefix with suffix miss."""
     rows = entities(spark, sf_dir)
-    return candidates.recovered(true_links(rows), _plain_pairs(rows), ["B15_prefix_suffix_4gram"])
+    return candidates.recovered(true_links(rows), _pairs(rows), ["B01_exact_name", "B15_prefix_suffix_4gram"])
+
 
+_COUNTS_SQL = "count(*) AS n_entities, avg(n) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS largest FROM n"
 
-@query("candidate_distribution", f"{_K}, n AS (SELECT s.s1_id, count(v.cand_id) AS n FROM spine s LEFT JOIN votes v USING (s1_id) GROUP BY s.s1_id) SELECT count(*) AS n_entities, avg(n) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS largest FROM n")
+
+@query("candidate_distribution", f"{_K}, n AS (SELECT s.s1_id, count(v.cand_id) AS n FROM spine s LEFT JOIN votes v ON v.s1_id = s.s1_id GROUP BY s.s1_id) SELECT {_COUNTS_SQL}")
 def candidate_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return candidates.candidate_counts(_spine(rows), _plain_pairs(rows))
+    return candidates.candidate_counts(_spine(rows), _pairs(rows))
 
 
 _POLICY_SQL = ", pred AS (SELECT s1_id, cand_id FROM (SELECT *, max(prob) OVER (PARTITION BY s1_id) AS best FROM scored) WHERE best >= 0.65 AND prob >= 0.65 AND prob >= best * 0.75)"
 
 
-@query("policy_apply", f"{_K}{_POLICY_SQL} SELECT s1_id, cand_id FROM pred")
+@query("policy_apply", f"{_SCORED_SQL}{_POLICY_SQL} SELECT s1_id, cand_id FROM pred")
 def policy_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.apply_policy(_scored(entities(spark, sf_dir))).select("s1_id", "cand_id")
 
@@ -309,29 +382,29 @@ def _entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.entity_scores(_spine(rows), true_links(rows), evaluation.apply_policy(_scored(rows)))
 
 
-@query("entity_f05", f"{_K}{_SCORES_SQL} SELECT s1_id, n_true, n_pred, tp, round(CAST(f AS DOUBLE), 6) AS f FROM sc")
+@query("entity_f05", f"{_SCORED_SQL}{_SCORES_SQL} SELECT s1_id, n_true, n_pred, tp, round(CAST(f AS DOUBLE), 6) AS f FROM sc")
 def entity_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_scores(spark, sf_dir).select("s1_id", "n_true", "n_pred", "tp", F.round("f", 6).alias("f"))
 
 
-@query("macro_f05", f"{_K}{_SCORES_SQL} SELECT {_MACRO_SQL} FROM sc")
+@query("macro_f05", f"{_SCORED_SQL}{_SCORES_SQL} SELECT {_MACRO_SQL} FROM sc")
 def macro_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.macro(_entity_scores(spark, sf_dir), [])
 
 
-@query("macro_f05_by_country", f"{_K}{_SCORES_SQL} SELECT country, {_MACRO_SQL} FROM sc GROUP BY country")
+@query("macro_f05_by_country", f"{_SCORED_SQL}{_SCORES_SQL} SELECT country, {_MACRO_SQL} FROM sc GROUP BY country")
 def macro_f05_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.macro(_entity_scores(spark, sf_dir), ["country"])
 
 
-@query("macro_f05_by_bucket", f"{_K}{_SCORES_SQL} SELECT CASE WHEN n_true >= 5 THEN '5+' ELSE CAST(n_true AS VARCHAR) END AS bucket, {_MACRO_SQL} FROM sc GROUP BY 1")
+@query("macro_f05_by_bucket", f"{_SCORED_SQL}{_SCORES_SQL} SELECT CASE WHEN n_true >= 5 THEN '5+' ELSE CAST(n_true AS VARCHAR) END AS bucket, {_MACRO_SQL} FROM sc GROUP BY 1")
 def macro_f05_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.macro(_entity_scores(spark, sf_dir), ["bucket"])
 
 
 @query(
     "micro_f05_by_source",
-    f"""{_K}{_POLICY_SQL}, j AS (SELECT coalesce(t.cand_id, p.cand_id) AS c, t.cand_id IS NOT NULL AS t, p.cand_id IS NOT NULL AS g FROM (SELECT DISTINCT * FROM truth) t FULL JOIN pred p ON t.s1_id = p.s1_id AND t.cand_id = p.cand_id),
+    f"""{_SCORED_SQL}{_POLICY_SQL}, j AS (SELECT coalesce(t.cand_id, p.cand_id) AS c, t.cand_id IS NOT NULL AS t, p.cand_id IS NOT NULL AS g FROM (SELECT DISTINCT * FROM truth) t FULL JOIN pred p ON t.s1_id = p.s1_id AND t.cand_id = p.cand_id),
 n AS (SELECT substr(c, 1, 2) AS source, count(*) FILTER (t AND g) AS tp, count(*) FILTER (NOT t) AS fp, count(*) FILTER (NOT g) AS fn FROM j GROUP BY 1),
 q AS (SELECT *, CASE WHEN tp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS r FROM n)
 SELECT source, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN tp > 0 THEN 1.25 * p * r / (0.25 * p + r) ELSE 0.0 END, 4) AS f05 FROM q""",
@@ -341,79 +414,182 @@ def micro_f05_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.micro_by_source(true_links(rows), evaluation.apply_policy(_scored(rows)))
 
 
-@query("error_taxonomy", f"{_K}{_POLICY_SQL} SELECT 'false_positive' AS kind, count(*) AS n FROM (SELECT * FROM pred EXCEPT SELECT * FROM truth) UNION ALL SELECT 'false_negative', count(*) FROM (SELECT * FROM truth EXCEPT SELECT * FROM pred) UNION ALL SELECT 'false_singleton', count(*) FROM (SELECT s1_id FROM truth EXCEPT SELECT s1_id FROM pred)")
+@query("error_taxonomy", f"{_SCORED_SQL}{_POLICY_SQL} SELECT 'false_positive' AS kind, count(*) AS n FROM (SELECT * FROM pred EXCEPT SELECT * FROM truth) UNION ALL SELECT 'false_negative', count(*) FROM (SELECT * FROM truth EXCEPT SELECT * FROM pred) UNION ALL SELECT 'false_singleton', count(*) FROM (SELECT s1_id FROM truth EXCEPT SELECT s1_id FROM pred)")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
     return evaluation.errors(_spine(rows), true_links(rows), evaluation.apply_policy(_scored(rows)))
 
 
-@query("blocking_recall_all")
-def blocking_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recall of all 47 strategies."""
+@query("macro_f05_by_stratum", f"{_SCORED_SQL}{_SCORES_SQL} SELECT CASE WHEN n_true = 0 THEN 'singleton' ELSE 'matched' END AS stratum, {_MACRO_SQL} FROM sc GROUP BY 1")
+def macro_f05_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.macro(_entity_scores(spark, sf_dir), ["stratum"])
+
+
+_F05_SQL = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp > 0 THEN 1.25 * tp * tp / (n_pred * n_true) / (0.25 * tp / n_pred + tp * 1.0 / n_true) ELSE 0.0 END"
+
+
+@query(
+    "macro_f05_by_source",
+    f"""{_SCORED_SQL}{_POLICY_SQL}, j AS (SELECT coalesce(t.s1_id, p.s1_id) AS s1_id, substr(coalesce(t.cand_id, p.cand_id), 1, 2) AS source, t.cand_id IS NOT NULL AS t, p.cand_id IS NOT NULL AS g FROM truth t FULL JOIN pred p ON t.s1_id = p.s1_id AND t.cand_id = p.cand_id),
+n AS (SELECT source, s1_id, count(*) FILTER (t) AS n_true, count(*) FILTER (g) AS n_pred, count(*) FILTER (t AND g) AS tp FROM j GROUP BY ALL),
+q AS (SELECT source, {_F05_SQL} AS f, CASE WHEN n_pred > 0 THEN tp * 1.0 / n_pred ELSE 0.0 END AS p, CASE WHEN n_true = 0 THEN 1.0 ELSE tp * 1.0 / n_true END AS r FROM n)
+SELECT source, {_MACRO_SQL} FROM q GROUP BY source""",
+)
+def macro_f05_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean precision and recall on each source alone."""
     rows = entities(spark, sf_dir)
-    return candidates.recall(true_links(rows), _all_pairs(rows))
+    return evaluation.source_scores(_spine(rows), true_links(rows), evaluation.apply_policy(_scored(rows)))
+
+
+@query("prediction_counts", f"{_SCORED_SQL}{_POLICY_SQL}, n AS (SELECT s.s1_id, count(p.cand_id) AS n FROM spine s LEFT JOIN pred p ON p.s1_id = s.s1_id GROUP BY s.s1_id) SELECT {_COUNTS_SQL}")
+def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entities(spark, sf_dir)
+    return candidates.candidate_counts(_spine(rows), evaluation.apply_policy(_scored(rows)))
+
+
+def _grid_sql(config: str) -> str:
+    """Common table expressions from cfg and kept (config, s1_id, cand_id) to per (config, mean f)."""
+    return f"""g1 AS (SELECT {config}, s1_id, count(*) AS n_pred, count(t.c) AS tp FROM kept LEFT JOIN (SELECT s1_id, cand_id, 1 AS c FROM truth) t USING (s1_id, cand_id) GROUP BY ALL),
+g2 AS (SELECT s1_id, count(t.cand_id) AS n_true FROM spine LEFT JOIN truth t USING (s1_id) GROUP BY s1_id),
+g3 AS (SELECT {config}, s1_id, n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM (SELECT {config}, s1_id, n_true FROM cfg CROSS JOIN g2) LEFT JOIN g1 USING ({config}, s1_id)),
+per AS (SELECT {config}, avg(CAST({_F05_SQL} AS DOUBLE)) AS f FROM g3 GROUP BY {config})"""
 
 
-@query("policy_grid")
+@query(
+    "policy_grid",
+    f"""{_SCORED_SQL}, best AS (SELECT *, max(prob) OVER (PARTITION BY s1_id) AS best FROM scored),
+cfg AS (SELECT CAST(i * 20 + j * 4 + k AS INTEGER) AS config, CAST({V.POLICY_ABSOLUTE}[i + 1] AS DOUBLE) AS t_abs, CAST({V.POLICY_GUARD}[j + 1] AS DOUBLE) AS t_guard, CAST({V.POLICY_RELATIVE}[k + 1] AS DOUBLE) AS r_rel FROM range(8) a(i), range(5) b(j), range(4) c(k)),
+kept AS (SELECT config, s1_id, cand_id FROM best JOIN cfg ON best >= t_guard AND prob >= t_abs AND prob >= best * r_rel), {_grid_sql("config")}
+SELECT config, t_abs, t_guard, r_rel, round(f, 6) AS macro_f FROM per JOIN cfg USING (config)""",
+)
 def policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 160 policies; tested against apply_policy and entity_scores."""
+    """All 160 policies."""
     rows = entities(spark, sf_dir)
-    return evaluation.policy_grid(_spine(rows), true_links(rows), _scored(rows, _all_pairs))
+    return evaluation.policy_grid(_spine(rows), true_links(rows), _scored(rows))
 
 
-@query("threshold_sweep")
+@query(
+    "threshold_sweep",
+    f"""{_SCORED_SQL}, cfg AS (SELECT CAST(unnest({V.THRESHOLDS}) AS DOUBLE) AS threshold), kept AS (SELECT threshold, s1_id, cand_id FROM scored JOIN cfg ON prob >= threshold), {_grid_sql("threshold")}
+SELECT threshold, round(f, 6) AS macro_f FROM per""",
+)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
-    return evaluation.threshold_sweep(_spine(rows), true_links(rows), _scored(rows, _all_pairs))
+    return evaluation.threshold_sweep(_spine(rows), true_links(rows), _scored(rows))
+
 
+_MISSED_SQL = f"{_K}, lost AS (SELECT s1_id, cand_id FROM truth EXCEPT SELECT s1_id, cand_id FROM pairs WHERE strategy = 'B15_prefix_suffix_4gram')"
 
-@query("missed_links", f"{_K} SELECT s1_id, cand_id FROM truth EXCEPT SELECT s1_id, cand_id FROM pairs WHERE strategy = 'B15_prefix_suffix_4gram'")
+
+@query("missed_links", f"{_MISSED_SQL} SELECT s1_id, cand_id FROM lost")
 def missed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True links that prefix with suffix misses."""
     rows = entities(spark, sf_dir)
-    return candidates.missed(true_links(rows), _plain_pairs(rows).where("strategy = 'B15_prefix_suffix_4gram'")).distinct()
+    return candidates.missed(true_links(rows), _pairs(rows).where("strategy = 'B15_prefix_suffix_4gram'")).distinct()
 
 
-def _named_pairs(rows: DataFrame) -> DataFrame:
+def _true_pairs(rows: DataFrame) -> DataFrame:
     left, right = sides(rows)
     a = left.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("left_name"), F.col("business_address").alias("left_addr"))
     b = right.select(F.col("entity_id").alias("cand_id"), F.col("business_name").alias("right_name"), F.col("business_address").alias("right_addr"))
-    return _all_pairs(rows).select("s1_id", "cand_id").distinct().join(a, "s1_id").join(b, "cand_id")
+    return true_links(rows).join(a, "s1_id").join(b, "cand_id")
 
 
-@query("noise_patterns")
-def noise_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.noise_patterns(_named_pairs(entities(spark, sf_dir)))
+_SHORT = "[" + ", ".join(f"'{k.lower()}'" for k in V.ABBREVIATIONS) + "]"
+_CHARS = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
 
 
-def _voted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    left, right = (records.records(x) for x in sides(rows))
-    return candidates.ranked(candidates.votes(resolve.blocked(left, right)), 40), left, right
+def _words_sql(x: str) -> str:
+    return f"list_sort(list_filter(string_split({_CLEAN.format(x=x)}, ' '), lambda w: w <> ''))"
+
+
+_NOISE_SQL = rf"""{_E}, p AS (SELECT s1_id, cand_id, lower(coalesce(l.business_name, '')) AS a, lower(coalesce(r.business_name, '')) AS b, lower(coalesce(l.business_address, '')) AS x, lower(coalesce(r.business_address, '')) AS y FROM truth JOIN e l ON l.entity_id = s1_id JOIN e r ON r.entity_id = cand_id),
+q AS (SELECT *, {_words_sql("a")} AS wa, {_words_sql("b")} AS wb, {_words_sql("x")} AS wx, {_words_sql("y")} AS wy, {_WITHOUT.format(x=_CLEAN.format(x="a"), forms=_PROFILE_FORMS)} AS fa, {_WITHOUT.format(x=_CLEAN.format(x="b"), forms=_PROFILE_FORMS)} AS fb,
+  list_sum(list_transform(list_distinct(list_concat({_CHARS.format("a")}, {_CHARS.format("b")})), lambda c: abs(length(a) - length(replace(a, c, '')) - length(b) + length(replace(b, c, ''))))) AS changed FROM p),
+common AS (SELECT lower(business_name) AS z FROM e WHERE business_name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT business_address) >= 3),
+found AS (SELECT s1_id, cand_id, unnest([CASE WHEN a = b AND x = y THEN 'exact' END, CASE WHEN a <> b AND wa = wb THEN 'reordered' END, CASE WHEN a <> b AND fa = fb THEN 'legal_suffix' END,
+  CASE WHEN x <> y AND len(list_filter(wx, lambda w: NOT list_contains(wy, w) AND list_contains({_SHORT}, w))) > 0 THEN 'abbreviation' END, CASE WHEN a <> b AND changed <= 3 THEN 'typo' END, CASE WHEN (x = '') <> (y = '') THEN 'missing_component' END,
+  CASE WHEN x <> y AND x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) THEN 'address_variation' END, CASE WHEN regexp_matches(a, '[\x{{0900}}-\x{{0D7F}}]') <> regexp_matches(b, '[\x{{0900}}-\x{{0D7F}}]') THEN 'transliteration' END,
+  CASE WHEN b <> '' AND z IS NOT NULL THEN 'ambiguous' END]) AS pattern FROM q LEFT JOIN common ON z = b),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY s1_id, cand_id) AS r FROM found WHERE pattern IS NOT NULL)"""
+
+
+@query("noise_patterns", f"{_NOISE_SQL} SELECT pattern, count(*) AS n, string_agg(s1_id || '>' || cand_id, ',' ORDER BY s1_id, cand_id) FILTER (r <= 5) AS examples FROM numbered GROUP BY pattern")
+def noise_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine classes of noise of true pairs, with five examples each."""
+    rows = entities(spark, sf_dir)
+    common = audit.ambiguous(rows.where("business_name is not null"), "business_name", "business_address").select(F.col("name").alias("ambiguous_name"))
+    return audit.noise_patterns(_true_pairs(rows), common)
 
 
 def _missed_pairs(rows: DataFrame) -> DataFrame:
-    """Both records of true links that the last plain strategy misses."""
-    left, right = (records.records(x) for x in sides(rows))
-    lost = candidates.missed(true_links(rows), resolve.blocked(left, right, PLAIN[-1:]))
+    """Both records of true links that prefix with suffix misses."""
+    left, right = _records(rows)
+    lost = candidates.missed(true_links(rows), resolve.blocked(left, right, ["B15_prefix_suffix_4gram"], cap=None))
     return features.paired(lost.distinct(), left, right)
 
 
-@query("miss_categories")
-def miss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.categorised(_missed_pairs(entities(spark, sf_dir)), "2C").withColumn("remedy", audit.remedy(F.col("category")))
+def _miss_rules(version: str) -> str:
+    """SQL of the label of the first rule that holds for records l and r."""
+    last = {"v1": "", "2B": "097F", "2C": "0D7F"}[version]
+    initials = "length({0}.name_initials) >= 2 AND contains(lower({1}.name_raw), {0}.name_initials)"
+    sound = ("script" if version == "2B" else "phonetic", "len(list_intersect(l.phonetic, r.phonetic)) > 0")
+    rules = [
+        ("no_address", "length(l.addr_raw) < 3 OR length(r.addr_raw) < 3 OR lower(l.addr_raw) = 'nan' OR lower(r.addr_raw) = 'nan'"),
+        *([("script", rf"regexp_matches(l.name_raw || r.name_raw, '[\x{{0900}}-\x{{{last}}}]')")] if last else []),
+        ("suffix", "l.name_no_suffix <> '' AND l.name_no_suffix = r.name_no_suffix AND lower(l.name_raw) <> lower(r.name_raw)"),
+        ("reorder", "len(l.name_tokens) > 0 AND list_sort(list_distinct(l.name_tokens)) = list_sort(list_distinct(r.name_tokens)) AND l.name_alnum <> r.name_alnum"),
+        ("abbreviation", f"({initials.format('l', 'r')}) OR ({initials.format('r', 'l')})"),
+        *([sound] if version != "2C" else []),
+        ("typo", f"({_RATIO.format('name_tokens')}) >= 0.5"),
+        ("postal", "l.postal_code <> r.postal_code"),
+        ("house", "l.house_number <> r.house_number"),
+        ("truncation", "contains(lower(l.addr_raw), lower(r.addr_raw)) OR contains(lower(r.addr_raw), lower(l.addr_raw))"),
+        ("address_typo" if version == "v1" else "address_format", "TRUE"),
+    ]
+    return "CASE " + " ".join(f"WHEN coalesce({holds}, FALSE) THEN '{audit.MISS_LABELS[label]}'" for label, holds in rules) + " END"
+
 
+def _miss_query(name: str, version: str) -> None:
+    remedies = " ".join(f"WHEN regexp_matches(category, '{words}') THEN '{remedy}'" for words, remedy in audit.REMEDIES)
+    sql = f"""{_MISSED_SQL}, c AS (SELECT s1_id, cand_id, {_miss_rules(version)} AS category FROM lost JOIN f l ON l.entity_id = s1_id JOIN f r ON r.entity_id = cand_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY s1_id, cand_id) AS r FROM c)
+SELECT category, count(*) AS n, string_agg(s1_id || '>' || cand_id, ',' ORDER BY s1_id, cand_id) FILTER (r <= 3) AS examples, CASE {remedies} ELSE '{audit.OTHER_REMEDY}' END AS remedy FROM o GROUP BY category"""
 
-@query("script_audit")
+    @query(name, sql)
+    def misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return audit.categorised(_missed_pairs(entities(spark, sf_dir)), version).withColumn("remedy", audit.remedy(F.col("category")))
+
+
+for _name, _version in (("miss_categories_v1", "v1"), ("miss_categories_2b", "2B"), ("miss_categories_2c", "2C")):
+    _miss_query(_name, _version)
+
+
+@query(
+    "script_audit",
+    f"""{_MISSED_SQL},{_SCRIPTS_SQL}, m AS (SELECT s1_id, cand_id, l.script AS script_left, r.script AS script_right FROM lost JOIN script_of l ON l.entity_id = s1_id JOIN script_of r ON r.entity_id = cand_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY script_left, script_right ORDER BY s1_id, cand_id) AS r FROM m)
+SELECT script_left, script_right, count(*) AS n, string_agg(s1_id || '>' || cand_id, ',' ORDER BY s1_id, cand_id) FILTER (r <= 2) AS examples FROM o GROUP BY ALL""",
+)
 def script_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of both names of missed links, with two examples each."""
     return audit.script_audit(_missed_pairs(entities(spark, sf_dir)))
 
 
-@query("pair_features_native")
+def _voted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    left, right = _records(rows)
+    return candidates.ranked(candidates.votes(resolve.blocked(left, right, cap=None)), 40), left, right
+
+
+@query("pair_features_native", f"{_K} {L.FEATURE_ROWS}")
 def pair_features_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 56 features that need no sequence kernel, of the first 40 candidates of all strategies."""
     return features.pair_features(features.paired(*_voted(entities(spark, sf_dir))), sequence=False)
 
 
 @query("pair_features_all")
 def pair_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 60 features. SQL has no Ratcliff-Obershelp similarity, so the four with it are tested against a plain version."""
     return features.pair_features(features.paired(*_voted(entities(spark, sf_dir))))
 
 
@@ -423,13 +599,21 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
     pairs = features.pair_features(features.paired(*_voted(rows)), sequence=False)
     labelled = pairs.join(true_links(rows).distinct().withColumn("label", F.lit(1.0)), ["s1_id", "cand_id"], "left").fillna({"label": 0.0})
-    marked = sampling.split(labelled, "s1_id")
-    names = features.NATIVE_FEATURES
-    fitted = model.train(marked.where("is_train"), names)
+    marked = written(sampling.split(labelled, "s1_id"))  # read by every round of the trees
+    fitted = model.train(marked.where("is_train"), features.NATIVE_FEATURES)
     return model.score(fitted, marked.where("not is_train")).select("s1_id", "cand_id", "label", F.round("prob", 4).alias("prob"))
 
 
-@query("domain_from_url")
+@query("train_split", f"{_E} SELECT s1_id, CAST('0x' || substr(md5('42|' || s1_id), 1, 5) AS INTEGER) < CAST(floor(0.75 * 1048576) AS INTEGER) AS is_train FROM spine")
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split(_spine(entities(spark, sf_dir)), "s1_id").select("s1_id", "is_train")
+
+
+@query(
+    "domain_from_url",
+    f"""WITH s AS (SELECT page_id, trim(regexp_replace(trim(regexp_replace(lower(trim(url)), '{V.DOMAIN_PHONE}', '', 'g')), '{V.DOMAIN_TITLE}', '')) AS s FROM pages),
+b AS (SELECT page_id, replace(CASE WHEN regexp_matches(s, '{V.DOMAIN_WHOLE}') THEN regexp_extract(s, '{V.DOMAIN_WHOLE}', 1) ELSE regexp_extract(s, '{V.DOMAIN_INSIDE}', 1) END, '-', '') AS b FROM s) SELECT page_id, CASE WHEN length(b) >= 3 THEN b END AS domain FROM b""",
+)
 def domain_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", T.domain(F.col("url")).alias("domain"))
 
@@ -455,7 +639,11 @@ def joined_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.joined_links(_spine(rows), true_links(rows))
 
 
-@query("pilot_sample")
+@query(
+    "pilot_sample",
+    f"""{_E}, a AS (SELECT s1_id, country FROM spine ORDER BY md5('42|' || s1_id), s1_id LIMIT 100), b AS (SELECT s1_id, country FROM spine WHERE s1_id NOT IN (SELECT s1_id FROM a) ORDER BY md5('1337|' || s1_id), s1_id LIMIT 100)
+SELECT s1_id, country, 'A' AS pilot FROM a UNION ALL SELECT s1_id, country, 'B' FROM b""",
+)
 def pilot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two disjoint samples of a hundred entities each (a sampling operator)."""
     spine = _spine(entities(spark, sf_dir))

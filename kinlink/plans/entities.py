@@ -1,27 +1,84 @@
-"""Entity tables from the test documents: three sources, country, name, address and true links."""
+"""Business records over the test tables: three sources, country, name, address and true links.
+
+Every customer is one record. Four consecutive customers are an entity's reference record (S1) and two or three noisy
+copies of it (S2, S3), or records of other businesses. Copies have another legal form, a typing error, another order of
+words, an honorific, a domain, a Brahmic script, accents, an abbreviation, no address, and so on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+_FIRST = "Shivam,Guru,Lakshmi,Ganesh,Bharat,Krishna,Sundar,Kamal,Vijay,Anand,Durga,Nandi"
+_NATIVE = "शिवम,गुरु,लक्ष्मी,गणेश,ಭಾರತ,ಕೃಷ್ಣ,సుందర్,কমল,વિજય,ਆਨੰਦ,துர்கா,ନନ୍ଦି"
+_SECOND = "Willow,Harbor,Phoenix,Sheela,Chandra,Cedar,Bhavan,Monarch,Ganga,Khushi,Summit,Pooja,Garden,Raaga,Ghat,Jhelum,Thackeray,Dhanvi,Eiffel,Lumen,Azur,Bello,Wagon,Tymczak,Ashcraft,Pfister,Zephyr,Quince,Orchid,Lotus,Marble"
+_KIND = "Traders,Services,Technology,Manufacturing,International,Jewellery,Foods,Solutions,Textiles,Pharma Systems,Logistics"
+_FORM = "Pvt Ltd,Limited,LLP,Private Limited,Inc,LLC,Corp,SARL,SAS,Holdings"
+_OTHER_FORM = "Private Limited,Ltd,LLP,Pvt. Ltd.,Incorporated,L.L.C,Corporation,EURL,SA,Group"
+_SHORT_KIND = "Trdg,Svcs,Tech,Mfg,Intl,Jewellery,Foods,Solutions,Textiles,Pharm Sys,Logistics"
+_STREET = "Nehru,Gandhi,Station,Market,Temple,Church,Lake,Mill,Victor Hugo,Jean Jaures,Highland,Oakwood,Mahatma,Residency,College,Sector"
+_CITY = "Pune,Mumbai,Chennai,Nagpur,Jaipur,Boston,Denver,Austin,Lyon,Paris,Nantes,Lille"
+
+
+def _pick(words: str, n: str) -> str:
+    """SQL of the word of a list at a place that counts from 0 and starts again after the last."""
+    return f"split_part('{words}', ',', CAST({n} % {len(words.split(','))} AS INT) + 1)"
+
+
+#: Common table expressions in the words that Spark and DuckDB share: e (records) and truth and spine of them.
+ENTITIES = f"""
+place AS (SELECT c_custkey AS k, CAST(floor(c_custkey / 4.0) AS BIGINT) AS g, c_custkey % 4 AS slot FROM customer),
+noise AS (SELECT k, g, slot, CASE WHEN slot = 0 THEN 'S1' WHEN slot = 1 OR (slot = 3 AND g % 3 = 0) THEN 'S2' ELSE 'S3' END AS source,
+    CASE WHEN slot = 0 THEN 0 ELSE (g * 5 + slot * 4) % 16 END AS t, CASE WHEN slot > 0 AND (g % 7 = 3 OR (slot = 3 AND g % 3 > 0)) THEN 0 ELSE 1 END AS linked FROM place),
+seed AS (SELECT *, CASE WHEN linked = 1 THEN g ELSE g + 5003 * slot END AS s FROM noise),
+words AS (SELECT *, {_pick(_FIRST, "s")} AS w1, {_pick(_NATIVE, "s")} AS native, {_pick(_SECOND, "(s * 7 + 3)")} AS w2, {_pick(_KIND, "(s * 3 + 1)")} AS kind, {_pick(_SHORT_KIND, "(s * 3 + 1)")} AS short_kind,
+    {_pick(_FORM, "(s + CAST(floor(s / 10.0) AS BIGINT))")} AS form, {_pick(_OTHER_FORM, "(s + CAST(floor(s / 10.0) AS BIGINT))")} AS other_form, {_pick(_STREET, "(s * 5)")} AS street, {_pick(_CITY, "(s * 11 + 2)")} AS city,
+    CAST(s % 97 + 1 AS STRING) AS house, CAST(s * 13 % 380 + 3 AS STRING) AS plot, CAST(110001 + s * 37 % 80000 AS STRING) AS pin, CAST(10001 + s * 91 % 89000 AS STRING) AS zip,
+    CASE WHEN g % 41 = 13 THEN NULL WHEN g % 5 < 2 THEN 'India' WHEN g % 5 = 2 THEN 'US' WHEN g % 5 = 3 THEN 'France' ELSE 'Brazil' END AS country FROM seed),
+named AS (SELECT *, CASE
+    WHEN t = 1 THEN w1 || ' ' || w2 || ' ' || kind || ' ' || other_form
+    WHEN t = 2 THEN w1 || ' ' || w2 || ' ' || kind
+    WHEN t = 3 THEN substr(w1, 1, 2) || substr(w1, 4, 20) || ' ' || w2 || ' ' || kind || ' ' || form
+    WHEN t = 4 THEN w2 || ', ' || w1 || ' ' || kind || ' ' || form
+    WHEN t = 5 THEN 'M/s. ' || w1 || ' ' || w2 || ' ' || kind || ' ' || form
+    WHEN t = 6 THEN 'www.' || lower(w1) || '-' || lower(w2) || '.co.in'
+    WHEN t = 7 THEN native || ' ' || kind || ' ' || form
+    WHEN t = 9 THEN upper(w1 || '  ' || w2 || ' ' || kind || ' & ' || form)
+    WHEN t = 10 THEN substr(w1, 1, 1) || substr(w2, 1, 1) || ' ' || kind || ' ' || form
+    WHEN t = 11 THEN replace(replace(w1 || ' ' || w2 || ' ' || kind || ' ' || form, 'e', 'é'), 'a', 'à')
+    WHEN t = 12 THEN w1 || ' ' || w2 || ' ' || house || ' ' || kind || ' a' || plot || 'b'
+    WHEN t = 13 THEN w1 || ' ' || w2 || ' ' || short_kind || ' ' || form
+    WHEN t = 14 THEN native || ' ' || w2
+    WHEN t = 15 AND s % 2 = 0 THEN ' '
+    WHEN t = 15 THEN NULL
+    WHEN t = 0 AND s % 23 = 5 THEN 'The ' || w2 || ' ' || kind || ' and Co'
+    WHEN t = 0 AND s % 23 = 6 THEN lower(w1) || lower(w2) || '.com - 02' || pin
+    WHEN t = 0 AND s % 23 = 7 THEN native || ' ' || w2 || ' ' || kind || ' ' || form
+    WHEN t = 0 AND s % 23 = 8 THEN w1 || ' ' || plot || ' ' || kind || ' ' || form
+    ELSE w1 || ' ' || w2 || ' ' || kind || ' ' || form END AS business_name FROM words),
+e AS (SELECT source || '-' || CAST(k AS STRING) AS entity_id, source, country, business_name, CASE
+    WHEN t = 8 OR (t = 0 AND s % 29 = 11) THEN NULL
+    WHEN t = 4 THEN street || ' Road, ' || city
+    WHEN t = 3 AND country = 'US' THEN house || ' ' || street || ' St, Ste ' || plot || ', ' || city || ' ' || zip
+    WHEN country = 'US' THEN house || ' ' || street || ' Street, Suite ' || plot || ', ' || city || ' ' || zip
+    WHEN country = 'France' THEN CASE WHEN t = 9 THEN '0' ELSE '' END || house || ' Rue ' || street || ', ' || zip || ' ' || city
+    WHEN t = 9 THEN 'Plot No.0' || plot || '/' || house || ', ' || street || ' Rd, ' || city || ' - ' || pin
+    WHEN t = 13 THEN 'Plot No ' || plot || '/' || house || ', ' || street || ' Road, ' || city
+    WHEN t = 1 THEN 'Near Bank, H.No G-' || plot || ', ' || street || ' Road, ' || city || ' ' || pin
+    WHEN s % 6 = 1 THEN 'Door No ' || plot || ', ' || street || ' Road, ' || city || ' ' || pin
+    WHEN s % 6 = 2 THEN '#A-' || plot || ' ' || street || ' Rd, ' || city || ' ' || pin
+    WHEN s % 6 = 3 THEN 'Shop No-' || house || ', 8-' || plot || '/' || house || ', ' || street || ' Lane, ' || city || ' ' || pin
+    WHEN s % 6 = 4 THEN plot || 'b ' || street || ' Market, Flat ' || house || ', ' || city || ' ' || pin
+    ELSE 'Plot No ' || plot || '/' || house || ', ' || street || ' Road, ' || city || ' ' || pin END AS business_address, g, linked, slot FROM named),
+truth AS (SELECT 'S1-' || CAST(4 * g AS STRING) AS s1_id, entity_id AS cand_id FROM e WHERE slot > 0 AND linked = 1),
+spine AS (SELECT entity_id AS s1_id, country FROM e WHERE source = 'S1')"""
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, source, country, business_name (6 words), business_address (12 further words), digest, doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    source = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
-    rows = docs.select("doc_id", source.alias("source"), F.col("lang").alias("country"), F.split(T.clean(F.col("text")), " ").alias("w"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    return rows.select(
-        F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("entity_id"),
-        "source",
-        "country",
-        F.array_join(F.slice("w", 1, 6), " ").alias("business_name"),
-        F.array_join(F.slice("w", 7, 12), " ").alias("business_address"),
-        "digest",
-        "doc_id",
-    )
+    """entity_id, source, country, business_name, business_address, g (the entity), linked and slot of all customers."""
+    text = ENTITIES.replace("FROM customer", "FROM {customer}")
+    return spark.sql(f"WITH {text} SELECT * FROM e", customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,18 +87,6 @@ def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def true_links(rows: DataFrame) -> DataFrame:
-    """s1_id and cand_id of equal texts of one country."""
-    left, right = sides(rows)
-    a = left.select(F.col("entity_id").alias("s1_id"), "digest", "country")
-    b = right.select(F.col("entity_id").alias("cand_id"), "digest", "country")
-    return a.join(b, ["digest", "country"]).select("s1_id", "cand_id")
-
-
-ENTITIES_SQL = r"""
-w AS (SELECT doc_id, lang AS country, 'S' || CAST(doc_id % 3 + 1 AS VARCHAR) AS source, md5(coalesce(text, '')) AS digest,
-        string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM documents),
-e AS (SELECT source || '-' || CAST(doc_id AS VARCHAR) AS entity_id, source, country, array_to_string(w[1:6], ' ') AS business_name,
-        array_to_string(w[7:18], ' ') AS business_address, digest, doc_id FROM w),
-truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM e a JOIN e b ON a.digest = b.digest AND a.country = b.country
-        WHERE a.source = 'S1' AND b.source <> 'S1'),
-spine AS (SELECT entity_id AS s1_id, country FROM e WHERE source = 'S1')"""
+    """s1_id and cand_id of the copies of an entity, at most three."""
+    copies = rows.where("slot > 0 and linked = 1")
+    return copies.select(F.concat(F.lit("S1-"), (4 * F.col("g")).cast("string")).alias("s1_id"), F.col("entity_id").alias("cand_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocking, candidates, evaluation, features, model
+from ..sources.shared import written
 
 
 def resolve_exact(left: DataFrame, others: list[DataFrame], cap: int = 10, keep: int = 10, least: int = 3) -> DataFrame:
@@ -17,15 +18,22 @@ def resolve_exact(left: DataFrame, others: list[DataFrame], cap: int = 10, keep:
     dropped for that source; an entity keeps its first ``keep`` candidates. Every entity has one row.
     """
 
-    def cleaned(rows: DataFrame, key: str) -> DataFrame:
+    key = ["name", "country"]
+
+    def cleaned(rows: DataFrame, as_: str) -> DataFrame:
         name = T.without_legal_forms(T.clean(F.col("business_name")))
-        return rows.select(F.col("entity_id").alias(key), "country", name.alias("name")).where(F.length("name") >= least)
+        return rows.select(F.col("entity_id").alias(as_), "country", name.alias("name")).where(F.length("name") >= least)
 
+    counted = lambda rows, n: rows.groupBy(*key).agg(F.count("*").alias(n))
+    ours = cleaned(left, "s1_id")
+    mine = counted(ours, "n_left")
     found = None
     for other in others:
-        joined = cleaned(left, "s1_id").join(cleaned(other, "cand_id"), ["name", "country"])
-        rare = joined.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= cap)
-        some = joined.join(rare, "name", "left_semi").select("s1_id", "cand_id")
+        theirs = cleaned(other, "cand_id")
+        # A name's pairs are counted from the counts of both sides, so those of a name that is too frequent are never made.
+        pairs = mine.join(counted(theirs, "n_right"), key).withColumn("n", F.col("n_left") * F.col("n_right"))
+        rare = pairs.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") <= cap).select("name")
+        some = ours.join(rare, "name", "left_semi").join(theirs.join(rare, "name", "left_semi"), key).select("s1_id", "cand_id")
         found = some if found is None else found.unionByName(some)
     per = found.groupBy("s1_id").agg(F.slice(F.array_sort(F.collect_set("cand_id")), 1, keep).alias("ids"))
     spine = left.select(F.col("entity_id").alias("s1_id"))
@@ -33,8 +41,9 @@ def resolve_exact(left: DataFrame, others: list[DataFrame], cap: int = 10, keep:
 
 
 def blocked(left: DataFrame, right: DataFrame, strategies: list[str] | None = None, cap: int | None = 15_000, mode: str = "truncate") -> DataFrame:
-    """s1_id, cand_id, strategy of records of both sides that share a key."""
-    posted = candidates.postings(blocking.with_keys(right, strategies), cap, mode)
+    """s1_id, cand_id, strategy of records of both sides that share a key. Capped keys are written, as they are read three times."""
+    keys = blocking.with_keys(right, strategies)
+    posted = candidates.postings(keys if cap is None else written(keys), cap, mode)
     return candidates.pairs(blocking.with_keys(left, strategies), posted)
 
 
