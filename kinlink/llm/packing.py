@@ -88,16 +88,19 @@ class Plan:
 
     def __init__(self, window: int = WINDOW, free: float = FREE_CUT):
         self.window, self.free = window, free
+        # States: a cut's place, the cost up to it and the state before it. States are numbered from the stream's
+        # beginning, of which the first self.gone are dropped, and places too; self.origin is the last settled cut.
         self.at, self.cost, self.before = [0], [0.0], [-1]
+        self.gone = self.origin = 0
         self.queue = deque([0])  # cuts of the last window; cost + place ascends, so the front pads least
 
     def extend(self, places: list[int], penalties: list[float]) -> None:
         """Plans on to the last of ``places``, which then is a cut."""
-        at, cost, before, queue, window = self.at, self.cost, self.before, self.queue, self.window
-        i, n = 0, len(places)
+        at, cost, before, queue, window, gone = self.at, self.cost, self.before, self.queue, self.window, self.gone
+        i, n, k = 0, len(places), self.gone + len(self.at)
         while i < n:
             front = queue[0]
-            full = at[front] + window
+            full = at[front - gone] + window
             b = places[i]
             if full < b:
                 queue.popleft()
@@ -107,29 +110,29 @@ class Plan:
             else:
                 penalty = penalties[i]
                 i += 1
-            c = cost[front] + full - b + penalty
-            k = len(at)
+            c = cost[front - gone] + full - b + penalty
             at.append(b)
             cost.append(c)
             before.append(front)
             key = c + b
-            while queue and cost[queue[-1]] + at[queue[-1]] >= key:
+            while queue and cost[queue[-1] - gone] + at[queue[-1] - gone] >= key:
                 queue.pop()
             queue.append(k)
+            k += 1
 
     def _path(self, k: int) -> list[int]:
         cuts = []
-        while k > 0:
-            cuts.append(self.at[k])
-            k = self.before[k]
+        while k > self.gone:
+            cuts.append(self.at[k - self.gone])
+            k = self.before[k - self.gone]
         return cuts[::-1]
 
     def cuts(self) -> list[int]:
-        """All cuts up to the last place."""
-        return self._path(len(self.at) - 1)
+        """All cuts from the last settled one up to the last place."""
+        return self._path(self.gone + len(self.at) - 1)
 
     def settle(self) -> list[int]:
-        """The cuts that every best plan of a longer stream shares; the last of them becomes place 0.
+        """The further cuts that every best plan of a longer stream shares.
 
         Later cuts follow one that is in the queue now, so these are the cuts before the queue's common ancestor.
         """
@@ -137,14 +140,14 @@ class Plan:
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
-            ends.add(self.before[last])
+            ends.add(self.before[last - self.gone])
         root = ends.pop()
-        cuts = self._path(root)
-        origin, spent = self.at[root], self.cost[root]
-        self.at = [x - origin for x in self.at[root:]]
-        self.cost = [x - spent for x in self.cost[root:]]
-        self.before = [-1] + [max(0, x - root) for x in self.before[root + 1 :]]
-        self.queue = deque(k - root for k in self.queue)
+        cuts, drop = self._path(root), root - self.gone
+        self.origin, spent = self.at[drop], self.cost[drop]
+        del self.at[:drop], self.cost[:drop], self.before[:drop]
+        self.gone = root
+        if spent > 1e9:  # costs are compared with each other only, so they needn't grow
+            self.cost[:] = [c - spent for c in self.cost]
         return cuts
 
 
@@ -187,10 +190,11 @@ class Packer:
             return []
         if self.fresh:
             self._carry_on()
-        cuts = self.plan.cuts() if last else self.plan.settle()
+        begun_at = self.plan.origin
+        cuts = [c - begun_at for c in (self.plan.cuts() if last else self.plan.settle())]
         if last:
             start = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (start + np.cumsum(split_tail(self.planned - start, window=self.window))).tolist()
+            cuts = cuts[:-1] + (start + np.cumsum(split_tail(self.planned - begun_at - start, window=self.window))).tolist()
         if not cuts:
             return []
         ids = np.concatenate([d[1] for d in self.docs])
@@ -213,7 +217,7 @@ class Packer:
         if rest and (gone := cuts[-1] - int(begun[kept])):
             doc_id, left, skipped, total = rest[0]
             rest[0] = (doc_id, left[gone:], skipped + gone, total)
-        self.docs, self.planned = rest, self.planned - cuts[-1]
+        self.docs = rest
         return out
 
 
