@@ -8,7 +8,7 @@ found at (s mod slots of a shard) times the stride, and a reader can go on from
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,14 +25,16 @@ from .packing import END_ID, vocabulary
 WINDOW = 1024
 #: Byte that ends every record, the writer's line separator; readers skip it by the stride.
 SEPARATOR = "\n"
-STRIDE = 2 * WINDOW + len(SEPARATOR)
+#: A record: its slot (eight bytes, little-endian), by which a reader sees where it is, the ids and the separator.
+HEAD = 8
+STRIDE = HEAD + 2 * WINDOW + len(SEPARATOR)
 #: Windows of a shard: 16 MB. At 100 TB a larger number keeps the folders fewer; a task holds one shard.
 SHARD_SLOTS = 8192
 #: Shards that a task writes where there are more shards than shuffle partitions, and shards whose numbers may be broadcast.
 TASK_SHARDS, BROADCAST_SHARDS = 8, 1 << 22
 ROUNDS = 4
-#: Level at which windows are compressed where they are kept and shuffled, and windows a task holds to compress together.
-BLOCK_LEVEL, HELD_WINDOWS = 9, 8192
+#: Level at which windows are compressed where they are kept and shuffled, windows a task holds, and windows it compresses together.
+BLOCK_LEVEL, HELD_WINDOWS, BLOCK_WINDOWS = 9, 8192, 64
 
 
 def windows(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary_name: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
@@ -132,7 +134,8 @@ def _blocks(slots: DataFrame, shard_slots: int) -> DataFrame:
         n = 0
 
         def table() -> pa.RecordBatch:
-            rows = [(shard, np.array([s for s, _ in x], dtype="<i8").tobytes(), squeeze(b"".join(i for _, i in x))) for shard, x in sorted(held.items())]
+            parts = [(shard, x[k : k + BLOCK_WINDOWS]) for shard, x in sorted(held.items()) for k in range(0, len(x), BLOCK_WINDOWS)]
+            rows = [(shard, np.array([s for s, _ in x], dtype="<i8").tobytes(), squeeze(b"".join(i for _, i in x))) for shard, x in parts]
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "slots", "ids"])
 
         for batch in few_rows(batches):
@@ -149,7 +152,7 @@ def _blocks(slots: DataFrame, shard_slots: int) -> DataFrame:
 
 
 def _records(blocks: DataFrame) -> DataFrame:
-    """value (the bytes of a window) and shard, by slot within each shard, of blocks that come shard by shard.
+    """value (slot and bytes of a window) and shard, by slot within each shard, of blocks that come shard by shard.
 
     A task holds one shard at a time, which has a fixed number of windows.
     """
@@ -165,7 +168,7 @@ def _records(blocks: DataFrame) -> DataFrame:
             order = np.argsort(slots)
             for k in range(0, len(order), 1024):
                 some = order[k : k + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].tobytes() for i in some], type=pa.binary()), pa.array(np.full(len(some), open_shard, dtype=np.int64))], names=["value", "shard"])
+                yield pa.RecordBatch.from_arrays([pa.array([slots[i].tobytes() + ids[i].tobytes() for i in some], type=pa.binary()), pa.array(np.full(len(some), open_shard, dtype=np.int64))], names=["value", "shard"])
 
         for batch in batches:
             for row in range(batch.num_rows):  # one by one: a batch of blocks is large
@@ -239,11 +242,11 @@ def materialise(docs: DataFrame, path: str, key: int = 7, shard_slots: int = SHA
     # Tasks' files are moved to their place one by one as tasks are committed, each shard being one file.
     records.write.mode("append").option("lineSep", SEPARATOR).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shard").text(shards)
     index = slots.select("slot", "first_doc", "start", "n_ids")
-    return index.join(checked_shards(spark, shards, shard_slots), "slot", "left").select("slot", F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", "ids_crc32")
+    return index.join(checked_shards(spark, shards), "slot", "left").select("slot", F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), ((F.col("slot") % shard_slots) * STRIDE).alias("byte_at"), "first_doc", "start", "n_ids", "ids_crc32")
 
 
-def _read(spark: SparkSession, shards: str, from_slot: int, shard_slots: int, schema: str, make: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
-    """Rows that ``make`` gives for slots and their records (bytes), read at their places by the fixed stride."""
+def read_shards(spark: SparkSession, shards: str, from_slot: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """slot and ids (array<int>) of the records from a slot on, read at their places by the fixed stride. Folders of shards before it aren't read."""
     files = _files(spark, shards).where(F.col("shard") >= from_slot // shard_slots).select(F.col("shard").cast("long").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,29 +255,25 @@ def _read(spark: SparkSession, shards: str, from_slot: int, shard_slots: int, sc
                 first = batch.column(0)[row].as_py() * shard_slots
                 records = np.frombuffer(batch.column(1)[row].as_buffer(), dtype=np.uint8).reshape(-1, STRIDE)
                 for k in range(max(0, from_slot - first), len(records), 1024):
-                    some = np.ascontiguousarray(records[k : k + 1024, : 2 * WINDOW])
-                    yield pa.RecordBatch.from_arrays(make(np.arange(first + k, first + k + len(some)), some), names=[x.split()[0] for x in schema.split(", ")])
-
-    return files.mapInArrow(run, schema)
-
+                    ids = np.ascontiguousarray(records[k : k + 1024, HEAD : HEAD + 2 * WINDOW]).view("<u2").astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * WINDOW, WINDOW, dtype=np.int32)), pa.array(ids.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + k, first + k + len(ids), dtype=np.int64)), lists], names=["slot", "ids"])
 
-def read_shards(spark: SparkSession, shards: str, from_slot: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """slot and ids (array<int>) of the records from a slot on. Folders of shards before it aren't read."""
-
-    def make(slots: np.ndarray, records: np.ndarray) -> list[pa.Array]:
-        ids = records.view("<u2").astype(np.int32)
-        return [pa.array(slots.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * WINDOW, WINDOW, dtype=np.int32)), pa.array(ids.ravel()))]
+    return files.mapInArrow(run, "slot long, ids array<int>")
 
-    return _read(spark, shards, from_slot, shard_slots, "slot long, ids array<int>", make)
 
+def checked_shards(spark: SparkSession, shards: str) -> DataFrame:
+    """slot and ids_crc32 (of the bytes of its ids) of all records.
 
-def checked_shards(spark: SparkSession, shards: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """slot and ids_crc32 (of the bytes of its ids) of all records."""
+    Records are read one by one at the stride, by Spark's reader of fixed-length records, which has no DataFrame form;
+    whole shards as values would need their size several times in memory.
+    """
 
-    def make(slots: np.ndarray, records: np.ndarray) -> list[pa.Array]:
-        return [pa.array(slots.astype(np.int64)), pa.array([zlib.crc32(r) for r in records], type=pa.int64())]
+    def sums(records: Iterator[bytes]) -> Iterator[tuple[int, int]]:
+        return ((int.from_bytes(r[:HEAD], "little"), zlib.crc32(r[HEAD : HEAD + 2 * WINDOW])) for r in records)
 
-    return _read(spark, shards, 0, shard_slots, "slot long, ids_crc32 long", make)
+    found = spark.sparkContext.binaryRecords(f"{shards}/shard=*/part-*", STRIDE).mapPartitions(sums)
+    return spark.createDataFrame(found, "slot long, ids_crc32 long", verifySchema=False)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

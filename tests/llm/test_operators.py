@@ -752,7 +752,7 @@ def test_broken_run_is_resumed(spark, docs, tmp_path):
     (folder / "_SUCCESS").unlink()
     files[1].unlink()
     overwrite(files[3], whole[3][:-token_output.STRIDE])
-    lost = token_output.checked_shards(spark, f"file://{folder}", 50).where("slot between 50 and 99")
+    lost = token_output.checked_shards(spark, f"file://{folder}").where("slot between 50 and 99")
     assert lost.count() == 0
     assert sorted(map(tuple, token_output.materialise(docs, path, shard_slots=50).collect())) == rows
     again = {int(f.parent.name.split("=")[1]): f for f in folder.glob("shard=*/part-*")}
@@ -760,7 +760,7 @@ def test_broken_run_is_resumed(spark, docs, tmp_path):
     assert {k for k in again if again[k] != files[k]} == {1, 3}  # the others' files are those of the first run
     files = list(folder.glob("shard=2/part-*"))
     broken = bytearray(files[0].read_bytes())
-    broken[5] ^= 1
+    broken[token_output.HEAD + 5] ^= 1
     overwrite(files[0], bytes(broken))
     changed = [r for r, w in zip(sorted(map(tuple, token_output.materialise(docs, path, shard_slots=50).collect())), rows) if r != w]
     assert len(changed) == 1 and changed[0][0] == 100  # the result is of what stands in the shards
