@@ -70,6 +70,55 @@ def link_integrity(spine: DataFrame, candidates: DataFrame, truth: DataFrame) ->
     return one.select(F.expr("stack(6, " + ", ".join(f"'{c}', {c}" for c in one.columns) + ") as (rule, n)"))
 
 
+def link_integrity_by_source(spine: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """source, links, same_country, cross_country and unknown of the links to each source."""
+    s = spine.select("s1_id", F.col("country").alias("s_country"))
+    k = candidates.select("cand_id", F.col("country").alias("k_country"), F.lit(1).alias("known"))
+    n = lambda cond: F.count(F.when(cond, 1))
+    rows = truth.join(s, "s1_id", "left").join(k, "cand_id", "left").withColumn("source", F.substring("cand_id", 1, 2))
+    return rows.groupBy("source").agg(F.count("*").alias("links"), n(F.col("s_country") == F.col("k_country")).alias("same_country"), n(F.col("s_country") != F.col("k_country")).alias("cross_country"), n(F.col("known").isNull()).alias("unknown"))
+
+
+def source_profile(df: DataFrame, text_columns: list[str], top: int = 10) -> DataFrame:
+    """section, item, value of a source: its columns' nulls and distinct values, lengths of texts, most frequent values.
+
+    One row a figure, as a report lists them. A null's length doesn't count.
+    """
+    row = lambda section, item, v: F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"), v.cast("double").alias("value"))
+    columns = table_profile(df).select(F.explode(F.array(*[row(x, F.col("column"), F.col(x)) for x in ("n_rows", "n_null", "n_distinct")])).alias("x")).select("x.*")
+    out = columns
+    for c in text_columns:
+        shape = distribution(df.where(F.col(c).isNotNull()), F.length(c))
+        figures = [x for x in shape.columns if x != "n"]
+        out = out.unionByName(shape.select(F.explode(F.array(*[row(f"length of {c}", F.lit(x), F.col(x)) for x in figures])).alias("x")).select("x.*"))
+        frequent = value_counts(df.where(F.col(c).isNotNull()), c, top)
+        out = out.unionByName(frequent.select(row(f"frequent {c}", F.col("value"), F.col("n")).alias("x")).select("x.*"))
+    return out
+
+
+def truth_profile(spine: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """section, item, value of the true links: histogram, breakdown by source, figures a entity, and validity."""
+    per = spine.select("s1_id").join(truth.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left").fillna({"n": 0})
+    part = lambda df, section, item, v: df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), F.col(v).cast("double").alias("value"))
+    shape = distribution(per, F.col("n")).drop("n")
+    figures = shape.select(F.expr(f"stack({len(shape.columns)}, " + ", ".join(f"'{c}', cast({c} as double)" for c in shape.columns) + ") as (item, value)"))
+    return (
+        part(match_histogram(spine, truth), "links an entity", "bucket", "n_entities")
+        .unionByName(part(source_breakdown(spine, truth), "sources", "kind", "n_entities"))
+        .unionByName(part(link_integrity(spine, candidates, truth), "validity", "rule", "n"))
+        .unionByName(figures.select(F.lit("figures").alias("section"), "item", "value"))
+    )
+
+
+def value_shift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """value, share_left, share_right (percent) and shift of a column's values in two tables."""
+    one = lambda df, n: df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")).agg(F.count("*").alias(n))
+    both = one(a, "l").join(one(b, "r"), "value", "full").fillna(0, ["l", "r"])
+    totals = both.agg(F.sum("l").alias("all_l"), F.sum("r").alias("all_r"))  # one row
+    x, y = (F.round(100.0 * F.col(c) / F.col(f"all_{c}"), 4) for c in "lr")
+    return both.crossJoin(F.broadcast(totals)).select("value", x.alias("share_left"), y.alias("share_right"), F.round(x - y, 4).alias("shift"))
+
+
 def match_histogram(spine: DataFrame, truth: DataFrame) -> DataFrame:
     """bucket (0 to 4, 5+) and n_entities by number of links."""
     per = spine.select("s1_id").join(truth.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left").fillna({"n": 0})

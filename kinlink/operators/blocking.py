@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Strategies of each level, in order.
+LEVELS: dict[str, list[str]] = {
+    "V1": ["B01_exact_name", "B02_no_legal_suffix", "B03_sorted_tokens", "B04_initials_pfx", "B05_first_two_tokens", "B06_prefix4_len", "B07_house_tok0", "B08_postal_name_pfx", "B09_postal_house", "B10_token_numeric", "B11_addr_lead_tokens"],
+    "V2": ["B12_name_abbrev_expanded", "B13_name_no_space", "B14_first_distinctive_token"],
+    "V3": ["B15_prefix_suffix_4gram", "B16_skip_gram", "B17_distinctive_tok_ngrams"],
+    "V4": ["B18_distinctive_token_pair", "B19_first_last_distinctive", "B20_tok1_house"],
+    "V5": ["B21_postal_distinctive_tok", "B22_street_name_joint", "B23_numeric_sig_name"],
+    "V6": ["B24_phonetic_tok0", "B25_phonetic_pair", "B26_soundex_postal", "B27_phonetic_house"],
+    "2B": ["TB01_honorific_tok0", "TB02_honorific_name", "TB03_domain_concat", "TB04_indic_translit_tok0", "TB05_indic_translit_postal", "TB06_postal_sorted_numeric", "TB07_postal_slash_compound", "TB08_postal_house_token", "TB09_addr_tok0_slash_compound", "TB10_addr_tok0_house_token", "TB11_postal_addr_token_pair", "TB12_translit_house_sig"],
+    "2C": ["SB01_multiscript_translit_tok0", "SB02_multiscript_translit_pair", "SB03_multiscript_translit_numeric", "SB04_lstrip_zeros_numeric_name", "SB05_pure_addr_postal_distinctive", "SB06_pure_addr_distinctive_pair", "SB07_pure_addr_tok0_numeric", "SB08_name_tok0_city_locality"],
+}
+
+
+def strategy_names(levels: list[str] | None = None) -> list[str]:
+    return [name for level, names in LEVELS.items() if levels is None or level in levels for name in names]
+
+
+def strategy_levels() -> dict[str, str]:
+    return {name: level for level, names in LEVELS.items() for name in names}
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -37,8 +58,8 @@ def _one(key: Column) -> Column:
     return F.array(key)
 
 
-def _strategies() -> dict[str, tuple[str, Column]]:
-    """Strategy to its level and its keys; null keys are dropped later."""
+def _strategies() -> dict[str, Column]:
+    """Strategy to its keys; null keys are dropped later."""
     alnum, n = _c("name_alnum"), F.length("name_alnum")
     t0, d0, d1, p0, p1 = _at("name_tokens", 0), _at("distinctive", 0), _at("distinctive", 1), _at("phonetic", 0), _at("phonetic", 1)
     tr0, a0, a1 = _at("translit_distinctive", 0), _at("addr_distinctive", 0), _at("addr_distinctive", 1)
@@ -55,75 +76,63 @@ def _strategies() -> dict[str, tuple[str, Column]]:
     stripped = lambda head: F.transform(F.filter(two_nums, lambda s: s != ""), lambda s: F.concat(head, F.lit("_"), s))
     t_pair = F.when(F.size("translit_distinctive") >= 2, _pair(tr0, _at("translit_distinctive", 1))).when(F.size("distinctive") >= 2, _pair(d0, d1))
     out = {
-        "B01_exact_name": ("V1", _one(_present(alnum))),
-        "B02_no_legal_suffix": ("V1", _one(differs(_c("name_no_suffix")))),
-        "B03_sorted_tokens": ("V1", _one(differs(_c("name_tokens_sorted")))),
-        "B04_initials_pfx": ("V1", _one(F.when((F.size("name_tokens") >= 2) & (F.length("name_initials") >= 2), _join(F.substring("name_initials", 1, 4), F.substring(t0, 1, 4))))),
-        "B05_first_two_tokens": ("V1", _one(_join(t0, _at("name_tokens", 1)))),
-        "B06_prefix4_len": ("V1", _one(F.when(n >= 4, _join(F.substring(alnum, 1, 4), F.floor(n / 4).cast("string"))))),
-        "B07_house_tok0": ("V1", _one(_join(hn, t0))),
-        "B08_postal_name_pfx": ("V1", _one(F.when(n >= 3, _join(post, F.substring(alnum, 1, 3))))),
-        "B09_postal_house": ("V1", _one(_join(post, hn))),
-        "B10_token_numeric": ("V1", _one(_join(t0, num0))),
-        "B11_addr_lead_tokens": ("V1", _one(_join(_at("addr_tokens", 0), _at("addr_tokens", 1)))),
-        "B12_name_abbrev_expanded": ("V2", _one(differs(_c("name_abbrev_expanded")))),
-        "B13_name_no_space": ("V2", _one(F.when(F.length(no_space) >= 5, differs(no_space)))),
-        "B14_first_distinctive_token": ("V2", _one(d0)),
-        "B15_prefix_suffix_4gram": ("V3", _one(F.when(n >= 8, _join(F.substring(alnum, 1, 4), tail(alnum, 4))))),
-        "B16_skip_gram": ("V3", _one(F.when(n >= 6, _join(F.substring(alnum, 1, 2), F.substring(alnum, (F.floor(n / 2) + 1).cast("int"), F.lit(2)), tail(alnum, 2))))),
-        "B17_distinctive_tok_ngrams": ("V3", _one(F.when(F.length(d0) >= 5, _join(F.substring(d0, 1, 3), tail(d0, 3))))),
-        "B18_distinctive_token_pair": ("V4", F.array(*pairs)),
-        "B19_first_last_distinctive": ("V4", _one(F.when(F.size("distinctive") >= 2, _join(d0, F.try_element_at("distinctive", F.lit(-1)))))),
-        "B20_tok1_house": ("V4", _one(_join(d1, hn))),
-        "B21_postal_distinctive_tok": ("V5", _one(_join(post, d0))),
-        "B22_street_name_joint": ("V5", _one(_join(a0, d0))),
-        "B23_numeric_sig_name": ("V5", _one(F.when(F.size("numeric_atoms") >= 2, _join(F.get(lexical, F.lit(0)), F.get(lexical, F.lit(1)), d0)))),
-        "B24_phonetic_tok0": ("V6", _one(F.substring(p0, 1, 6))),
-        "B25_phonetic_pair": ("V6", _one(_pair(F.substring(p0, 1, 5), F.substring(p1, 1, 5)))),
-        "B26_soundex_postal": ("V6", _one(_join(_at("soundex_tokens", 0), post))),
-        "B27_phonetic_house": ("V6", _one(_join(F.substring(p0, 1, 5), hn))),
-        "TB01_honorific_tok0": ("2B", _one(F.coalesce(_at("honorific_distinctive", 0), d0))),
-        "TB02_honorific_name": ("2B", _one(_present(F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower("name_no_honorific"), r"[^a-z0-9\s]", " ")), F.lit("")), alnum)))),
-        "TB03_domain_concat": ("2B", F.array(_c("domain_clean"), F.when(F.length(concat_no_suffix) >= 5, concat_no_suffix), _present(_c("name_concat_distinctive")))),
-        "TB04_indic_translit_tok0": ("2B", _one(x0)),
-        "TB05_indic_translit_postal": ("2B", _one(_join(x0, post))),
-        "TB06_postal_sorted_numeric": ("2B", _one(_join(post, _c("sorted_numeric_sig")))),
-        "TB07_postal_slash_compound": ("2B", each("slash_compounds", post)),
-        "TB08_postal_house_token": ("2B", each("house_tokens", post)),
-        "TB09_addr_tok0_slash_compound": ("2B", each("slash_compounds", a0)),
-        "TB10_addr_tok0_house_token": ("2B", each("house_tokens", a0)),
-        "TB11_postal_addr_token_pair": ("2B", _one(_join(post, _pair(a0, F.when(a1.isNotNull(), a1))))),
-        "TB12_translit_house_sig": ("2B", _one(_join(x0, sig))),
-        "SB01_multiscript_translit_tok0": ("2C", F.when(tr0.isNotNull(), F.array(tr0, _at("translit_phonetic", 0))).otherwise(F.array(d0, p0))),
-        "SB02_multiscript_translit_pair": ("2C", _one(t_pair)),
-        "SB03_multiscript_translit_numeric": ("2C", _one(_join(x0, F.coalesce(sig, num0)))),
-        "SB04_lstrip_zeros_numeric_name": ("2C", stripped(x0)),
-        "SB05_pure_addr_postal_distinctive": ("2C", _one(_join(_c("country"), post, a0))),
-        "SB06_pure_addr_distinctive_pair": ("2C", _one(F.when(a1.isNotNull(), _join(_c("country"), _pair(a0, a1))))),
-        "SB07_pure_addr_tok0_numeric": ("2C", stripped(a0)),
-        "SB08_name_tok0_city_locality": ("2C", _one(_join(x0, a0))),
+        "B01_exact_name": _one(_present(alnum)),
+        "B02_no_legal_suffix": _one(differs(_c("name_no_suffix"))),
+        "B03_sorted_tokens": _one(differs(_c("name_tokens_sorted"))),
+        "B04_initials_pfx": _one(F.when((F.size("name_tokens") >= 2) & (F.length("name_initials") >= 2), _join(F.substring("name_initials", 1, 4), F.substring(t0, 1, 4)))),
+        "B05_first_two_tokens": _one(_join(t0, _at("name_tokens", 1))),
+        "B06_prefix4_len": _one(F.when(n >= 4, _join(F.substring(alnum, 1, 4), F.floor(n / 4).cast("string")))),
+        "B07_house_tok0": _one(_join(hn, t0)),
+        "B08_postal_name_pfx": _one(F.when(n >= 3, _join(post, F.substring(alnum, 1, 3)))),
+        "B09_postal_house": _one(_join(post, hn)),
+        "B10_token_numeric": _one(_join(t0, num0)),
+        "B11_addr_lead_tokens": _one(_join(_at("addr_tokens", 0), _at("addr_tokens", 1))),
+        "B12_name_abbrev_expanded": _one(differs(_c("name_abbrev_expanded"))),
+        "B13_name_no_space": _one(F.when(F.length(no_space) >= 5, differs(no_space))),
+        "B14_first_distinctive_token": _one(d0),
+        "B15_prefix_suffix_4gram": _one(F.when(n >= 8, _join(F.substring(alnum, 1, 4), tail(alnum, 4)))),
+        "B16_skip_gram": _one(F.when(n >= 6, _join(F.substring(alnum, 1, 2), F.substring(alnum, (F.floor(n / 2) + 1).cast("int"), F.lit(2)), tail(alnum, 2)))),
+        "B17_distinctive_tok_ngrams": _one(F.when(F.length(d0) >= 5, _join(F.substring(d0, 1, 3), tail(d0, 3)))),
+        "B18_distinctive_token_pair": F.array(*pairs),
+        "B19_first_last_distinctive": _one(F.when(F.size("distinctive") >= 2, _join(d0, F.try_element_at("distinctive", F.lit(-1))))),
+        "B20_tok1_house": _one(_join(d1, hn)),
+        "B21_postal_distinctive_tok": _one(_join(post, d0)),
+        "B22_street_name_joint": _one(_join(a0, d0)),
+        "B23_numeric_sig_name": _one(F.when(F.size("numeric_atoms") >= 2, _join(F.get(lexical, F.lit(0)), F.get(lexical, F.lit(1)), d0))),
+        "B24_phonetic_tok0": _one(F.substring(p0, 1, 6)),
+        "B25_phonetic_pair": _one(_pair(F.substring(p0, 1, 5), F.substring(p1, 1, 5))),
+        "B26_soundex_postal": _one(_join(_at("soundex_tokens", 0), post)),
+        "B27_phonetic_house": _one(_join(F.substring(p0, 1, 5), hn)),
+        "TB01_honorific_tok0": _one(F.coalesce(_at("honorific_distinctive", 0), d0)),
+        "TB02_honorific_name": _one(_present(F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower("name_no_honorific"), r"[^a-z0-9\s]", " ")), F.lit("")), alnum))),
+        "TB03_domain_concat": F.array(_c("domain_clean"), F.when(F.length(concat_no_suffix) >= 5, concat_no_suffix), _present(_c("name_concat_distinctive"))),
+        "TB04_indic_translit_tok0": _one(x0),
+        "TB05_indic_translit_postal": _one(_join(x0, post)),
+        "TB06_postal_sorted_numeric": _one(_join(post, _c("sorted_numeric_sig"))),
+        "TB07_postal_slash_compound": each("slash_compounds", post),
+        "TB08_postal_house_token": each("house_tokens", post),
+        "TB09_addr_tok0_slash_compound": each("slash_compounds", a0),
+        "TB10_addr_tok0_house_token": each("house_tokens", a0),
+        "TB11_postal_addr_token_pair": _one(_join(post, _pair(a0, F.when(a1.isNotNull(), a1)))),
+        "TB12_translit_house_sig": _one(_join(x0, sig)),
+        "SB01_multiscript_translit_tok0": F.when(tr0.isNotNull(), F.array(tr0, _at("translit_phonetic", 0))).otherwise(F.array(d0, p0)),
+        "SB02_multiscript_translit_pair": _one(t_pair),
+        "SB03_multiscript_translit_numeric": _one(_join(x0, F.coalesce(sig, num0))),
+        "SB04_lstrip_zeros_numeric_name": stripped(x0),
+        "SB05_pure_addr_postal_distinctive": _one(_join(_c("country"), post, a0)),
+        "SB06_pure_addr_distinctive_pair": _one(F.when(a1.isNotNull(), _join(_c("country"), _pair(a0, a1)))),
+        "SB07_pure_addr_tok0_numeric": stripped(a0),
+        "SB08_name_tok0_city_locality": _one(_join(x0, a0)),
     }
     return out
 
 
-#: Level of each strategy, in order.
-LEVELS = ["V1", "V2", "V3", "V4", "V5", "V6", "2B", "2C"]
-
-
-def strategy_names(levels: list[str] | None = None) -> list[str]:
-    return [k for k, (level, _) in _strategies().items() if levels is None or level in levels]
-
-
-def strategy_levels() -> dict[str, str]:
-    return {k: level for k, (level, _) in _strategies().items()}
-
-
 def with_keys(rows: DataFrame, strategies: list[str] | None = None) -> DataFrame:
     """entity_id, country, strategy and key of records: distinct, without null and empty keys.
 
     The keys of a record are made in one projection and exploded once.
     """
-    chosen = {k: keys for k, (_, keys) in _strategies().items() if strategies is None or k in strategies}
+    chosen = {k: keys for k, keys in _strategies().items() if strategies is None or k in strategies}
 
     def entry(name: str, keys: Column) -> Column:
         present = F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))

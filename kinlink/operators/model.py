@@ -11,6 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Presets of learning: full matcher, fast variant and notebook variant. Spark grows trees by depth, so a number of
+#: leaves becomes the depth that holds it.
+PRESETS: dict[str, dict] = {
+    "matcher": {"rounds": 60, "step": 0.1, "depth": 5, "subsample": 0.8},
+    "fast": {"rounds": 350, "step": 0.08, "depth": 6, "subsample": 0.8},
+    "notebook": {"rounds": 600, "step": 0.05, "depth": 6, "subsample": 0.8},
+}
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a fitted matcher over an older one."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def train(rows: DataFrame, features: list[str], label: str = "label", rounds: int = 60, step: float = 0.1, depth: int = 5, subsample: float = 0.8, validation: str | None = None, seed: int = 42) -> PipelineModel:
     """A fitted pipeline of assembler and boosted trees; ``validation`` marks rows for early stopping."""
     from pyspark.ml import Pipeline

@@ -150,6 +150,54 @@ def link_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.link_integrity(_spine(rows), sides(rows)[1].select(F.col("entity_id").alias("cand_id"), "country"), true_links(rows))
 
 
+@query(
+    "link_integrity_by_source",
+    f"{_E}, j AS (SELECT substr(t.cand_id, 1, 2) AS source, a.country AS s, b.country AS k, b.entity_id IS NULL AS u FROM truth t LEFT JOIN e a ON a.entity_id = t.s1_id LEFT JOIN e b ON b.entity_id = t.cand_id) SELECT source, count(*) AS links, count(*) FILTER (s = k) AS same_country, count(*) FILTER (s <> k) AS cross_country, count(*) FILTER (u) AS unknown FROM j GROUP BY source",
+)
+def link_integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entities(spark, sf_dir)
+    return audit.link_integrity_by_source(_spine(rows), sides(rows)[1].select(F.col("entity_id").alias("cand_id"), "country"), true_links(rows))
+
+
+_SHAPE = {"least": "min({0})", **{f"p{int(100 * q)}": f"quantile_cont({{0}}, {q})" for q in (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)}, "mean": "round(avg({0}), 4)", "std": "round(stddev_pop({0}), 4)", "largest": "max({0})"}
+
+
+def _shape_sql(section: str, value: str, rows: str) -> str:
+    return f"SELECT '{section}' AS section, unnest({list(_SHAPE)}) AS item, unnest([{', '.join(f'CAST({x.format(value)} AS DOUBLE)' for x in _SHAPE.values())}]) AS value FROM {rows}"
+
+
+_PROFILED = ["entity_id", "country", "business_name", "business_address"]
+_PROFILE_PARTS = [f"SELECT '{f}' AS section, '{c}' AS item, CAST({x} AS DOUBLE) AS value FROM e" for c in _PROFILED for f, x in (("n_rows", "count(*)"), ("n_null", f"count(*) - count({c})"), ("n_distinct", f"count(DISTINCT {c})"))]
+for _c in ("business_name", "business_address"):
+    _PROFILE_PARTS += [_shape_sql(f"length of {_c}", f"length({_c})", "e"), f"SELECT 'frequent {_c}', {_c}, CAST(n AS DOUBLE) FROM (SELECT {_c}, count(*) AS n FROM e WHERE {_c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, {_c} LIMIT 10)"]
+
+
+@query("source_profile", f"{_E} " + " UNION ALL ".join(_PROFILE_PARTS))
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, distinct values, lengths and most frequent values of the records."""
+    return audit.source_profile(entities(spark, sf_dir).select(*_PROFILED), ["business_name", "business_address"])
+
+
+@query("country_shift", f"{_E}, v AS (SELECT coalesce(country, 'null') AS value, count(*) FILTER (g % 2 = 0) AS l, count(*) FILTER (g % 2 = 1) AS r FROM e GROUP BY 1) SELECT value, round(100.0 * l / sum(l) OVER (), 4) AS share_left, round(100.0 * r / sum(r) OVER (), 4) AS share_right, round(round(100.0 * l / sum(l) OVER (), 4) - round(100.0 * r / sum(r) OVER (), 4), 4) AS shift FROM v")
+def country_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of countries in two halves of the entities."""
+    rows = entities(spark, sf_dir)
+    return audit.value_shift(rows.where("g % 2 = 0"), rows.where("g % 2 = 1"), "country")
+
+
+@query("legal_form_counts", f"{_E}, w AS (SELECT unnest(regexp_extract_all(upper(coalesce(business_name, '')), '\\b(?:{L.FORMS})\\b')) AS suffix FROM e) SELECT suffix, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, suffix LIMIT 10")
+def legal_form_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent legal forms in names."""
+    return audit.suffix_counts(entities(spark, sf_dir), "business_name")
+
+
+@query("audit_report", f"WITH t AS ({_profile_sql('customer', ['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment'])}), l AS (SELECT '| ' || concat_ws(' | ', \"column\", n_rows, n_null, n_distinct, null_pct) || ' |' AS line FROM t) SELECT 0 AS place, '### customer' AS line UNION ALL SELECT 1, '| column | n_rows | n_null | n_distinct | null_pct |' UNION ALL SELECT 2, '|-|-|-|-|-|' UNION ALL SELECT row_number() OVER (ORDER BY line) + 2, line FROM l")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of a table as the lines of a report."""
+    rows = audit.table_profile(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return tables.markdown(rows.select("column", "n_rows", "n_null", "n_distinct", "null_pct"), "customer")
+
+
 @query("match_histogram", f"{_E}, n AS (SELECT s1_id, count(cand_id) AS n FROM spine LEFT JOIN truth USING (s1_id) GROUP BY s1_id) SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bucket, count(*) AS n_entities FROM n GROUP BY 1")
 def match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir)
@@ -162,6 +210,20 @@ def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_breakdown(_spine(rows), true_links(rows))
 
 
+@query(
+    "truth_profile",
+    f"""{_E}, n AS (SELECT s1_id, count(cand_id) AS n, count(*) FILTER (cand_id LIKE 'S2-%') AS a, count(*) FILTER (cand_id LIKE 'S3-%') AS b FROM spine LEFT JOIN truth USING (s1_id) GROUP BY s1_id),
+i AS ({SQL["link_integrity"].removeprefix(f"{_E}, ").replace("j AS", "WITH j AS", 1)})
+SELECT 'links an entity' AS section, CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS item, CAST(count(*) AS DOUBLE) AS value FROM n GROUP BY 2
+UNION ALL SELECT 'sources', CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 's2_only' WHEN b > 0 THEN 's3_only' ELSE 'neither' END, CAST(count(*) AS DOUBLE) FROM n GROUP BY 2
+UNION ALL SELECT 'validity', rule, CAST(n AS DOUBLE) FROM i UNION ALL {_shape_sql("figures", "n", "n")}""",
+)
+def truth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram, breakdown, figures and validity of the true links."""
+    rows = entities(spark, sf_dir)
+    return audit.truth_profile(_spine(rows), sides(rows)[1].select(F.col("entity_id").alias("cand_id"), "country"), true_links(rows))
+
+
 @query("train_test_overlap", f"{_E}, a AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE business_name IS NOT NULL AND g % 2 = 0), b AS (SELECT DISTINCT lower(business_name) AS v FROM e WHERE business_name IS NOT NULL AND g % 2 = 1) SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (v)) AS n_both")
 def train_test_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entities(spark, sf_dir).where("business_name is not null")

@@ -18,7 +18,7 @@ def _map(pairs: dict[str, str]) -> str:
 
 
 _LEGAL, _STOP, _ABBR = _list(V.LEGAL_FORMS), _list(V.STOPWORDS), _map(V.ABBREVIATIONS)
-_FORMS = "|".join(sorted(V.LEGAL_FORMS, key=len, reverse=True))
+FORMS = "|".join(sorted(V.LEGAL_FORMS, key=len, reverse=True))
 CLEAN = r"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _WORDS = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _BARE = f"list_filter({{x}}, lambda w: NOT list_contains({_LEGAL}, upper(w)))"
@@ -74,7 +74,7 @@ sounds AS (SELECT entity_id, list(skeleton ORDER BY pos) FILTER (kind = 'n') AS
 nf AS (SELECT n7.entity_id, source, country, name_raw, addr_raw, name_alnum, name_tokens, array_to_string(list_sort(name_tokens), ' ') AS name_tokens_sorted, array_to_string(bare, ' ') AS name_no_suffix,
     array_to_string(list_sort(bare), ' ') AS name_no_suffix_sorted, array_to_string(list_transform(name_tokens, lambda w: substr(w, 1, 1)), '') AS name_initials, distinctive, honorific_distinctive, name_no_honorific,
     domain_clean, name_transliterated, translit_distinctive, coalesce(phonetic, []) AS phonetic, coalesce(translit_phonetic, []) AS translit_phonetic, coalesce(soundex_tokens, []) AS soundex_tokens,
-    regexp_extract_all(upper(name_ascii), '\b(?:{_FORMS})\b') AS legal_suffixes, array_to_string(list_transform(name_tokens, lambda w: lower(coalesce({_ABBR}[upper(w)], w))), ' ') AS name_abbrev_expanded,
+    regexp_extract_all(upper(name_ascii), '\b(?:{FORMS})\b') AS legal_suffixes, array_to_string(list_transform(name_tokens, lambda w: lower(coalesce({_ABBR}[upper(w)], w))), ' ') AS name_abbrev_expanded,
     CASE WHEN len(distinctive) >= 2 THEN array_to_string(distinctive, '') ELSE '' END AS name_concat_distinctive, {_grams("name_alnum", 3)} AS name_c3, {_grams("name_alnum", 4)} AS name_c4, {_grams("name_alnum", 5)} AS name_c5
     FROM n7 LEFT JOIN sounds USING (entity_id))"""
 

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import POLICY_DEFAULT
 from ..operators import blocking, candidates, evaluation, features, model
+from ..sources import tables
 from ..sources.shared import written
 
 
@@ -53,6 +55,25 @@ def resolve_by_votes(left: DataFrame, right: DataFrame, strategies: list[str] |
     return candidates.fallback(voted, sure, least).select("s1_id", "cand_id", "votes")
 
 
+def fit_matcher(left: DataFrame, right: DataFrame, truth: DataFrame, top: int = 50, negatives: int = 12, strategies: list[str] | None = None, preset: str = "matcher", **how) -> PipelineModel:
+    """A matcher learned on retrieved true links and the hardest others of the entities of ``left`` (derived fields)."""
+    voted = candidates.votes(blocked(left, right, strategies))
+    chosen = candidates.training_pairs(voted, truth, top, negatives)
+    pairs = chosen.join(voted.select("s1_id", "cand_id", "strategies"), ["s1_id", "cand_id"])
+    made = features.pair_features(features.paired(pairs, left, right)).join(chosen.select("s1_id", "cand_id", F.col("label").cast("double").alias("label")), ["s1_id", "cand_id"])
+    return model.train(written(made), features.FEATURE_NAMES, **(model.PRESETS[preset] | how))
+
+
+def run(left: DataFrame, right: DataFrame, matcher: PipelineModel, folder: str, policy: tuple[float, float, float] = POLICY_DEFAULT, top: int = 40, strategies: list[str] | None = None) -> DataFrame:
+    """Candidates, scores and accepted links of all entities, written as the pair of output tables; the links with prob."""
+    left, right = written(left), written(right)
+    voted = written(candidates.ranked(candidates.votes(blocked(left, right, strategies)), top))
+    scored = model.score(matcher, features.pair_features(features.paired(voted, left, right))).select("s1_id", "cand_id", "prob")
+    accepted = written(evaluation.apply_policy(scored, *policy).select("s1_id", "cand_id", "prob"))
+    tables.write_outputs(left.select(F.col("entity_id").alias("s1_id")), accepted, voted, folder)
+    return accepted
+
+
 def resolve(left: DataFrame, right: DataFrame, matcher: PipelineModel, policy: tuple[float, float, float], top: int = 40, strategies: list[str] | None = None) -> DataFrame:
     """s1_id, cand_id, prob that the policy accepts, of all countries in the data."""
     voted = candidates.ranked(candidates.votes(blocked(left, right, strategies)), top)

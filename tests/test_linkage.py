@@ -1,12 +1,16 @@
 """Normalisation, blocking, features, evaluation and validation on hand-written rows."""
 
+import difflib
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinlink.functions import kernels
 from kinlink.functions import text as T
-from kinlink.operators import audit, blocking, candidates, evaluation, features, records, sampling, validation
+from kinlink.functions.vocabulary import NULL_TOKENS
+from kinlink.operators import audit, blocking, candidates, evaluation, features, model, records, sampling, validation
 from kinlink.plans import catalogue, resolve
+from kinlink.plans.entities import entities, sides, true_links
 from kinlink.sources import tables
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -106,6 +110,92 @@ def test_features_of_equal_and_empty_records(spark):
     assert b["name_exact"] == 0.0 and b["name_sorted_exact"] == 1.0 and b["name_edit_sim"] == 1.0 and b["cand_addr_missing"] == 1.0
 
 
+def test_sequence_features_equal_plain_version(spark):
+    def ratio(a, b):
+        return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+    left, right = (records.records(x) for x in sides(entities(spark, SMALLEST)))
+    pairs = resolve.blocked(left, right, ["B14_first_distinctive_token", "SB06_pure_addr_distinctive_pair"], cap=None)
+    voted = candidates.ranked(candidates.votes(pairs), 40)
+    of = {r["entity_id"]: r for r in left.unionByName(right).select("entity_id", "name_alnum", "name_tokens", "name_transliterated", "name_script").collect()}
+    rows = features.pair_features(features.paired(voted, left, right)).collect()
+    assert len(rows) > 50 and {len(r) for r in rows} == {62}
+    for r in rows:
+        a, b = of[r["s1_id"]], of[r["cand_id"]]
+        x, y = a["name_transliterated"], b["name_transliterated"]
+        latin = round(ratio(x, y), 4) if x and y else 0.0
+        want = (ratio(a["name_alnum"], b["name_alnum"]), ratio((a["name_tokens"] or [""])[0], (b["name_tokens"] or [""])[0]), latin, float(a["name_script"] != b["name_script"] and latin >= 0.7))
+        assert tuple(r[c] for c in features.SEQUENCE_FEATURES) == pytest.approx(want, abs=6e-5)
+
+
+def test_keys_by_the_rules(spark):
+    rows = records.records(spark.createDataFrame([("S1-1", "abcdefgh", "5 Hill Road", "US"), ("S1-2", "Sheela", None, "US")], RECORD))
+    keys = {(r["strategy"], r["key"]) for r in blocking.with_keys(rows).collect()}
+    assert ("B16_skip_gram", "ab_ef_gh") in keys and not [k for k in keys if k[0] == "B25_phonetic_pair"]
+
+
+def test_corrected_features(spark):
+    left = records.records(spark.createDataFrame([("S1-1", "abcdefgh ltd", "1 Hill", "US"), ("S1-2", "a12b", "1 Hill", "US"), ("S1-3", "x 12", None, "US")], RECORD))
+    right = records.records(spark.createDataFrame([("S2-1", "abcdefgh", "12 Hill", "US")], RECORD))
+    found = spark.createDataFrame([(f"S1-{i}", "S2-1", 1, 1, []) for i in (1, 2, 3)], "s1_id string, cand_id string, votes int, rank int, strategies array<string>")
+    rows = {r["s1_id"]: r for r in features.pair_features(features.paired(found, left, right), sequence=False).collect()}
+    assert rows["S1-1"]["legal_suffix_agree"] == 0.0 and rows["S1-2"]["legal_suffix_agree"] == 0.5
+    assert rows["S1-2"]["name_addr_numeric_consistent"] == 0.0 and rows["S1-3"]["name_addr_numeric_consistent"] == 1.0
+    assert rows["S1-3"]["addr_len_ratio"] == round(1 / len("12 hill"), 4)
+
+
+def test_exact_names_of_hot_names_make_no_pairs(spark):
+    left = spark.createDataFrame([(f"S1-{i}", "Acme Ltd", "US") for i in range(40)] + [("S1-x", "Rare Co", "US")], "entity_id string, business_name string, country string")
+    right = spark.createDataFrame([(f"S2-{i}", "ACME", "US") for i in range(40)] + [("S2-x", "rare", "US")], "entity_id string, business_name string, country string")
+    rows = {r["s1_id"]: r["matched_entity_ids"] for r in resolve.resolve_exact(left, [right]).collect()}
+    assert len(rows) == 41 and rows["S1-x"] == "S2-x" and {v for k, v in rows.items() if k != "S1-x"} == {None}
+
+
+def test_matcher_from_truth_to_output_tables(spark, tmp_path):
+    rows = entities(spark, SMALLEST)
+    left, right = (records.records(x) for x in sides(rows))
+    few = ["B01_exact_name", "B14_first_distinctive_token", "SB06_pure_addr_distinctive_pair"]
+    fitted = resolve.fit_matcher(left, right, true_links(rows), strategies=few, rounds=3)
+    model.save(fitted, f"file://{tmp_path}/model")
+    links = resolve.run(left, right, model.load(f"file://{tmp_path}/model"), f"file://{tmp_path}/out", strategies=few)
+    spine, back = tables.read_truth(spark, f"file://{tmp_path}/out/matches")
+    assert {tuple(r) for r in back.collect()} == {(r["s1_id"], r["cand_id"]) for r in links.collect()} and links.count() > 5
+    assert spine.count() == left.count()
+    other = spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/out/candidates")
+    assert other.count() == left.count() and other.columns == ["source1_entity_id", "candidate_entity_ids"]
+    assert set(model.PRESETS) == {"matcher", "fast", "notebook"}
+
+
+def test_files_logs_and_reports(spark, tmp_path):
+    for folder, name in (("a/x", "other.tsv"), ("b/y/z", "records.tsv"), ("c", "records.tsv")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / name).write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tNULL\tx\tnan\n")
+    roots = [f"file://{tmp_path}/{x}" for x in ("none", "a", "b", "c")]
+    found = tables.find_first(spark, roots, "records.tsv")
+    assert found.endswith("b/y/z/records.tsv")
+    with pytest.raises(FileNotFoundError):
+        tables.find_first(spark, roots, "missing.tsv")
+    assert tuple(tables.read_tsv(spark, found, null_tokens=NULL_TOKENS).first()) == ("S1-1", None, "x", None)
+    sizes = tables.table_sizes(spark, {"one": roots[2], "two": roots[3]}).collect()
+    assert [(r["table"], r["files"]) for r in sizes] == [("one", 1), ("two", 1)]
+    log, schema = f"file://{tmp_path}/log", "run int, f double"
+    for i in range(3):
+        tables.append_log(spark.createDataFrame([(i, 0.5)], schema), log)
+    assert sorted(map(tuple, tables.read_log(spark, log, schema).collect())) == [(0, 0.5), (1, 0.5), (2, 0.5)]
+    assert sum(f.read_text().count("run") for f in (tmp_path / "log").glob("part-*")) == 1
+    lines = [r["line"] for r in tables.markdown(spark.createDataFrame([(1, None), (2, "b")], "n int, c string"), "t").orderBy("place").collect()]
+    assert lines == ["### t", "| n | c |", "|-|-|", "| 1 |  |", "| 2 | b |"]
+
+
+def test_scores_of_one_source(spark):
+    spine = spark.createDataFrame([(x,) for x in "abc"], "s1_id string")
+    truth = spark.createDataFrame([("a", "S2-1"), ("a", "S3-1"), ("b", "S3-2")], "s1_id string, cand_id string")
+    guess = spark.createDataFrame([("a", "S2-1"), ("c", "S2-9"), ("b", "S3-2"), ("b", "S3-3")], "s1_id string, cand_id string")
+    rows = {r["source"]: (r["n"], r["macro_p"], r["macro_r"]) for r in evaluation.source_scores(spine, truth, guess).collect()}
+    assert rows == {"S2": (2, 0.5, 1.0), "S3": (2, 0.25, 0.5)}
+    assert evaluation.entity_scores(spine, truth, guess, beta=1.0).where("s1_id = 'a'").first()["f"] == pytest.approx(2 / 3)
+
+
 def test_entity_scores(spark):
     spine = spark.createDataFrame([(x, "US") for x in "abcd"], "s1_id string, country string")
     truth = spark.createDataFrame([("a", "S2-00047"), ("a", "S3-00812"), ("d", "S2-1")], "s1_id string, cand_id string")
@@ -177,7 +267,8 @@ def test_audit(spark):
     profile = {r["column"]: r for r in audit.table_profile(audit.null_tokens(rows)).collect()}
     assert profile["v"]["n_null"] == 2 and profile["id"]["n_distinct"] == 2
     pairs = spark.createDataFrame([("S1-1", "S2-1", "Bay Creative Stone LLC", "Bay Creative Sthoen LLC", "a street", "a street")], "s1_id string, cand_id string, left_name string, right_name string, left_addr string, right_addr string")
-    assert "typo" in {r["pattern"] for r in audit.noise_patterns(pairs).collect()}
+    common = spark.createDataFrame([("bay creative sthoen llc",)], "ambiguous_name string")
+    assert {r["pattern"]: r["examples"] for r in audit.noise_patterns(pairs, common).collect()} == {"typo": "S1-1>S2-1", "ambiguous": "S1-1>S2-1"}
 
 
 def test_miss_categories(spark):
@@ -227,9 +318,8 @@ def test_pairs_of_all_strategies_equal_brute_force(spark):
     for r in sides[0]:
         for cand in found.get((r["strategy"], r["country"], r["key"]), ()):
             votes.setdefault((r["entity_id"], cand), set()).add(r["strategy"])
-    got = {(r["s1_id"], r["cand_id"]): r for r in catalogue.candidate_votes_all(spark, SMALLEST).collect()}
+    got = {(r["s1_id"], r["cand_id"]): r for r in catalogue.candidate_votes(spark, SMALLEST).collect()}
     assert {k: (r["votes"], r["strategies"]) for k, r in got.items()} == {k: (len(v), ",".join(sorted(v))) for k, v in votes.items()}
-    assert any(not v & set(catalogue.PLAIN) for v in votes.values())
     best = {}
     for (s1, cand), v in votes.items():
         best.setdefault(s1, []).append((-len(v), cand))
@@ -237,9 +327,9 @@ def test_pairs_of_all_strategies_equal_brute_force(spark):
     assert {(r["s1_id"], r["cand_id"]) for r in catalogue.pair_features_native(spark, SMALLEST).select("s1_id", "cand_id").collect()} == want
 
 
-def test_queries_with_sql_have_no_posting_cap(spark):
+def test_queries_have_no_posting_cap(spark):
     others = spark.range(15_001).selectExpr("concat('S2-', id) entity_id", "'S2' source", "'en' country", "'same name here' business_name", "'' business_address")
     rows = others.unionByName(spark.createDataFrame([("S1-0", "S1", "en", "same name here", "")], others.schema))
-    left, right = (records.name_fields(x) for x in catalogue.sides(rows))
-    assert resolve.blocked(left, right, catalogue.PLAIN[:1]).count() == 15_000
-    assert catalogue._plain_pairs(rows).where("strategy = 'B01_exact_name'").count() == 15_001
+    left, right = (records.records(x) for x in sides(rows))
+    assert resolve.blocked(left, right, ["B01_exact_name"]).count() == 15_000
+    assert catalogue._pairs(rows).where("strategy = 'B01_exact_name'").count() == 15_001
