@@ -110,7 +110,9 @@ def format_conversations(turns: DataFrame, learn_role: str = "assistant", vocabu
     Rows of ``turns`` (conv_id, turn, role, text) are ordered by turn, then role and text, so ties have one
     order; null texts and roles are empty; rows with a null conv_id make one conversation. A conversation is
     one row, but a very long one has a row for each block of turns of about BLOCK_CHARS characters, so that
-    memory is bounded by that and the longest turn. Parts of a conversation are consecutive. One shuffle by conv_id.
+    memory is bounded by that and the longest turn, also where one conv_id has a large part of all rows. Every character
+    is encoded once: markers are tokens of their own, so ids and mask of the parts are those of one encoding of the whole
+    (tested). Parts of a conversation are consecutive. One shuffle by conv_id.
     """
     small_batches(turns.sparkSession)
     text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))

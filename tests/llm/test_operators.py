@@ -686,6 +686,22 @@ def test_long_conversation_is_formatted_in_parts(spark):
     assert r["n_turns"] == 400 and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_parts_are_encoded_like_the_whole():
+    """A marker is a token of its own, so a conversation that is encoded in parts gets the ids and mask of one encoding."""
+    rng, chat = random.Random(16), chat_format.encoder()
+    for _ in range(60):
+        turns = [(rng.choice(["user", "assistant", ""]), "".join(rng.choice(["a", " b", "\n", "é", "🙂", "word ", "<|end|>", " "]) for _ in range(rng.randint(0, 12)))) for _ in range(rng.randint(2, 8))]
+
+        def encoded(some):
+            text, spans = chat_format.render(some)
+            ids, offsets = chat.encode(text)
+            return ids.tolist(), chat_format.token_mask(offsets, [x[:2] for x in spans if x[2] == "assistant"]).tolist()
+
+        cut = rng.randint(1, len(turns) - 1)
+        (ids, mask), (a, b), (c, d) = encoded(turns), encoded(turns[:cut]), encoded(turns[cut:])
+        assert ids == a + c and mask == b + d
+
+
 def test_mask_equals_plain_intersection():
     rng = random.Random(9)
     for _ in range(200):
