@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last
 return the columns of documents.
+
+Null, empty and very short texts fail the quality rules, so no later stage sees them; a null id, language or source is
+carried along. Of repeated rows and of near copies one stays, that of the least id (a null id comes last). Extra columns
+are carried whatever their names. An empty table goes through as an empty table.
 """
 
 from __future__ import annotations
