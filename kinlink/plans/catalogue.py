@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import audit, blocking, candidates, evaluation, features, model, records, sampling, validation
 from ..sources import tables
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 from . import resolve
 from . import linkage_sql as L
 from .entities import ENTITIES, entities, sides, true_links
@@ -680,19 +680,104 @@ def domain_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", T.domain(F.col("url")).alias("domain"))
 
 
-#: Outputs with one error of each kind, for the validator.
-BROKEN = ["source1_entity_id\tmatched_entity_ids", "S1-1\tS2-1,S3-1", "S1-1\tS2-2", "S1-2\tS2-3,S2-3", "S1-3\tS1-4", "S1-5\tX9", "no tab here", "S1-9\t"]
+def _dice_sql(a: str, b: str) -> str:
+    x, y = L.grams(a, 2), L.grams(b, 2)
+    dice = f"2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y}))"
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN CAST(least(length({a}), length({b})) AS DOUBLE) / greatest(length({a}), length({b})) ELSE {dice} END"
 
 
-@query("output_findings", """SELECT * FROM (VALUES ('malformed_row', 'error', 1, 'no tab here'), ('repeated_entity', 'error', 1, 'S1-1'), ('repeated_id', 'error', 1, 'S1-2>S2-3'), ('self_match', 'error', 1, 'S1-3>S1-4'),
-  ('bad_prefix', 'error', 1, 'S1-5>X9'), ('missing_entity', 'error', 1, 'S1-4'), ('extra_entity', 'error', 1, 'S1-9'), ('unknown_id', 'error', 1, 'S1-1>S3-1'), ('not_a_candidate', 'warning', 5, 'S1-1>S2-2|S1-1>S3-1|S1-2>S2-3|S1-3>S1-4|S1-5>X9')) x(rule, severity, n, examples)""")
+_MEASURES_SQL = ", ".join(f"round({x}, 6) AS {k}" for k, x in (("dice", _dice_sql("a", "b")), ("jaccard", L.ratio("wa", "wb", "jaccard")), ("containment", L.ratio("wa", "wb", "containment")), ("cosine", L.ratio(L.grams("a", 3), L.grams("b", 3), "cosine"))))
+
+
+@query(
+    "name_similarity",
+    f"""{_E}, p AS (SELECT s1_id, cand_id, {_CLEAN.format(x="lower(coalesce(l.business_name, ''))")} AS a, {_CLEAN.format(x="lower(coalesce(r.business_name, ''))")} AS b FROM truth JOIN e l ON l.entity_id = s1_id JOIN e r ON r.entity_id = cand_id),
+q AS (SELECT *, list_distinct({L.WORDS.format(x="a")}) AS wa, list_distinct({L.WORDS.format(x="b")}) AS wb FROM p)
+SELECT s1_id, cand_id, {_MEASURES_SQL}, CAST(coalesce(list_sum(list_transform(list_distinct(list_concat({_CHARS.format("a")}, {_CHARS.format("b")})), lambda c: abs(length(a) - length(replace(a, c, '')) - length(b) + length(replace(b, c, ''))))), 0) AS BIGINT) AS changed FROM q""",
+)
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram Dice, Jaccard and containment of words, cosine of trigrams, and differing characters of true pairs' names."""
+    rows = _true_pairs(entities(spark, sf_dir)).select("s1_id", "cand_id", T.clean(F.col("left_name")).alias("a"), T.clean(F.col("right_name")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    wa, wb = (F.array_distinct(T.words(x)) for x in (a, b))
+    measures = {"dice": T.bigram_dice(a, b), "jaccard": T.set_ratio(wa, wb, "jaccard"), "containment": T.set_ratio(wa, wb, "containment"), "cosine": T.set_ratio(T.ngrams(a, 3), T.ngrams(b, 3), "cosine")}
+    return rows.select("s1_id", "cand_id", *[F.round(v, 6).alias(k) for k, v in measures.items()], audit.character_difference(a, b).cast("long").alias("changed"))
+
+
+@query("best_policy", SQL["policy_grid"] + " ORDER BY macro_f DESC, config LIMIT 1")
+def best_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy of the grid with the largest mean score (a report of one row)."""
+    return evaluation.best_policy(policy_grid(spark, sf_dir))
+
+
+_NULLS = "(" + ", ".join(f"'{x}'" for x in V.NULL_TOKENS) + ")"
+
+
+@query("tsv_round_trip", f"{_E} SELECT entity_id, " + ", ".join(f"CASE WHEN {c} NOT IN {_NULLS} THEN {c} END AS {c}" for c in ("business_name", "business_address", "country")) + " FROM (SELECT entity_id, CASE WHEN g % 11 = 2 THEN 'NULL' ELSE business_name END AS business_name, business_address, CASE WHEN g % 11 = 4 THEN 'nan' ELSE country END AS country FROM e)")
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as a tab-separated table and read again, with strings that stand for null."""
+    rows = entities(spark, sf_dir).withColumns({"business_name": F.when(F.col("g") % 11 == 2, "NULL").otherwise(F.col("business_name")), "country": F.when(F.col("g") % 11 == 4, "nan").otherwise(F.col("country"))})
+    path = shared_dir(spark)
+    rows.select("entity_id", "business_name", "business_address", "country").write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return tables.read_tsv(spark, path, null_tokens=V.NULL_TOKENS)
+
+
+@query("output_round_trip", f"{_E} SELECT s1_id, cand_id FROM spine LEFT JOIN truth USING (s1_id)")
+def output_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links written as the output table and read again, entities without links included."""
+    rows, path = entities(spark, sf_dir), shared_dir(spark)
+    tables.write_outputs(_spine(rows), true_links(rows), true_links(rows), path)
+    spine, links = tables.read_truth(spark, f"{path}/matches")
+    return spine.join(links, "s1_id", "left")
+
+
+@query("json_round_trip", SQL["source_audit"])
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as JSON and read again."""
+    path = shared_dir(spark)
+    tables.write_json(source_audit(spark, sf_dir), path)
+    return spark.read.schema("column string, n_rows long, n_null long, n_distinct long, null_pct double").json(path)
+
+
+@query("log_round_trip", f"SELECT run, \"column\", n_rows FROM ({SQL['source_audit']}) CROSS JOIN (SELECT CAST(unnest([1, 2]) AS INTEGER) AS run)")
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report appended to a log twice."""
+    path = shared_dir(spark)
+    for run in (1, 2):
+        tables.append_log(source_audit(spark, sf_dir).select(F.lit(run).alias("run"), "column", "n_rows"), path)
+    return tables.read_log(spark, path, "run int, column string, n_rows long")
+
+
+#: Common table expressions: the lines of an output with planted errors of each kind.
+_LINES_SQL = f"""{_E}, made AS (SELECT s1_id, CAST(substr(s1_id, 4) AS BIGINT) // 4 % 20 AS k, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS ids FROM spine LEFT JOIN truth USING (s1_id) GROUP BY s1_id),
+lines AS (SELECT 'source1_entity_id' || chr(9) || 'matched_entity_ids' AS value UNION ALL SELECT 'S1-x' || chr(9) UNION ALL SELECT CASE k WHEN 1 THEN s1_id || ' ' || ids WHEN 3 THEN s1_id || chr(9) || 'X9' WHEN 9 THEN s1_id || chr(9) || s1_id WHEN 11 THEN s1_id || chr(9) || 'S2-1,S2-1'
+  WHEN 13 THEN s1_id || chr(9) || 'S2-none' ELSE s1_id || chr(9) || ids END FROM made WHERE k <> 7 UNION ALL SELECT s1_id || chr(9) || ids FROM made WHERE k = 5)"""
+
+
+@query(
+    "output_findings",
+    f"""{_LINES_SQL}, rows_ AS (SELECT value, CASE WHEN contains(value, chr(9)) THEN string_split(value, chr(9))[1] ELSE value END AS s1_id, CASE WHEN contains(value, chr(9)) THEN string_split(value, chr(9))[2] END AS joined FROM lines WHERE value NOT LIKE 'source1%'),
+good AS (SELECT * FROM rows_ WHERE joined IS NOT NULL), ids AS (SELECT s1_id, unnest(string_split(joined, ',')) AS cand_id FROM good WHERE joined <> ''),
+found AS (SELECT DISTINCT 'malformed_row' AS rule, value AS x FROM rows_ WHERE joined IS NULL UNION SELECT 'repeated_entity', s1_id FROM good GROUP BY s1_id HAVING count(*) > 1
+  UNION SELECT 'repeated_id', s1_id || '>' || cand_id FROM ids GROUP BY s1_id, cand_id HAVING count(*) > 1 UNION SELECT 'self_match', s1_id || '>' || cand_id FROM ids WHERE cand_id LIKE 'S1-%'
+  UNION SELECT 'bad_prefix', s1_id || '>' || cand_id FROM ids WHERE cand_id NOT LIKE 'S_-%' UNION SELECT 'missing_entity', s1_id FROM spine WHERE s1_id NOT IN (SELECT s1_id FROM good) UNION SELECT 'extra_entity', s1_id FROM good WHERE s1_id NOT IN (SELECT s1_id FROM spine)
+  UNION SELECT 'unknown_id', s1_id || '>' || cand_id FROM ids WHERE cand_id LIKE 'S_-%' AND cand_id NOT LIKE 'S1-%' AND cand_id NOT IN (SELECT entity_id FROM e)
+  UNION SELECT 'not_a_candidate', i.s1_id || '>' || i.cand_id FROM ids i LEFT JOIN truth t ON t.s1_id = i.s1_id AND t.cand_id = i.cand_id WHERE t.s1_id IS NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY x) AS r FROM found)
+SELECT rule, CASE WHEN rule = 'not_a_candidate' THEN 'warning' ELSE 'error' END AS severity, CAST(count(*) AS INTEGER) AS n, string_agg(x, '|' ORDER BY x) FILTER (r <= 5) AS examples FROM o GROUP BY rule""",
+)
 def output_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(x,) for x in BROKEN], "value string")
-    rows = validation.parse_lines(lines, ("source1_entity_id", "matched_entity_ids"))
-    required = spark.createDataFrame([(f"S1-{i}",) for i in range(1, 6)], "s1_id string")
-    known = spark.createDataFrame([("S2-1",), ("S2-2",), ("S2-3",)], "cand_id string")
-    superset = spark.createDataFrame([("S1-1", "S2-1")], "s1_id string, cand_id string")
-    return validation.validate(rows, required, known, superset).select("rule", "severity", F.col("n").cast("int").alias("n"), F.array_join("examples", "|").alias("examples"))
+    """Findings on an output of all entities in which lines of some are broken, one way for each rule."""
+    rows = entities(spark, sf_dir)
+    spine, truth = _spine(rows).select("s1_id"), true_links(rows)
+    made = tables.joined_links(spine, truth).withColumn("k", F.floor(F.substring("s1_id", 4, 20).cast("long") / 4) % 20)
+    cell = F.when(F.col("k") == 3, "X9").when(F.col("k") == 9, F.col("s1_id")).when(F.col("k") == 11, "S2-1,S2-1").when(F.col("k") == 13, "S2-none").otherwise(F.col("ids"))
+    body = made.where("k <> 7").select(F.when(F.col("k") == 1, F.concat_ws(" ", "s1_id", "ids")).otherwise(F.concat_ws("\t", "s1_id", cell)).alias("value"))
+    twice = made.where("k = 5").select(F.concat_ws("\t", "s1_id", "ids").alias("value"))
+    extra = spark.createDataFrame([("source1_entity_id\tmatched_entity_ids",), ("S1-x\t",)], "value string")
+    parsed = validation.parse_lines(body.unionByName(twice).unionByName(extra), ("source1_entity_id", "matched_entity_ids"))
+    known = sides(rows)[1].select(F.col("entity_id").alias("cand_id"))
+    return validation.validate(parsed, spine, known, truth).select("rule", "severity", F.col("n").cast("int").alias("n"), F.array_join("examples", "|").alias("examples"))
 
 
 @query("joined_output", f"{_E} SELECT spine.s1_id, coalesce((SELECT array_to_string(list_sort(list(DISTINCT cand_id)), ',') FROM truth t WHERE t.s1_id = spine.s1_id), '') AS ids FROM spine")

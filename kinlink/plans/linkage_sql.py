@@ -20,7 +20,7 @@ def _map(pairs: dict[str, str]) -> str:
 _LEGAL, _STOP, _ABBR = _list(V.LEGAL_FORMS), _list(V.STOPWORDS), _map(V.ABBREVIATIONS)
 FORMS = "|".join(sorted(V.LEGAL_FORMS, key=len, reverse=True))
 CLEAN = r"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
-_WORDS = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
+WORDS = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _BARE = f"list_filter({{x}}, lambda w: NOT list_contains({_LEGAL}, upper(w)))"
 _DIST = f"list_filter({{x}}, lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w))"
 _DISTINCT_RUN = "array_to_string(list_transform(list_filter(range(1, length({x}) + 1), lambda i: i = 1 OR substr({x}, i, 1) <> substr({x}, i - 1, 1)), lambda i: substr({x}, i, 1)), '')"
@@ -28,7 +28,7 @@ _SORTED = "list_sort(list_distinct({x}))"
 _SHORT_FIRST = "list_transform(list_sort(list_transform({x}, lambda v: {{'n': length(v), 'v': v}})), lambda s: s.v)"
 
 
-def _grams(x: str, n: int) -> str:
+def grams(x: str, n: int) -> str:
     return f"list_sort(list_distinct(CASE WHEN {x} = '' THEN []::VARCHAR[] WHEN length({x}) < {n} THEN [{x}] ELSE list_transform(range(1, length({x}) - {n - 2}), lambda i: substr({x}, i, {n})) END))"
 
 
@@ -47,7 +47,7 @@ n1 AS (SELECT entity_id, source, coalesce(country, 'UNKNOWN') AS country, coales
 n2 AS (SELECT *, strip_accents(lower(name_raw)) AS name_ascii, trim(regexp_replace(name_raw, '(?i){_HONORIFIC}', '')) AS stripped, lower(name_raw) AS low FROM n1),
 n3 AS (SELECT *, {CLEAN.format(x="name_ascii")} AS name_alnum, CASE WHEN stripped <> '' AND lower(stripped) <> low THEN stripped END AS name_no_honorific,
     trim(regexp_replace(trim(regexp_replace(low, '[\s\-]+[0-9]{{7,12}}\b', '', 'g')), '^(?:m/s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s\.]*', '')) AS site FROM n2),
-n4 AS (SELECT *, {_WORDS.format(x="name_alnum")} AS name_tokens, {_WORDS.format(x=CLEAN.format(x="strip_accents(lower(coalesce(name_no_honorific, '')))"))} AS honorific_words,
+n4 AS (SELECT *, {WORDS.format(x="name_alnum")} AS name_tokens, {WORDS.format(x=CLEAN.format(x="strip_accents(lower(coalesce(name_no_honorific, '')))"))} AS honorific_words,
     replace(CASE WHEN regexp_matches(site, '{V.DOMAIN_WHOLE}') THEN regexp_extract(site, '{V.DOMAIN_WHOLE}', 1) ELSE regexp_extract(site, '{V.DOMAIN_INSIDE}', 1) END, '-', '') AS body FROM n3),
 n5 AS (SELECT *, {_BARE.format(x="name_tokens")} AS bare, {_DIST.format(x=_BARE.format(x="honorific_words"))} AS honorific_distinctive, CASE WHEN length(body) >= 3 THEN body END AS domain_clean FROM n4),
 n6 AS (SELECT *, {_DIST.format(x="bare")} AS distinctive FROM n5),
@@ -64,7 +64,7 @@ latin AS (SELECT entity_id, i, CASE
     WHEN ord(c) BETWEEN 2406 AND 2415 THEN CAST(ord(c) - 2406 AS VARCHAR)
     ELSE c END AS l FROM context),
 translit AS (SELECT entity_id, trim(regexp_replace(string_agg(l, '' ORDER BY i), '\s+', ' ', 'g')) AS name_transliterated FROM latin GROUP BY entity_id),
-n7 AS (SELECT n6.*, coalesce(t.name_transliterated, '') AS name_transliterated, {_DIST.format(x=_BARE.format(x=_WORDS.format(x=CLEAN.format(x="lower(coalesce(t.name_transliterated, ''))"))))} AS translit_distinctive FROM n6 LEFT JOIN translit t USING (entity_id)),
+n7 AS (SELECT n6.*, coalesce(t.name_transliterated, '') AS name_transliterated, {_DIST.format(x=_BARE.format(x=WORDS.format(x=CLEAN.format(x="lower(coalesce(t.name_transliterated, ''))"))))} AS translit_distinctive FROM n6 LEFT JOIN translit t USING (entity_id)),
 terms AS (SELECT entity_id, 'n' AS kind, unnest(distinctive) AS tok, generate_subscripts(distinctive, 1) AS pos FROM n7 UNION ALL SELECT entity_id, 't', unnest(translit_distinctive), generate_subscripts(translit_distinctive, 1) FROM n7),
 sound1 AS (SELECT *, {_digraphs("tok")} AS s, translate(upper(tok), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077') AS d FROM terms WHERE kind = 't' OR length(tok) >= 3),
 sound2 AS (SELECT *, substr(s, 1, 1) || regexp_replace(substr(s, 2), '[aeiouy]', '', 'g') AS s2, replace(substr(d, 1, 1), '7', '0') || replace(substr(d, 2), '7', '') AS d2 FROM sound1),
@@ -75,7 +75,7 @@ nf AS (SELECT n7.entity_id, source, country, name_raw, addr_raw, name_alnum, nam
     array_to_string(list_sort(bare), ' ') AS name_no_suffix_sorted, array_to_string(list_transform(name_tokens, lambda w: substr(w, 1, 1)), '') AS name_initials, distinctive, honorific_distinctive, name_no_honorific,
     domain_clean, name_transliterated, translit_distinctive, coalesce(phonetic, []) AS phonetic, coalesce(translit_phonetic, []) AS translit_phonetic, coalesce(soundex_tokens, []) AS soundex_tokens,
     regexp_extract_all(upper(name_ascii), '\b(?:{FORMS})\b') AS legal_suffixes, array_to_string(list_transform(name_tokens, lambda w: lower(coalesce({_ABBR}[upper(w)], w))), ' ') AS name_abbrev_expanded,
-    CASE WHEN len(distinctive) >= 2 THEN array_to_string(distinctive, '') ELSE '' END AS name_concat_distinctive, {_grams("name_alnum", 3)} AS name_c3, {_grams("name_alnum", 4)} AS name_c4, {_grams("name_alnum", 5)} AS name_c5
+    CASE WHEN len(distinctive) >= 2 THEN array_to_string(distinctive, '') ELSE '' END AS name_concat_distinctive, {grams("name_alnum", 3)} AS name_c3, {grams("name_alnum", 4)} AS name_c4, {grams("name_alnum", 5)} AS name_c5
     FROM n7 LEFT JOIN sounds USING (entity_id))"""
 
 _SLASH = r"(?:\b|[a-z])(\d+(?:[/-]\d+)+)\b"
@@ -88,7 +88,7 @@ a2 AS (SELECT *, {CLEAN.format(x=f"lower(array_to_string(list_transform(spoken,
     list_transform(regexp_extract_all(low, '{_SLASH}', 1), lambda v: string_split(replace(v, '-', '/'), '/')) AS parts,
     list_filter(list_zip(regexp_extract_all(low, '{_LETTER}', 1), regexp_extract_all(low, '{_LETTER}', 2)), lambda z: NOT list_contains({_IN}, z[1])) AS pairs,
     list_filter(list_zip(regexp_extract_all(low, '{V.HOUSE_WORDS}', 1), regexp_extract_all(low, '{V.HOUSE_WORDS}', 2)), lambda z: length(regexp_replace(z[2], '[^a-z0-9]', '', 'g')) BETWEEN 1 AND 10) AS said FROM a1),
-a3 AS (SELECT *, {_WORDS.format(x="addr_alnum")} AS addr_tokens, list_concat(list_concat(regexp_extract_all(low, '\b\d+\b'), regexp_extract_all(low, '([a-z/#\-]+)(\d+)', 2)), flatten(parts)) AS plain,
+a3 AS (SELECT *, {WORDS.format(x="addr_alnum")} AS addr_tokens, list_concat(list_concat(regexp_extract_all(low, '\b\d+\b'), regexp_extract_all(low, '([a-z/#\-]+)(\d+)', 2)), flatten(parts)) AS plain,
     {_SORTED.format(x="list_concat(list_transform(parts, lambda p: array_to_string(p, '_')), list_transform(parts, lambda p: array_to_string(p, '')))")} AS slash_compounds,
     list_transform(said, lambda z: regexp_replace(z[2], '[^a-z0-9]', '', 'g')) AS values_said FROM a2),
 a4 AS (SELECT *, {_SORTED.format(x="list_concat(list_transform(pairs, lambda z: z[1] || z[2]), list_concat(values_said, list_transform(list_zip(said, values_said), lambda z: z[1][1] || '_' || z[2])))")} AS house_tokens,
@@ -98,7 +98,7 @@ af AS (SELECT entity_id, addr_alnum, addr_tokens, array_to_string(list_sort(addr
     CASE WHEN regexp_matches(addr_tokens[1], '^\d+[a-z]?$') THEN addr_tokens[1] ELSE list_filter(addr_tokens[1:4], lambda w: regexp_matches(w, '^\d+$'))[1] END AS house_number,
     list_filter(addr_tokens, lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^\d+$') AND NOT list_contains({_STOP}, w)) AS addr_distinctive,
     nullif(array_to_string(numeric_atoms[1:4], '_'), '') AS sorted_numeric_sig, coalesce(slash_compounds[1], house_tokens[1], numeric_atoms[1]) AS house_signature,
-    {_grams("addr_alnum", 3)} AS addr_c3, {_grams("addr_alnum", 4)} AS addr_c4, {_grams("addr_alnum", 5)} AS addr_c5 FROM a4)"""
+    {grams("addr_alnum", 3)} AS addr_c3, {grams("addr_alnum", 4)} AS addr_c4, {grams("addr_alnum", 5)} AS addr_c5 FROM a4)"""
 
 
 def _ordered(a: str, b: str) -> str:
