@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,8 +92,9 @@ def detect_script(c: Column | str) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity: 1 for equal texts, also empty ones; 0 if only one is empty."""
+    """Ratcliff-Obershelp similarity: 1 for equal texts, also empty ones; 0 if only one is empty. Equal pairs of a batch are compared once."""
 
+    @lru_cache(maxsize=None)
     def ratio(x: str, y: str) -> float:
         if x == y:
             return 1.0

@@ -775,7 +775,7 @@ def output_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = made.where("k <> 7").select(F.when(F.col("k") == 1, F.concat_ws(" ", "s1_id", "ids")).otherwise(F.concat_ws("\t", "s1_id", cell)).alias("value"))
     twice = made.where("k = 5").select(F.concat_ws("\t", "s1_id", "ids").alias("value"))
     extra = spark.createDataFrame([("source1_entity_id\tmatched_entity_ids",), ("S1-x\t",)], "value string")
-    parsed = validation.parse_lines(body.unionByName(twice).unionByName(extra), ("source1_entity_id", "matched_entity_ids"))
+    parsed = written(validation.parse_lines(body.unionByName(twice).unionByName(extra), ("source1_entity_id", "matched_entity_ids")))  # read once a rule
     known = sides(rows)[1].select(F.col("entity_id").alias("cand_id"))
     return validation.validate(parsed, spine, known, truth).select("rule", "severity", F.col("n").cast("int").alias("n"), F.array_join("examples", "|").alias("examples"))
 

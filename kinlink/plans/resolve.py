@@ -24,7 +24,8 @@ def resolve_exact(left: DataFrame, others: list[DataFrame], cap: int = 10, keep:
 
     def cleaned(rows: DataFrame, as_: str) -> DataFrame:
         name = T.without_legal_forms(T.clean(F.col("business_name")))
-        return rows.select(F.col("entity_id").alias(as_), "country", name.alias("name")).where(F.length("name") >= least)
+        made = rows.select(F.col("entity_id").alias(as_), "country", name.alias("name")).where(F.length("name") >= least)
+        return written(made)  # counted and then joined: names are cleaned once
 
     counted = lambda rows, n: rows.groupBy(*key).agg(F.count("*").alias(n))
     ours = cleaned(left, "s1_id")
