@@ -33,7 +33,7 @@ SMALL = 32
 #: Neighbours on either side that a node of a larger bucket is paired with, in each of its buckets.
 NEIGHBOURS = 6
 #: Nodes of either side of a block in which the open pairs of the larger buckets are compared.
-BLOCK = 2048
+BLOCK = 512
 #: Rows of a bucket that meet the bucket's own row in one task.
 SPREAD = 1024
 #: Stands for a null id, so that ids can be compared and shuffled as plain numbers.
