@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import ABBREVIATIONS, DIGRAPHS, DOMAIN_INSIDE, DOMAIN_PHONE, DOMAIN_TITLE, DOMAIN_WHOLE, HONORIFICS, HOUSE_LETTER, HOUSE_WORDS, LEGAL_FORMS, NO_HOUSE_PREFIX, NUMBER_AFTER, OTHER_POSTAL_CODE, POSTAL_CODES, SHORT_LEGAL_FORMS, STOPWORDS
+from .vocabulary import ABBREVIATIONS, DIGRAPHS, DOMAIN_INSIDE, DOMAIN_PHONE, DOMAIN_TITLE, DOMAIN_WHOLE, HONORIFICS, HOUSE_LETTER, HOUSE_WORDS, LEGAL_FORMS, NO_HOUSE_PREFIX, NUMBER_AFTER, OTHER_POSTAL_CODE, POSTAL_CODES, SHORT_LEGAL_FORMS, SLASH_NUMBERS, STOPWORDS
 
 #: A place where a word of digits begins or ends, also next to marks of Brahmic scripts.
 _EDGE, _EDGE_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -136,7 +136,7 @@ def _with_stripped(numbers: Column) -> Column:
 
 def slash_parts(c: Column) -> Column:
     """Numbers joined by slashes or hyphens, as arrays of their parts."""
-    found = F.regexp_extract_all(c, F.lit(rf"(?:{_EDGE}|[a-z])(\d+(?:[/-]\d+)+){_EDGE_END}"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(rf"(?:{_EDGE}|[a-z])({SLASH_NUMBERS}){_EDGE_END}"), F.lit(1))
     return F.transform(found, lambda x: F.split(x, "[/-]"))
 
 

@@ -75,6 +75,7 @@ DOMAIN_PHONE = r"[\s\-]+[0-9]{7,12}\b"
 DOMAIN_TITLE = r"^(?:m/s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s\.]*"
 POSTAL_CODES = {"India": "[1-9][0-9]{5}", "US": "[0-9]{5}", "France": "[0-9]{5}"}
 OTHER_POSTAL_CODE = "[0-9]{5,6}"
+SLASH_NUMBERS = r"\d+(?:[/-]\d+)+"
 HOUSE_LETTER = r"#?([a-z]{1,2})[\s\-]?(\d{1,5})\b"
 NUMBER_AFTER = r"([a-z/#\-]+)(\d+)"
 

@@ -46,7 +46,7 @@ NAMES = rf"""
 n1 AS (SELECT entity_id, source, coalesce(country, 'UNKNOWN') AS country, coalesce(trim(business_name), '') AS name_raw, coalesce(trim(business_address), '') AS addr_raw FROM e),
 n2 AS (SELECT *, strip_accents(lower(name_raw)) AS name_ascii, trim(regexp_replace(name_raw, '(?i){_HONORIFIC}', '')) AS stripped, lower(name_raw) AS low FROM n1),
 n3 AS (SELECT *, {CLEAN.format(x="name_ascii")} AS name_alnum, CASE WHEN stripped <> '' AND lower(stripped) <> low THEN stripped END AS name_no_honorific,
-    trim(regexp_replace(trim(regexp_replace(low, '[\s\-]+[0-9]{{7,12}}\b', '', 'g')), '^(?:m/s|ms|mrs|mr|smt|sri|shri|dr|the)\b[\s\.]*', '')) AS site FROM n2),
+    trim(regexp_replace(trim(regexp_replace(low, '{V.DOMAIN_PHONE}', '', 'g')), '{V.DOMAIN_TITLE}', '')) AS site FROM n2),
 n4 AS (SELECT *, {WORDS.format(x="name_alnum")} AS name_tokens, {WORDS.format(x=CLEAN.format(x="strip_accents(lower(coalesce(name_no_honorific, '')))"))} AS honorific_words,
     replace(CASE WHEN regexp_matches(site, '{V.DOMAIN_WHOLE}') THEN regexp_extract(site, '{V.DOMAIN_WHOLE}', 1) ELSE regexp_extract(site, '{V.DOMAIN_INSIDE}', 1) END, '-', '') AS body FROM n3),
 n5 AS (SELECT *, {_BARE.format(x="name_tokens")} AS bare, {_DIST.format(x=_BARE.format(x="honorific_words"))} AS honorific_distinctive, CASE WHEN length(body) >= 3 THEN body END AS domain_clean FROM n4),
@@ -78,23 +78,22 @@ nf AS (SELECT n7.entity_id, source, country, name_raw, addr_raw, name_alnum, nam
     CASE WHEN len(distinctive) >= 2 THEN array_to_string(distinctive, '') ELSE '' END AS name_concat_distinctive, {grams("name_alnum", 3)} AS name_c3, {grams("name_alnum", 4)} AS name_c4, {grams("name_alnum", 5)} AS name_c5
     FROM n7 LEFT JOIN sounds USING (entity_id))"""
 
-_SLASH = r"(?:\b|[a-z])(\d+(?:[/-]\d+)+)\b"
-_LETTER = r"#?([a-z]{1,2})[\s\-]?(\d{1,5})\b"
+_SLASH = rf"(?:\b|[a-z])({V.SLASH_NUMBERS})\b"
 
 #: Addresses: af has a row a record with all derived fields of the address.
 ADDRESSES = rf"""
 a1 AS (SELECT entity_id, country, addr_raw, lower(addr_raw) AS low, regexp_extract_all(upper(strip_accents(lower(addr_raw))), '[\p{{L}}\p{{N}}_]+') AS spoken FROM n1),
 a2 AS (SELECT *, {CLEAN.format(x=f"lower(array_to_string(list_transform(spoken, lambda w: coalesce({_ABBR}[w], w)), ' '))")} AS addr_alnum,
     list_transform(regexp_extract_all(low, '{_SLASH}', 1), lambda v: string_split(replace(v, '-', '/'), '/')) AS parts,
-    list_filter(list_zip(regexp_extract_all(low, '{_LETTER}', 1), regexp_extract_all(low, '{_LETTER}', 2)), lambda z: NOT list_contains({_IN}, z[1])) AS pairs,
+    list_filter(list_zip(regexp_extract_all(low, '{V.HOUSE_LETTER}', 1), regexp_extract_all(low, '{V.HOUSE_LETTER}', 2)), lambda z: NOT list_contains({_IN}, z[1])) AS pairs,
     list_filter(list_zip(regexp_extract_all(low, '{V.HOUSE_WORDS}', 1), regexp_extract_all(low, '{V.HOUSE_WORDS}', 2)), lambda z: length(regexp_replace(z[2], '[^a-z0-9]', '', 'g')) BETWEEN 1 AND 10) AS said FROM a1),
-a3 AS (SELECT *, {WORDS.format(x="addr_alnum")} AS addr_tokens, list_concat(list_concat(regexp_extract_all(low, '\b\d+\b'), regexp_extract_all(low, '([a-z/#\-]+)(\d+)', 2)), flatten(parts)) AS plain,
+a3 AS (SELECT *, {WORDS.format(x="addr_alnum")} AS addr_tokens, list_concat(list_concat(regexp_extract_all(low, '\b\d+\b'), regexp_extract_all(low, '{V.NUMBER_AFTER}', 2)), flatten(parts)) AS plain,
     {_SORTED.format(x="list_concat(list_transform(parts, lambda p: array_to_string(p, '_')), list_transform(parts, lambda p: array_to_string(p, '')))")} AS slash_compounds,
     list_transform(said, lambda z: regexp_replace(z[2], '[^a-z0-9]', '', 'g')) AS values_said FROM a2),
 a4 AS (SELECT *, {_SORTED.format(x="list_concat(list_transform(pairs, lambda z: z[1] || z[2]), list_concat(values_said, list_transform(list_zip(said, values_said), lambda z: z[1][1] || '_' || z[2])))")} AS house_tokens,
     {_SHORT_FIRST.format(x="list_distinct(list_filter(list_concat(list_concat(plain, list_transform(plain, lambda v: ltrim(v, '0'))), list_concat(list_transform(pairs, lambda z: z[2]), flatten(list_transform(said, lambda z: regexp_extract_all(z[2], '[0-9]+'))))), lambda v: v <> ''))")} AS numeric_atoms FROM a3),
 af AS (SELECT entity_id, addr_alnum, addr_tokens, array_to_string(list_sort(addr_tokens), ' ') AS addr_tokens_sorted, slash_compounds, house_tokens, numeric_atoms,
-    CASE WHEN country = 'India' THEN regexp_extract_all(addr_raw, '\b[1-9][0-9]{{5}}\b')[-1] WHEN country IN ('US', 'France') THEN regexp_extract_all(addr_raw, '\b[0-9]{{5}}\b')[-1] ELSE regexp_extract_all(addr_raw, '\b[0-9]{{5,6}}\b')[-1] END AS postal_code,
+    CASE {" ".join(f"WHEN country = '{k}' THEN regexp_extract_all(addr_raw, '{chr(92)}b{v}{chr(92)}b')[-1]" for k, v in V.POSTAL_CODES.items())} ELSE regexp_extract_all(addr_raw, '\b{V.OTHER_POSTAL_CODE}\b')[-1] END AS postal_code,
     CASE WHEN regexp_matches(addr_tokens[1], '^\d+[a-z]?$') THEN addr_tokens[1] ELSE list_filter(addr_tokens[1:4], lambda w: regexp_matches(w, '^\d+$'))[1] END AS house_number,
     list_filter(addr_tokens, lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^\d+$') AND NOT list_contains({_STOP}, w)) AS addr_distinctive,
     nullif(array_to_string(numeric_atoms[1:4], '_'), '') AS sorted_numeric_sig, coalesce(slash_compounds[1], house_tokens[1], numeric_atoms[1]) AS house_signature,
