@@ -1,6 +1,7 @@
 """Normalisation, blocking, features, evaluation and validation on hand-written rows."""
 
 import difflib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from kinlink.operators import audit, blocking, candidates, evaluation, features,
 from kinlink.plans import catalogue, resolve
 from kinlink.plans.entities import entities, sides, true_links
 from kinlink.sources import tables
+from kinlink.sources.shared import shared_dir
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -187,6 +189,16 @@ def test_files_logs_and_reports(spark, tmp_path):
     assert lines == ["### t", "| n | c |", "|-|-|", "| 1 |  |", "| 2 | b |"]
 
 
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Session:
+        conf = {}
+        sparkContext = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_scores_of_one_source(spark):
     spine = spark.createDataFrame([(x,) for x in "abc"], "s1_id string")
     truth = spark.createDataFrame([("a", "S2-1"), ("a", "S3-1"), ("b", "S3-2")], "s1_id string, cand_id string")
