@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, documents, small_batches, tokenizer_path
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_characters() -> list[str]:
