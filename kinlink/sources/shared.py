@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; only a session on one machine may lack that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext.getCheckpointDir()
+        root = found.rsplit("/", 1)[0] if found else None
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
