@@ -345,3 +345,21 @@ def test_queries_have_no_posting_cap(spark):
     left, right = (records.records(x) for x in sides(rows))
     assert resolve.blocked(left, right, ["B01_exact_name"]).count() == 15_000
     assert catalogue._pairs(rows).where("strategy = 'B01_exact_name'").count() == 15_001
+
+
+def test_votes_by_one_aggregation_equal_votes_of_pairs(spark):
+    left, right = (records.records(x) for x in sides(entities(spark, SMALLEST)))
+    rows = lambda df: sorted((r["s1_id"], r["cand_id"], r["votes"], tuple(r["strategies"])) for r in df.collect())
+    for chosen, cap in ((None, None), (["B06_prefix4_len", "B18_distinctive_token_pair", "SB06_pure_addr_distinctive_pair"], 2)):
+        got = resolve.voted(left, right, chosen, cap)
+        assert rows(got) == rows(candidates.votes(resolve.blocked(left, right, chosen, cap))) != []
+        assert dict(got.dtypes)["votes"] == "bigint"
+    with pytest.raises(ValueError):
+        candidates.counted(left, right, [f"s{i}" for i in range(64)])
+
+
+def test_votes_and_ranks_need_one_shuffle_after_the_join(spark):
+    """Ranks by s1_id follow from how the votes lie; sets of strategies aren't collected."""
+    keys = spark.createDataFrame([("B01_exact_name", "US", "a", "S1-1")], "strategy string, country string, key string, entity_id string")
+    plan = candidates.ranked(candidates.counted(keys, candidates.postings(keys, None), ["B01_exact_name"]), 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(s1_id") == 1 and "collect_set" not in plan
