@@ -363,3 +363,21 @@ def test_votes_and_ranks_need_one_shuffle_after_the_join(spark):
     keys = spark.createDataFrame([("B01_exact_name", "US", "a", "S1-1")], "strategy string, country string, key string, entity_id string")
     plan = candidates.ranked(candidates.counted(keys, candidates.postings(keys, None), ["B01_exact_name"]), 40)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(s1_id") == 1 and "collect_set" not in plan
+
+
+def test_ngrams_work_their_text_out_once(spark):
+    """The text was squeezed again for every n-gram, as lambdas have no common parts."""
+    made = spark.createDataFrame([(" ab  cd ",)], "x string").select(T.ngrams(F.col("x"), 3).alias("y"))
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    assert made.first()["y"] == sorted(["ab ", "b c", " cd"])
+
+
+def test_records_of_one_file_are_made_on_all_cores(spark):
+    assert entities(spark, SMALLEST).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_written_records_have_the_fields_asked_for(spark):
+    left, right = catalogue._records(entities(spark, SMALLEST), blocking.FIELDS)
+    assert set(left.columns) == {"entity_id", "source", "country", *blocking.FIELDS}  # and they are enough for all keys
+    assert blocking.with_keys(right).select("strategy").distinct().count() == 47
+    assert "name_c3" not in catalogue._missed_pairs(entities(spark, SMALLEST)).columns
