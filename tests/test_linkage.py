@@ -381,3 +381,10 @@ def test_written_records_have_the_fields_asked_for(spark):
     assert set(left.columns) == {"entity_id", "source", "country", *blocking.FIELDS}  # and they are enough for all keys
     assert blocking.with_keys(right).select("strategy").distinct().count() == 47
     assert "name_c3" not in catalogue._missed_pairs(entities(spark, SMALLEST)).columns
+
+
+def test_first_votes_are_ranked_before_strategies_are_named(spark):
+    left, right = (records.records(x) for x in sides(entities(spark, SMALLEST)))
+    chosen = ["B06_prefix4_len", "B11_addr_lead_tokens"]
+    rows = lambda df: sorted((r["s1_id"], r["cand_id"], r["votes"], r["rank"], tuple(r["strategies"])) for r in df.collect())
+    assert rows(resolve.voted(left, right, chosen, None, top=2)) == rows(candidates.ranked(candidates.votes(resolve.blocked(left, right, chosen, None)), 2)) != []
