@@ -1,6 +1,7 @@
 """Normalisation, blocking, features, evaluation and validation on hand-written rows."""
 
 import difflib
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -388,3 +389,34 @@ def test_first_votes_are_ranked_before_strategies_are_named(spark):
     chosen = ["B06_prefix4_len", "B11_addr_lead_tokens"]
     rows = lambda df: sorted((r["s1_id"], r["cand_id"], r["votes"], r["rank"], tuple(r["strategies"])) for r in df.collect())
     assert rows(resolve.voted(left, right, chosen, None, top=2)) == rows(candidates.ranked(candidates.votes(resolve.blocked(left, right, chosen, None)), 2)) != []
+
+
+def test_words_of_a_name_are_made_once(spark):
+    """A projection merged with those below it cleaned a name again for every field made of its words."""
+    made = records.records(spark.createDataFrame([("S1-1", "Apple Inc.", "1 Main St", "US")], RECORD)).select("entity_id", "name_tokens_sorted", "name_no_suffix", "phonetic", "soundex_tokens")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9\\s]") == 1
+
+
+def test_first_votes_of_broad_keys_equal_all_votes_and_make_few_pairs(spark, monkeypatch):
+    """All pairs of a key were made, though a record that is far back in a broad key and in no other can't be among the first."""
+    draw = random.Random(3)
+    broad, other, top = ["b1", "b2", "b3"], ["x1", "x2"], 4
+    record = lambda id_: (id_, draw.choice(["US", "US", "UNKNOWN"]), *[draw.choice([None, "p", "q"]) for _ in broad], *[draw.choice([None] + [f"k{i}" for i in range(30)]) for _ in other])
+    sides_ = [[record(f"S1-{i}") for i in range(25)], [record(f"S2-{i}") for i in range(900)]]
+    schema = ", ".join(f"{x} string" for x in ["entity_id", "country", *broad, *other])
+    frames = [spark.createDataFrame(x, schema) for x in sides_]
+    tags = candidates.bits(broad + other)
+
+    def keys(rows, names, carried, tag):
+        made = F.array(*[F.struct((F.lit(tags[x]).cast("long") if tag else F.lit(x)).alias("strategy"), F.col(x).alias("key")) for x in names])
+        return rows.select("entity_id", "country", *carried, F.inline(made)).where("key is not null")
+
+    made = []
+    voted = candidates._voted
+    monkeypatch.setattr(candidates, "_voted", lambda found, *how: made.append(found.count()) or voted(found, *how))
+    got = candidates.first_counted(*[keys(x, other, broad, True) for x in frames], *frames, broad + other, broad, top)
+    plain = candidates.votes(candidates.pairs(keys(frames[0], broad + other, [], False), candidates.postings(keys(frames[1], broad + other, [], False), None)))
+    rows = lambda df: sorted((r["s1_id"], r["cand_id"], r["votes"], r["rank"], tuple(r["strategies"])) for r in df.collect())
+    assert rows(got) == rows(candidates.ranked(plain, top)) and len(rows(got)) == 25 * top
+    assert made[0] < plain.count() / 4  # at most ``top`` of each of seven sets of broad keys, and the pairs of other keys
