@@ -420,3 +420,9 @@ def test_first_votes_of_broad_keys_equal_all_votes_and_make_few_pairs(spark, mon
     rows = lambda df: sorted((r["s1_id"], r["cand_id"], r["votes"], r["rank"], tuple(r["strategies"])) for r in df.collect())
     assert rows(got) == rows(candidates.ranked(plain, top)) and len(rows(got)) == 25 * top
     assert made[0] < plain.count() / 4  # at most ``top`` of each of seven sets of broad keys, and the pairs of other keys
+
+
+def test_features_make_nothing_of_one_record_for_every_pair(spark):
+    """Bigrams, sets and stripped numbers of a record were made again for each of its pairs."""
+    made = {k: str(v) for k, v in features.native_features().items()}
+    assert not [k for k, v in made.items() if any(x in v for x in ("transform", "array_distinct", "regexp_extract_all"))]
