@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinlink.functions import kernels
 from kinlink.functions import text as T
 from kinlink.functions.vocabulary import NULL_TOKENS
-from kinlink.operators import audit, blocking, candidates, evaluation, features, model, records, sampling, validation
+from kinlink.operators import audit, blocking, candidates, evaluation, features, model, records, sampling, similar, validation
 from kinlink.plans import catalogue, resolve
 from kinlink.plans.entities import entities, sides, true_links
 from kinlink.sources import tables
@@ -426,3 +426,54 @@ def test_features_make_nothing_of_one_record_for_every_pair(spark):
     """Bigrams, sets and stripped numbers of a record were made again for each of its pairs."""
     made = {k: str(v) for k, v in features.native_features().items()}
     assert not [k for k, v in made.items() if any(x in v for x in ("transform", "array_distinct", "regexp_extract_all"))]
+
+
+def test_alike_loses_no_pair_of_the_threshold(spark):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    some = lambda: draw.sample(words, min(len(words), int(draw.expovariate(0.35))))
+    sets = {f"{side}-{i}": (some(), some(), draw.choice("AB")) for side in ("S1", "S2") for i in range(150)}
+    left, right = (spark.createDataFrame([(k, *v) for k, v in sets.items() if k[:2] == side], "entity_id string, name_tokens array<string>, addr_tokens array<string>, country string") for side in ("S1", "S2"))
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    prob = {(a, b): 0.5 * jaccard(x[0], y[0]) + 0.5 * jaccard(x[1], y[1]) for a, x in sets.items() if a[:2] == "S1" for b, y in sets.items() if b[:2] == "S2" and x[2] == y[2]}
+    for least, lean in ((0.65, 0.1), (0.55, 0.0), (0.8, 0.15), (0.5 + 1 / 18, 0.3)):
+        got = {tuple(r) for r in similar.alike(left, right, least, lean=lean).collect()}
+        want = {k for k, v in prob.items() if v >= least}
+        assert want and want <= got and len(got) < len(prob) / 2
+
+
+@pytest.mark.parametrize("top, least", [(1, 0.65), (3, 0.52), (40, 0.65)])
+def test_first_alike_are_those_of_all_ranked_candidates(spark, top, least, monkeypatch):
+    """Crowds of copies make pairs that are alike, but not among the first, and pairs whose place only the ranks tell."""
+    rows = entities(spark, SMALLEST).select("entity_id", "source", "country", "business_name", "business_address")
+    crowd = [(f"S{2 + i % 2}-9{i:03d}", f"S{2 + i % 2}", "India", f"Barelita Willowbace {kind} Pvt Ltd", f"Bafogu Nehru Road, Plot No {i % 7}/4, Pune") for i in range(60) for kind in [("Foods", "Traders")[i % 2]]]
+    asked = [(f"S1-9{i:03d}", "S1", "India", name, f"Bafogu Nehru Road, Plot No {i}/4, Pune") for i, name in enumerate(["Barelita Willowbace Foods LLP", "Willowbace Barelita Traders", "Foods Barelita", "Barelita Willowbace Foods Pvt Ltd"])]
+    made = records.records(rows.unionByName(spark.createDataFrame(crowd + asked, rows.schema))).select("entity_id", "source", "country", *blocking.FIELDS).cache()
+    left, right = sides(made)
+    texts = sides(made.select("entity_id", "source", "country", *[F.array_distinct(x).alias(x) for x in ("name_tokens", "addr_tokens")], blocking.key_texts(blocking.strategy_names()).alias("keys")))
+    asked_for = []
+    by_keys = similar.first_by_keys
+    monkeypatch.setattr(similar, "first_by_keys", lambda few, *how: asked_for.append(few.count()) or by_keys(few, *how))
+    side = lambda r, key, p: r.select(F.col("entity_id").alias(key), *[F.array_distinct(f"{x}_tokens").alias(f"{p}_{x}") for x in ("name", "addr")])
+    ratio = lambda x: T.set_ratio(F.col(f"l_{x}"), F.col(f"r_{x}"), "jaccard")
+    scored = lambda found: found.join(side(left, "s1_id", "l"), "s1_id").join(side(right, "cand_id", "r"), "cand_id").withColumn("prob", 0.5 * ratio("name") + 0.5 * ratio("addr")).where(F.col("prob") >= least).select("s1_id", "cand_id", "prob")
+    every = scored(resolve.voted(left, right, cap=None))
+    want = {tuple(r) for r in scored(resolve.voted(left, right, cap=None, top=top)).collect()}
+    got = resolve.first_alike(*texts, least, top).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) < every.count()
+    assert asked_for and 0 < asked_for[0] < left.count()  # some are ranked, most are not
+
+
+@pytest.mark.parametrize("name", ["error_taxonomy"])
+def test_scores_of_the_policy_rank_no_candidates_that_it_refuses(spark, name, monkeypatch):
+    """All of the first 40 candidates of all entities were made, ranked and scored, however unlike they are."""
+    wanted = {tuple(r) for r in catalogue.QUERIES[name](spark, SMALLEST).collect()}
+    for module, made in ((candidates, "first_counted"), (candidates, "counted"), (candidates, "pairs")):
+        monkeypatch.setattr(module, made, lambda *how, **more: pytest.fail("all candidates are made"))
+    assert {tuple(r) for r in catalogue.QUERIES[name](spark, SMALLEST).collect()} == wanted and wanted
+
+
+def test_one_pass_cleans_as_two_do(spark):
+    rows = spark.createDataFrame([(x,) for x in ("", " ", "a", "a--b  c", "\ta b c\u0085d\x1ce\n", "é𝒳x 1/2 ", "गुरु ab", "--", None)], "x string")
+    pairs = rows.select(T.alnum(F.col("x")).alias("got"), T.squeeze(F.regexp_replace("x", r"[^a-z0-9\s]", " ")).alias("want")).collect()
+    assert [r["got"] for r in pairs] == [r["want"] for r in pairs] and pairs[4]["got"] == "a b c d e"
