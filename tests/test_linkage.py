@@ -464,7 +464,7 @@ def test_first_alike_are_those_of_all_ranked_candidates(spark, top, least, monke
     assert asked_for and 0 < asked_for[0] < left.count()  # some are ranked, most are not
 
 
-@pytest.mark.parametrize("name", ["error_taxonomy"])
+@pytest.mark.parametrize("name", ["error_taxonomy", "macro_f05", "macro_f05_by_bucket", "macro_f05_by_country"])
 def test_scores_of_the_policy_rank_no_candidates_that_it_refuses(spark, name, monkeypatch):
     """All of the first 40 candidates of all entities were made, ranked and scored, however unlike they are."""
     wanted = {tuple(r) for r in catalogue.QUERIES[name](spark, SMALLEST).collect()}
